@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 import zlib
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 #: Entries a worker-side word cache may hold before it is emptied.
 CACHE_ENTRIES = 250_000
 
-WHITE = " \t\n\x0b\x0c\r"
+#: Arrow batches to and from Python hold at most so many rows and bytes, as a worker holds several copies of one.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,10 +59,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's limits of Arrow batches to those above, if they are higher."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = int(re.sub(r"\D", "", spark.conf.get(key)) or 0)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
+def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+    """mapInArrow of a function that keeps the columns; it gets them by place, whatever their names."""
+    bound_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                yield fn(b.slice(at, 256))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def replace_column(batch: pa.RecordBatch, at: int, values: list) -> pa.RecordBatch:
+    columns = list(batch.columns)
+    columns[at] = pa.array(values, batch.schema.field(at).type)
+    return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+
 def map_batches(
     df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str
 ) -> DataFrame:
     """mapInArrow where fn yields dicts of column values in the order of schema."""
+    bound_batches(df.sparkSession)
     types = _arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

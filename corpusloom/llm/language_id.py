@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, map_rows, replace_column
 
 #: Documents of a language that the fit uses, at most.
 DOCS = 60
@@ -197,8 +197,8 @@ def classify(model: Model, texts: list[str | None]) -> tuple[list[str], list[flo
     """Languages, scores (the runner-up's share of the two least rates) and the least rates."""
     langs, score, least = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts)
     good = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if model.langs else []
-    for at in range(0, len(good), 512):
-        part = good[at : at + 512]
+    for at in range(0, len(good), 256):
+        part = good[at : at + 256]
         got = rates(model, [texts[i] for i in part])
         best = got.argmin(1)
         for i, row, b in zip(part, got, best.tolist(), strict=True):
@@ -225,12 +225,10 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def set_language(df: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of df that have a language, with it in lang_col; the other columns stay, whatever their names."""
     shared = df.sparkSession.sparkContext.broadcast(model)
+    text, lang = df.columns.index(text_col), df.columns.index(lang_col)
 
-    def found(texts):
-        import pandas as pd
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        langs = classify(shared.value, batch.column(text).to_pylist())[0]
+        return replace_column(batch, lang, langs).filter(pa.array([k != "und" for k in langs], pa.bool_()))
 
-        return pd.Series(classify(shared.value, [None if t is None else t for t in texts])[0])
-
-    columns = df.columns
-    out = df.withColumn(lang_col, F.pandas_udf(found, "string")(F.col(text_col)))
-    return out.where(F.col(lang_col) != "und").select(*[f"`{c}`" for c in columns])
+    return map_rows(df, run)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, map_rows, replace_column
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "account", "userinfo")
 
@@ -273,5 +273,9 @@ def scan_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def redact_column(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with its text column redacted; the other columns stay, whatever their names."""
-    found = F.pandas_udf(lambda s: s.map(lambda t: redact(t, find_pii(t)) if t is not None else None), "string")
-    return df.withColumn(text_col, found(F.col(text_col)))
+    at = df.columns.index(text_col)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return replace_column(batch, at, [redact(t, find_pii(t)) for t in batch.column(at).to_pylist()])
+
+    return map_rows(df, run)

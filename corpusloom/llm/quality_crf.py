@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, map_rows
 
 SYMBOLS = "#*$%&|<>"
 #: Labelled documents of a class that the fit uses, at most, and the longest text among them in characters.
@@ -247,5 +247,9 @@ def verdict(text: str | None, field: Field, share: float = SHARE, least_words: i
 
 def keep_documents(df: DataFrame, field: Field, text_col: str = "text", share: float = SHARE, least_words: int = 50) -> DataFrame:
     """The rows of df that the rules keep, with all their columns."""
-    good = F.pandas_udf(lambda s: s.map(lambda t: verdict(t, field, share, least_words)[3]), "boolean")
-    return df.where(good(F.col(text_col)))
+    at = df.columns.index(text_col)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array([verdict(t, field, share, least_words)[3] for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return map_rows(df, run)
