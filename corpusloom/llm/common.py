@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries a worker-side word cache may hold before it is emptied.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 800_000
 
 #: Arrow batches to and from Python hold at most so many rows and bytes, as a worker holds several copies of one.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
