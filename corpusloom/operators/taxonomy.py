@@ -157,7 +157,7 @@ def expand(queries: DataFrame, terms: DataFrame, aliases: DataFrame, dictionary:
         "query", F.struct(F.lit(0).alias("w"), F.lit(0).alias("tier"), F.lit(0).alias("i"), F.col("at").alias("j")).alias("ord"), "term", F.lit("original").alias("tier")
     )
     raw = known.select("query", F.posexplode(text.raw_words(F.col("text"))).alias("w", "word"))
-    found = raw.join(aliases, raw.word == aliases.alias, "left").select("query", "w", "word", "key")
+    found = raw.join(aliases, raw.word == aliases["alias"], "left").select("query", "w", "word", "key")
     hit = found.where("key is not null").join(terms, "key")
     names = terms.select(F.col("key").alias("other"), F.col("canonical").alias("name"))
     own = hit.select("query", "w", F.posexplode(F.concat(F.array("canonical"), "aliases")).alias("i", "name")).withColumn("t", F.lit(1))
