@@ -5,8 +5,8 @@ Each line of a text is an observation of a linear-chain conditional random field
 at least ``share`` of its words. Fixed rules on word counts reject some documents beforehand.
 
 The field is fitted by maximum likelihood (forward-backward gradients) on at most ``sample`` labelled documents
-of each class, those with the least hash of their id; each line bears its document's label. Without labelled
-rows of both classes ``DEFAULT`` is used.
+of each class, those with the least hash of their id; each line bears its document's label, but in a good document a
+line that repeats, or is made of repeated words, is boilerplate. Without labelled rows of both classes ``DEFAULT`` is used.
 
 Defined results: a null or empty text has no words, fails the base rules and isn't kept; a null id is kept;
 repeated rows each give a row; rows with a null label aren't used. Row by row, whole texts; only the ids of the sample and
@@ -30,6 +30,8 @@ SYMBOLS = "#*$%&|<>"
 SAMPLE = 600
 SAMPLE_CHARS = 20_000
 SHARE = 0.5
+#: Shrinks the weights of steps: a document's lines are labelled together, so their labels agree more than lines do.
+STEP_PENALTY = 300.0
 FEATURES = (
     "bias", "symbols>0", "symbols>.1", "symbols>.3", "upper>.3", "upper>.7", "digits>.2", "marks>.3", "marks>.7",
     "repeated line", "repeated words>.5", "one or two words", "long words", "short words", "few letters",
@@ -113,6 +115,7 @@ def describe(text: str) -> tuple[tuple[int, int, int, int, int], list[int], list
 
 
 _BITS = 1 << np.arange(N)
+REPEATS = 1 << FEATURES.index("repeated line") | 1 << FEATURES.index("repeated words>.5")
 
 
 def scores(features: list[int], field: Field) -> np.ndarray:
@@ -149,26 +152,30 @@ def content_share(features: list[int], counts: list[int], field: Field) -> float
     return sum(k for k, y in zip(counts, labels, strict=True) if y) / sum(counts)
 
 
-def fit(documents: list[tuple[list[int], int]], rounds: int = 80, penalty: float = 1.0) -> Field:
-    """documents: the features of the lines, and the label of all of them. Gradient ascent on the likelihood."""
+def line_labels(features: list[int], label: int) -> list[int]:
+    return [int(label and not f & REPEATS) for f in features]
+
+
+def fit(documents: list[tuple[list[int], int]], rounds: int = 80, penalty: float = 1.0, step_penalty: float = STEP_PENALTY) -> Field:
+    """documents: the features of the lines, and the document's label. Gradient ascent on the likelihood of the lines' labels."""
     documents = [(f, y) for f, y in documents if f]
     if len({y for _, y in documents}) < 2:
         return DEFAULT
     length = max(len(f) for f, _ in documents)
     x = np.zeros((len(documents), length), np.int64)
+    y = np.zeros((len(documents), length), np.int64)
     there = np.zeros((len(documents), length), bool)
-    for i, (f, _) in enumerate(documents):
+    for i, (f, label) in enumerate(documents):
         x[i, : len(f)] = f
+        y[i, : len(f)] = line_labels(f, label)
         there[i, : len(f)] = True
     held = ((x[:, :, None] & _BITS) != 0).astype(np.float32) * there[:, :, None]
-    y = np.array([y for _, y in documents])
     lines = there.sum(1)
     scale = 1.0 / lines  # each document counts as one, whatever its length
     weights, step = np.zeros(N), np.zeros((2, 2))
-    seen_w = (held * (y[:, None, None] * scale[:, None, None])).sum((0, 1))
-    seen_s = np.zeros((2, 2))
-    for label in (0, 1):
-        seen_s[label, label] = ((lines - 1) * scale)[y == label].sum()
+    seen_w = (held * (y * scale[:, None])[:, :, None]).sum((0, 1))
+    pairs = there[:, 1:] * scale[:, None]
+    seen_s = np.array([[(pairs * ((y[:, :-1] == a) & (y[:, 1:] == b))).sum() for b in (0, 1)] for a in (0, 1)])
     sums_w, sums_s = np.full(N, 1e-8), np.full((2, 2), 1e-8)
     for _ in range(rounds):
         emit = np.stack([np.zeros(x.shape), held @ weights], 2)
@@ -185,7 +192,7 @@ def fit(documents: list[tuple[list[int], int]], rounds: int = 80, penalty: float
         p = np.exp(ahead[:, :, 1] + behind[:, :, 1] - total[:, None]) * there * scale[:, None]
         grad_w = seen_w - (held * p[:, :, None]).sum((0, 1)) - penalty * weights
         pair = ahead[:, :-1, :, None] + step + (emit + behind)[:, 1:, None, :] - total[:, None, None, None]
-        grad_s = seen_s - (np.exp(pair) * (there[:, 1:] * scale[:, None])[:, :, None, None]).sum((0, 1)) - penalty * step
+        grad_s = seen_s - (np.exp(pair) * (there[:, 1:] * scale[:, None])[:, :, None, None]).sum((0, 1)) - step_penalty * step
         sums_w += grad_w**2
         sums_s += grad_s**2
         weights = weights + 0.5 * grad_w / np.sqrt(sums_w)
