@@ -104,7 +104,7 @@ def abbreviations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Candidates: headings of blocks, and their first words as bold terms.
 CAND_SQL = CHUNKS_SQL + """, cand AS (SELECT (source, sequence, 0) AS ordinal, heading AS canonical, 'heading' AS source, id AS chunk FROM chk
-    UNION ALL SELECT (source, sequence, 1), upper(string_split(heading, ' > ')[1]), 'bold_term', id FROM chk)"""
+    UNION ALL SELECT (source, sequence, 1), translate(string_split(heading, ' > ')[1], 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), 'bold_term', id FROM chk)"""
 TERMS_SQL = CAND_SQL + f""", keyed AS (SELECT *, {KEY_SQL.format('canonical')} AS key FROM cand),
     terms AS (SELECT key, arg_min((canonical, source), (CASE source WHEN 'heading' THEN 0 ELSE 2 END, ordinal)) AS best, list_sort(list_distinct(list(chunk))) AS chunks
       FROM keyed WHERE key <> '' GROUP BY key HAVING len(list_distinct(list(chunk))) >= 2),
@@ -114,7 +114,7 @@ TERMS_SQL = CAND_SQL + f""", keyed AS (SELECT *, {KEY_SQL.format('canonical')} A
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chunks(spark, sf_dir)
     one = lambda k, name, source: c.select(F.struct("source", "sequence", F.lit(k).alias("k")).alias("ordinal"), name.alias("canonical"), F.lit(source).alias("kind"), F.col("id").alias("chunk"))
-    both = one(0, F.col("heading"), "heading").unionByName(one(1, F.upper(F.split("heading", " > ")[0]), "bold_term"))
+    both = one(0, F.col("heading"), "heading").unionByName(one(1, F.translate(F.split("heading", " > ")[0], *text.ASCII_UPPER), "bold_term"))
     return both.withColumnRenamed("kind", "source")
 
 
