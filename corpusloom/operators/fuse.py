@@ -28,20 +28,23 @@ def graph_rerank(fused: DataFrame, manifest: DataFrame, doc_refs: DataFrame, top
     A row's score is multiplied by 1 plus a boost for each of: previous, next, spec chunk and parent object in the
     window of the first ceil(top * ratio) ranks; a source that it refers to, or that refers to it, in the window.
     """
-    near = fused.where(F.col("rank") <= F.ceil(F.lit(top * config.window_ratio)))
-    keys = near.select("query", F.col("doc").alias("hit"))
-    rows = fused.join(manifest, "doc", "left")
-    for column, boost in (("previous", "adjacent"), ("next", "adjacent"), ("spec_chunk", "spec"), ("parent_object", "spec")):
-        flag = keys.withColumnRenamed("query", "_q").withColumn(f"_{column}", F.lit(True))
-        rows = rows.join(flag, (F.col("query") == F.col("_q")) & (F.col(column) == F.col("hit")), "left").drop("_q", "hit")
-    sources = near.join(manifest.select("doc", "source"), "doc").select("query", F.col("source").alias("found")).distinct()
-    for column, here, there in (("_out", "src", "dst"), ("_in", "dst", "src")):
-        hit = sources.join(doc_refs, F.col("found") == F.col(there)).select(F.col("query").alias("_q"), F.col(here).alias("_s")).distinct().withColumn(column, F.lit(True))
-        rows = rows.join(hit, (F.col("query") == F.col("_q")) & (F.col("source") == F.col("_s")), "left").drop("_q", "_s")
-    one = lambda c, boost: F.when(F.col(c), F.lit(boost)).otherwise(0.0)
-    a, s, x = config.adjacent_boost, config.spec_boost, config.crossref_boost
-    factor = 1 + one("_previous", a) + one("_next", a) + one("_spec_chunk", s) + one("_parent_object", s) + one("_out", x) + one("_in", x)
-    out = rows.select("query", "doc", F.round(F.col("score") * F.round(factor, 2), DIGITS + 2).alias("score"))
+    near = fused.where(F.col("rank") <= F.ceil(F.lit(top * config.window_ratio))).select("query", "doc")
+    rows = fused.select("query", "doc").join(manifest.select("doc", "source", "previous", "next", "spec_chunk", "parent_object"), "doc")
+    links = {"previous": config.adjacent_boost, "next": config.adjacent_boost, "spec_chunk": config.spec_boost, "parent_object": config.spec_boost}
+    each = F.explode(F.array(*[F.struct(F.col(c).alias("other"), F.lit(b).alias("boost")) for c, b in links.items()])).alias("l")
+    linked = rows.select("query", "doc", each).select("query", "doc", "l.other", "l.boost").where("other is not null")
+    linked = linked.join(near.withColumnRenamed("doc", "other"), ["query", "other"], "left_semi").select("query", "doc", "boost")
+    # each source with those it refers to (way 0) and those that refer to it (way 1); one of either kind is enough
+    ways = doc_refs.select(F.col("src").alias("source"), F.col("dst").alias("there"), F.lit(0).alias("way")).unionByName(
+        doc_refs.select(F.col("dst").alias("source"), F.col("src").alias("there"), F.lit(1).alias("way"))
+    )
+    found = near.join(manifest.select("doc", F.col("source").alias("there")), "doc").select("query", "there").distinct()
+    sources = found.join(ways, "there").select("query", "source", "way").distinct()
+    crossed = rows.select("query", "doc", "source").join(sources, ["query", "source"]).select("query", "doc", F.lit(config.crossref_boost).alias("boost"))
+    boosts = linked.unionByName(crossed).groupBy("query", "doc").agg(F.sum("boost").alias("boost"))
+    factor = F.round(1 + F.coalesce("boost", F.lit(0.0)), 2)
+    out = fused.select("query", "doc", "score").join(boosts, ["query", "doc"], "left")
+    out = out.select("query", "doc", F.round(F.col("score") * factor, DIGITS + 2).alias("score"))
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "doc"))
     return out.withColumn("rank", place.cast("bigint"))
 
