@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 def windowed_usage(log: DataFrame, every: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """log: ts (timestamp), caller, tokens. Entries and tokens by window and caller; later entries than ``late`` are left out."""
-    rows = log.withWatermark("ts", late).groupBy(F.window("ts", every), "caller")
+    rows = log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", every), "caller")
     return rows.agg(F.count("*").alias("entries"), F.sum("tokens").alias("tokens")).select("window.start", "window.end", "caller", "entries", "tokens")
 
 
 def sessions(log: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
-    rows = log.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("s"), "caller")
+    rows = log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("s"), "caller")
     return rows.agg(F.count("*").alias("entries"), F.sum("tokens").alias("tokens")).select("s.start", "s.end", "caller", "entries", "tokens")
 
 
