@@ -24,7 +24,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, materialize
@@ -51,16 +51,17 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(majority.view(np.uint64)[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed 64-bit integer."""
-    df = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, hashed: bool = False) -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed 64-bit integer; if hashed, the text's hash h too."""
+    more = [text_hash(text_col).alias("h")] if hashed else []
+    df = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             found = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], np.uint64)
-            yield {"doc_id": b.column(0), "fp": pa.array(found.view(np.int64))}
+            yield {"doc_id": b.column(0), "fp": pa.array(found.view(np.int64))} | ({"h": b.column(2)} if hashed else {})
 
-    return map_batches(df, run, "doc_id bigint, fp bigint")
+    return map_batches(df, run, "doc_id bigint, fp bigint" + (", h bigint" if hashed else ""))
 
 
 def signatures(fps: DataFrame) -> DataFrame:
@@ -217,12 +218,30 @@ def near_duplicates(
     return rows.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def keep_least(df: DataFrame, rows: DataFrame, roots: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of df with one of each component: that of the least id, a null id last; of equal ids the least fp and text hash.
+
+    rows has doc_id, h (the text's hash) and fp of each row of df, roots node and root of the fps that are linked.
+    """
+    of_root = rows.join(roots, rows.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("root"), "doc_id", "h", "fp")
+    first = of_root.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "h")).alias("first"))
+    keep = first.select(F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_kept"))
+    hashed = df.withColumn("_h", text_hash(text_col))
+    kept = hashed.join(keep, F.col(id_col).cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_kept")), "left_semi")
+    return kept.dropDuplicates([id_col, "_h"]).drop("_h")
+
+
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = BITS) -> DataFrame:
-    """The rows of df with one document of each component: that of the least id; of rows that repeat it, one.
+    """The rows of df with one row of each component, whatever ids repeat or are null: see ``keep_least``.
 
     Rows with a null id stay only if their component has no id; then one of them does.
     """
-    found = near_duplicates(df, id_col, text_col, words, bits)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = df.join(keep, F.col(id_col).cast("bigint").eqNullSafe(keep["_kept"]), "left_semi")
-    return kept.dropDuplicates([id_col])
+    if not 0 <= bits <= 3:
+        raise ValueError("two segments with one deleted bit find up to three differing bits")
+    rows = materialize(fingerprints(df, id_col, text_col, words, hashed=True), "fingerprints")
+    roots = components(links(rows.select("fp").distinct(), bits))
+    return keep_least(df, rows, roots, id_col, text_col)
