@@ -10,7 +10,8 @@ character of the next phrase, marked as a phrase end. Texts are cut into windows
 that are parsed in lockstep, all characters of all windows; a window's last open phrase counts as one.
 
 The fit uses at most ``docs`` documents of a language, those with the least hash of their id, and at most
-``chars`` characters of them (fewer each if there are many languages); these bounds hold for any input.
+``chars`` characters of them (fewer each if there are many languages); these bounds hold for any input. Each
+document gives an equal share of them; what short ones leave goes to the longer. All languages are learned.
 
 Defined results: `und` with score 0 for a null or empty text, one without a letter, or if nothing could be
 learned; a null id is kept; repeated rows each give a row; rows with a null lang aren't learned from.
@@ -34,7 +35,6 @@ from .common import map_batches, map_rows, replace_column
 DOCS = 60
 #: Characters of a language that the fit uses, at most, and of all languages together.
 CHARS, ALL_CHARS = 60_000, 360_000
-LANGUAGES = 256
 WINDOW = 256
 #: Letters with a number of their own; the others share one.
 LETTERS = 61
@@ -112,11 +112,25 @@ def symbols(text: str, codes: np.ndarray) -> np.ndarray:
     return got[keep]
 
 
+def largest_share(langs: int, chars: int, all_chars: int) -> int:
+    """Characters of a language, at most."""
+    return max(1, min(chars, all_chars // max(1, langs)))
+
+
+def equal_shares(texts: list[str], most: int) -> str:
+    """The beginnings of texts, joined by line breaks, of at most ``most`` characters; none is cut below an equal share."""
+    left, share = most - max(0, len(texts) - 1), 0
+    for done, n in enumerate(sorted(map(len, texts))):
+        share = left // (len(texts) - done)
+        left -= min(n, max(0, share))
+    return "\n".join(t[: max(0, share)] for t in texts)[:most]
+
+
 def fit(samples: dict[str, list[str]], chars: int = CHARS, all_chars: int = ALL_CHARS) -> Model:
     """samples: texts by language. Each language uses as much text as the others, at most."""
-    langs = sorted(samples)[:LANGUAGES]
-    most = min(chars, all_chars // max(1, len(langs)))
-    texts = {k: "\n".join(samples[k])[:most] for k in langs}
+    langs = sorted(samples)
+    most = largest_share(len(langs), chars, all_chars)
+    texts = {k: equal_shares(samples[k], most) for k in langs}
     seen = Counter(c for t in texts.values() for c in t.lower() if c.isalpha())
     model = Model(langs, "".join(sorted(c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LETTERS])), [], [])
     for k in langs:
@@ -138,12 +152,13 @@ def fit_on(
     keys = df.select("id", "lang").where("id is not null and lang is not null and lang <> ''").distinct()
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     chosen = keys.withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= docs).drop("n")
-    chosen = chosen.groupBy("lang").agg(F.collect_list("id").alias("ids")).orderBy("lang").limit(LANGUAGES).collect()
+    chosen = chosen.groupBy("lang").agg(F.collect_list("id").alias("ids")).orderBy("lang").collect()
     wanted = {(i, row.lang) for row in chosen for i in row.ids}
     if not wanted:
         return Model([], "", [], [])
+    most = largest_share(len(chosen), chars, all_chars)
     # the longest useful part of each; rows that repeat an id and language are one
-    cut = df.where(F.col("id").isin(sorted({i for i, _ in wanted}))).select("id", "lang", F.substring("text", 1, chars).alias("text"))
+    cut = df.where(F.col("id").isin(sorted({i for i, _ in wanted}))).select("id", "lang", F.substring("text", 1, most).alias("text"))
     rows = cut.where("text is not null").groupBy("id", "lang").agg(F.min("text").alias("text")).collect()
     samples: dict[str, list[str]] = {}
     for row in sorted(rows, key=lambda r: r.id):
