@@ -12,6 +12,8 @@ offsets within the file, and pointer jumping from the file's start (the reachabl
 together, by file; payloads aren't. A payload's length and digest are computed where its piece is read; a payload
 with a magic inside is put together from its pieces in a second pass, which runs only if there is one.
 
+A file whose chain stops before its end is an error, as what follows would be lost. A magic in an address is escaped.
+
 Defined results: a null html counts as empty; records with a null page id are always responses and nobody
 revisits them; rows that repeat the least page id are all responses; an empty table gives no archive and an empty result.
 """
@@ -65,8 +67,9 @@ def record(page_id: Column, url: Column, payload: Column, digest: Column, refers
     line = "\r\n"
     http = F.lit(f"HTTP/1.1 200 OK{line}Content-Type: text/html; charset=utf-8{line}{line}")
     body = F.when(refers_to.isNull(), F.concat(http, payload)).otherwise(http)
-    # a line break in an address would end the header
+    # a line break in an address would end the header, and a magic would cut it
     uri = F.regexp_replace(F.coalesce(url, F.lit("urn:none")), r"[\x00-\x20]+", "%20")
+    uri = F.replace(uri, F.lit(MAGIC), F.lit(MAGIC.replace("/", "%2F")))
 
     def header(name: str, value: Column) -> Column:
         return F.concat(F.lit(f"{name}: "), value, F.lit(line))
@@ -210,6 +213,9 @@ def chain(facts: pa.Table) -> pa.Table:
     successors = np.where(ends[1:] < 0, -1, offsets + ends[1:])
     good = reachable(offsets, successors)
     rows = np.flatnonzero(good)
+    whole = int(length.sum()) + len(MAGIC) * (len(length) - 1)
+    if length[0] or (len(rows) and successors[rows[-1]] != whole) or not len(rows) and whole:
+        raise ValueError(f"{facts.column('file')[0]}: the chain of records stops before the file's end")
     spans = np.diff(np.r_[rows, len(offsets)])
     out = facts.take(pa.array(rows + 1))
     return out.append_column("offset", pa.array(offsets[rows], pa.int64())).append_column("pieces", pa.array(spans, pa.int64()))
