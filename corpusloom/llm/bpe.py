@@ -6,7 +6,7 @@ pair with its place. The least entry is taken; it is stale, and skipped, if the
 longer the one whose rank it bears.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; a null id is kept; repeated
-rows each give a row. Row by row, whole texts, no shuffle. A worker caches pieces, up to a fixed number.
+rows each give a row. Row by row, whole texts, no shuffle. A worker caches words and pieces, up to a fixed number of bytes.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, map_batches
+from .common import CACHE_BYTES, Memo, map_batches
 
 #: The split of byte-level BPE, with white space as Unicode has it.
 PATTERN = regex.compile(
@@ -69,8 +69,8 @@ class ByteBPE:
         strings = {i: bytes(of_char[c] for c in t) for t, i in vocab.items() if t not in special}
         strings |= {i: t.encode() for t, i in special.items()}
         self.strings = [strings.get(i, b"") for i in range(max(strings) + 1)]
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.pieces = Memo(lambda piece: np.array(self.merge(piece.encode()), "<u4").tobytes(), CACHE_BYTES // 2)
+        self.words = Memo(lambda word: b"".join(map(self.pieces.__getitem__, PATTERN.findall(word))), CACHE_BYTES)
 
     def merge(self, data: bytes) -> list[int]:
         first, rank, merged = self.first, self.rank.get, self.merged
@@ -98,32 +98,11 @@ class ByteBPE:
                 heapq.heappush(heap, r | h)
         return [s for s in symbols if s >= 0]
 
-    def piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            found = np.array(self.merge(piece.encode()), "<u4").tobytes()
-            if len(piece) <= 64:
-                if len(self.pieces) >= CACHE_ENTRIES:
-                    self.pieces.clear()
-                self.pieces[piece] = found
-        return found
-
-    def word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            found = b"".join(map(self.piece, PATTERN.findall(word)))
-            if len(word) <= 64:
-                if len(self.words) >= CACHE_ENTRIES:
-                    self.words.clear()
-                self.words[word] = found
-        return found
-
     def _plain(self, text: str) -> bytes:
         if uneven(text):
-            return b"".join(map(self.piece, PATTERN.findall(text)))
+            return b"".join(map(self.pieces.__getitem__, PATTERN.findall(text)))
         head, *rest = text.split(" ")
-        get, word = self.words.get, self.word
-        return b"".join([word(head), *[get(w) or word(w) for w in map(" ".__add__, rest)]])
+        return self.words[head] + b"".join(map(self.words.__getitem__, map(" ".__add__, rest)))
 
     def encode_bytes(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""

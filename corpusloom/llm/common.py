@@ -3,56 +3,124 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries a worker-side word cache may hold before it is emptied.
-CACHE_ENTRIES = 800_000
+#: Bytes that a worker's cache of words may hold, by estimate, before it is emptied; longer keys aren't kept.
+CACHE_BYTES, CACHE_KEY = 160 << 20, 64
 
 #: Arrow batches to and from Python hold at most so many rows and bytes, as a worker holds several copies of one.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
+class Memo(dict):
+    """make(key) for each key asked for, kept up to CACHE_BYTES by estimate; then all is forgotten and learned anew."""
+
+    def __init__(self, make: Callable[[Any], Any], most: int = CACHE_BYTES):
+        self.make, self.most, self.held = make, most, 0
+
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(key) <= CACHE_KEY:
+            cost = 220 + len(key) + (len(value) if isinstance(value, bytes) else 0)  # the dictionary's slot, two objects and what they hold
+            self.held += cost
+            if self.held > self.most:
+                self.clear()
+                self.held = cost
+            self[key] = value
+        return value
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares; a temporary one only where none is configured."""
+    """The folder the cluster shares. Where none is configured, a temporary one if all runs in one process, else an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
         if chosen.isDefined():
             return chosen.get()
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="corpusloom-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
+#: Tables that operators have written and nobody has discarded: path to session.
+_scratch: dict[str, SparkSession] = {}
+
+
 def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session is gone; the folder belongs to the cluster's cleaning
-        pass
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    _scratch[path] = spark
     return path
 
 
+def discard(*tables: DataFrame | str) -> None:
+    """Delete scratch tables that nothing will read again: what later rows follow from must have been written."""
+    for t in tables:
+        path = t if isinstance(t, str) else getattr(t, "_scratch_path", None)
+        if path in _scratch:
+            _remove(_scratch.pop(path), path)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Results of operators called inside are to be consumed inside; at the end, all tables written meanwhile are deleted."""
+    before = set(_scratch)
+    try:
+        yield
+    finally:
+        discard(*(p for p in list(_scratch) if p not in before))
+
+
+@atexit.register
+def _at_exit() -> None:
+    for path, spark in list(_scratch.items()):
+        with contextlib.suppress(Exception):  # the session is gone; the folder belongs to the cluster's cleaning
+            _remove(spark, path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back, which cuts the lineage."""
+    """Write df as Parquet into the shared folder and read it back, which cuts the lineage. ``discard`` or ``scratch`` delete it."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+#: Rows of one key that are few enough for one task; keys with more are hot. HOT_KEYS bounds what is broadcast.
+HOT_ROWS, HOT_KEYS = 1000, 1000
+
+
+def join_unique(rows: DataFrame, unique: DataFrame, key: str, total: int, count: str) -> DataFrame:
+    """rows joined (inner) with unique, which has one row for each key and, in ``count``, how many of rows have it.
+
+    total: an upper bound on the rows. Keys of at least max(HOT_ROWS, total / HOT_KEYS) rows are at most HOT_KEYS, so they are
+    broadcast, and their rows stay where they are; the others are shuffled. Each key is in just one part.
+    """
+    least = max(HOT_ROWS, -(-total // HOT_KEYS))
+    if total < HOT_ROWS:
+        return rows.join(unique.drop(count), key)
+    hot = F.broadcast(unique.where(F.col(count) >= least))
+    parts = rows.join(hot.drop(count), key), rows.join(hot.select(key), key, "left_anti").join(unique.where(F.col(count) < least).drop(count), key)
+    return parts[0].unionByName(parts[1])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +128,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lowers the session's limits of Arrow batches to those above, if they are higher."""
+    """Lowers the session's limits of Arrow batches to those above, if they are higher; they stay so, as plans read them when they run."""
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{key}"
         now = int(re.sub(r"\D", "", spark.conf.get(key)) or 0)
@@ -111,7 +179,7 @@ def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
 
 
 def crc_mod(column: str, mod: int):
-    """crc32 of a column's text form, modulo mod; 0 rows are never null (null id: -1)."""
+    """crc32 of a column's text form, modulo mod; a null gives -1, so it is in no class."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % mod, F.lit(-1))
 
 

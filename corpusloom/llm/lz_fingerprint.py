@@ -13,7 +13,7 @@ one is unlike (0) any text with words. Repeated rows each give a row.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, map_batches
+from .common import Memo, map_batches
 
 BINS = 128
 PART = 16
@@ -30,15 +30,7 @@ MASK = (1 << 64) - 1
 FACTOR = 0x9E3779B97F4A7C15
 EMPTY = 0xFFFF
 
-_hashes: dict[str, int] = {}
-
-
-def _hash(word: str) -> int:
-    found = xxhash.xxh64_intdigest(word)
-    if len(_hashes) >= CACHE_ENTRIES:
-        _hashes.clear()
-    _hashes[word] = found
-    return found
+_hashes = Memo(xxhash.xxh64_intdigest)
 
 
 def word_symbols(text: str) -> list[str]:
@@ -48,7 +40,7 @@ def word_symbols(text: str) -> list[str]:
     return words
 
 
-def parse(hashes: list[int], phrases: set[int], at: int = 0) -> int:
+def parse(hashes: Iterable[int], phrases: set[int], at: int = 0) -> int:
     """Adds the phrases of the symbols; at: the phrase that was open. Returns the one that stays open, or 0."""
     add = phrases.add
     for h in hashes:
@@ -88,16 +80,13 @@ def from_text(text: str) -> np.ndarray:
 
 def fingerprint(text: str | None) -> np.ndarray:
     phrases: set[int] = set()
-    get = _hashes.get
-    parse([get(w) or _hash(w) for w in word_symbols(text or "")], phrases)
+    parse(map(_hashes.__getitem__, word_symbols(text or "")), phrases)
     return signature(phrases)
 
 
 def fingerprint_edit(text: str, edited: str) -> tuple[np.ndarray, np.ndarray]:
     """Both fingerprints; what the texts' symbols begin with alike is parsed once."""
-    get = _hashes.get
-    a = [get(w) or _hash(w) for w in word_symbols(text)]
-    b = [get(w) or _hash(w) for w in word_symbols(edited)]
+    a, b = (list(map(_hashes.__getitem__, word_symbols(t))) for t in (text, edited))
     low, high = 0, min(len(a), len(b))
     while low < high:  # lists compare fast: the length of what they have in common, by bisection
         mid = (low + high + 1) // 2
@@ -124,23 +113,28 @@ def lz_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return map_batches(df, run, "doc_id bigint, fingerprint string")
 
 
+#: Ranges of ids, at most: bounds and quantiles are held by the driver and by each task.
+RANGES = 4096
+
+
 def edit_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_range: int = 4096) -> DataFrame:
     """Each text beside its edit, in which the next document (by id) gives the second half, and beside that document.
 
-    The documents are dealt into ranges of ids of about ``per_range`` documents; the bounds come from quantiles
-    of the ids alone, so a range's size doesn't depend on how the ids are spread, and only the bounds (one for
-    each range) reach the driver. The first document of each range goes to the range before as well. A null id
+    The documents are dealt into ranges of ids of about ``per_range`` documents, or, if there are many documents, into ``RANGES``
+    larger ones; a range is streamed in order, so its size is no matter of memory. The bounds come from quantiles
+    of the ids alone, so a range's size doesn't depend on how the ids are spread, and only the bounds (at most
+    ``RANGES``, whatever the input) reach the driver. The first document of each range goes to the range before as well. A null id
     comes first. Of equal ids the order is that of the texts.
     """
     rows = df.select(
         F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     ).withColumn("key", F.coalesce("doc_id", F.lit(-(2**63))))
     keys = df.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63))).alias("key"))
-    ranges = max(1, keys.count() // per_range)
+    ranges = min(RANGES, max(1, keys.count() // per_range))
     cuts: list[int] = []
     if ranges > 1:
         shares = [i / ranges for i in range(1, ranges)]
-        quantiles = keys.agg(F.percentile_approx("key", shares, max(10_000, 20 * ranges)).alias("q")).first().q
+        quantiles = keys.agg(F.percentile_approx("key", shares, 20 * RANGES).alias("q")).first().q
         cuts = sorted(set(quantiles))
     bounds = np.array(cuts, np.int64)
     deal = F.pandas_udf(lambda s: pd_series(np.searchsorted(bounds, s.to_numpy(), "right")), "int")

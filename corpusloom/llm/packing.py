@@ -15,6 +15,7 @@ packed each by itself; of rests of equal length the one with the lower place goe
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, map_batches, materialize
+from .common import Memo, map_batches, materialize
 
 SEQUENCE = 2048
 #: Rests in a group, about.
@@ -32,6 +33,14 @@ GROUP_SIZE = 8192
 TAIL = "!#$%&()*,-./:;?@[]_{|}~\"+="
 
 
+def ends_plainly(core: str) -> bool:
+    """Does it end in a letter or digit once it is composed and in lower case, as the library does first? A mark would join the punctuation."""
+    if core[-1].isascii():
+        return core[-1].isalnum()
+    last = unicodedata.normalize("NFC", core).lower()[-1]
+    return last < "\u2e80" and unicodedata.category(last)[0] in "LN"
+
+
 class WordTokenizer:
     """Ids of the tokenizers library, with a cache of words: its split never crosses a blank or line feed."""
 
@@ -41,36 +50,25 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cache: dict[str, bytes] = {"": b""}
+        self.cache = Memo(self._word)
 
     def _ids(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _keep(self, word: str, ids: bytes) -> bytes:
-        if len(word) <= 64:
-            if len(self.cache) >= CACHE_ENTRIES:
-                self.cache.clear()
-                self.cache[""] = b""
-            self.cache[word] = ids
-        return ids
-
-    def word(self, word: str) -> bytes:
-        found = self.cache.get(word)
-        if found is not None:
-            return found
+    def _word(self, word: str) -> bytes:
+        """By parts where the library's split does the same: before trailing punctuation, if a letter or digit precedes it."""
         core = word.rstrip(TAIL)
-        if core and core != word and core[-1].isalnum() and "<|" not in word:
-            return self._keep(word, self.word(core) + self.word(word[len(core) :]))
+        if core and core != word and "<|" not in word and ends_plainly(core):
+            return self.cache[core] + self.cache[word[len(core) :]]
         if word.isascii() and not word.islower() and "<|" not in word and word.isalpha():
-            return self._keep(word, self.word(word.lower()))
-        return self._keep(word, self._ids(word))
+            return self.cache[word.lower()]
+        return self._ids(word)
 
     def encode_bytes(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if "<|" in text and any(str(t) in text for t in self.special()):
             return self._ids(text)
-        get, word = self.cache.get, self.word
-        return b"".join([get(w) or word(w) for w in text.replace("\n", " ").split(" ")])
+        return b"".join(map(self.cache.__getitem__, text.replace("\n", " ").split(" ")))
 
     def special(self) -> list[str]:
         return [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]

@@ -4,13 +4,15 @@ Each line of a text is an observation of a linear-chain conditional random field
 (0) and content (1). Viterbi decoding marks the lines, and a document is kept if lines marked as content hold
 at least ``share`` of its words. Fixed rules on word counts reject some documents beforehand.
 
-The field is fitted by maximum likelihood (forward-backward gradients) on at most ``sample`` labelled documents
-of each class, those with the least hash of their id; each line bears its document's label, but in a good document a
-line that repeats, or is made of repeated words, is boilerplate. Without labelled rows of both classes ``DEFAULT`` is used.
+The field is fitted on at most ``sample`` labelled documents of each class, those with the least hash of their id. Lines have no
+labels of their own: they are latent, and what is fitted is the document. The expected share of words in content lines, by
+the field's marginals, is to tell good documents from bad ones: the likelihood of the documents' labels under a logistic function of it
+is ascended, so steps and weights are learned together. A labelled text of more than ``lines`` lines gives so many consecutive ones,
+from a place that its id's hash chooses; their features are those of the whole text. Without labelled rows of both classes ``DEFAULT`` is used.
 
 Defined results: a null or empty text has no words, fails the base rules and isn't kept; a null id is kept;
 repeated rows each give a row; rows with a null label aren't used. Row by row, whole texts; only the ids of the sample and
-the features of its lines reach the driver, both bounded by ``sample`` and ``sample_chars``.
+the features of its lines reach the driver, both bounded by ``sample`` and ``lines``.
 """
 
 from __future__ import annotations
@@ -26,12 +28,13 @@ from pyspark.sql import functions as F
 from .common import map_batches, map_rows
 
 SYMBOLS = "#*$%&|<>"
-#: Labelled documents of a class that the fit uses, at most, and the longest text among them in characters.
+#: Labelled documents of a class that the fit uses, at most, and lines of one of them.
 SAMPLE = 600
-SAMPLE_CHARS = 20_000
+SAMPLE_LINES = 512
 SHARE = 0.5
-#: Shrinks the weights of steps: a document's lines are labelled together, so their labels agree more than lines do.
-STEP_PENALTY = 300.0
+#: How sharply a document's label follows from its share; and the fit's penalty on squared weights, of lines and of steps alike.
+SHARPNESS, PENALTY = 20.0, 0.1
+ROUNDS = 150
 FEATURES = (
     "bias", "symbols>0", "symbols>.1", "symbols>.3", "upper>.3", "upper>.7", "digits>.2", "marks>.3", "marks>.7",
     "repeated line", "repeated words>.5", "one or two words", "long words", "short words", "few letters",
@@ -115,7 +118,6 @@ def describe(text: str) -> tuple[tuple[int, int, int, int, int], list[int], list
 
 
 _BITS = 1 << np.arange(N)
-REPEATS = 1 << FEATURES.index("repeated line") | 1 << FEATURES.index("repeated words>.5")
 
 
 def scores(features: list[int], field: Field) -> np.ndarray:
@@ -152,59 +154,109 @@ def content_share(features: list[int], counts: list[int], field: Field) -> float
     return sum(k for k, y in zip(counts, labels, strict=True) if y) / sum(counts)
 
 
-def line_labels(features: list[int], label: int) -> list[int]:
-    return [int(label and not f & REPEATS) for f in features]
-
-
-def fit(documents: list[tuple[list[int], int]], rounds: int = 80, penalty: float = 1.0, step_penalty: float = STEP_PENALTY) -> Field:
-    """documents: the features of the lines, and the document's label. Gradient ascent on the likelihood of the lines' labels."""
-    documents = [(f, y) for f, y in documents if f]
-    if len({y for _, y in documents}) < 2:
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of 2 x 2 matrices (00, 01, 10, 11), each scaled to a largest entry of 1."""
+    out = np.stack([a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3]])
+    return out / out.max(0)
+
+
+def marginals(content: np.ndarray, step: np.ndarray, first: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """P(content) of each line of texts that follow one another, and P(a, b) of it and the line before (00, 01, 10, 11; 0 for first lines).
+
+    content: the score of each line; first: lines that begin a text; longest: the most lines of a text. Products of the 2 x 2 matrices of
+    lines are doubled in length until they reach over any text; what leads from one text to the next has rank one, so they don't mix.
+    """
+    ways = np.exp(step - step.max()).ravel()[:, None]
+    line = np.exp(-np.logaddexp(0, np.stack([content, -content])))  # of the scores 0 and c the exponentials, scaled to a sum of 1
+    ahead = np.where(first, 1.0, ways) * line[[0, 1, 0, 1]]
+    last = np.r_[first[1:], True]
+    behind = np.concatenate([ahead[:, 1:], np.ones((4, 1))], 1)
+    behind[:, last] = 1.0
+    d = 1
+    while d <= longest:
+        grown, back = ahead.copy(), behind.copy()
+        grown[:, d:] = _product(ahead[:, :-d], ahead[:, d:])
+        back[:, :-d] = _product(behind[:, :-d], behind[:, d:])
+        ahead, behind, d = grown, back, 2 * d
+    a, b = ahead[:2], behind[[0, 2]]
+    p = a * b
+    pairs = np.zeros((4, len(content)))
+    x = a[:, :-1] / a[:, :-1].sum(0)
+    pairs[:, 1:] = x[[0, 0, 1, 1]] * ways * (line * b)[[0, 1, 0, 1], 1:]
+    pairs[:, 1:] /= pairs[:, 1:].sum(0)
+    pairs[:, first] = 0
+    return p[1] / p.sum(0), pairs
+
+
+def shares(documents: list[tuple[list[int], list[int]]], field: Field) -> np.ndarray:
+    """The expected share of words in content lines of each document (features and words of its lines)."""
+    return _Lines(documents).expected(np.asarray(field.weights), np.asarray(field.step))[0]
+
+
+class _Lines:
+    """The lines of documents, one after another: no document takes more room than its lines."""
+
+    def __init__(self, documents: list[tuple[list[int], list[int]]]):
+        sizes = np.array([len(f) for f, _ in documents])
+        self.held = (((np.concatenate([np.asarray(f, np.int64) for f, _ in documents]))[:, None] & _BITS) != 0).astype(np.float64)
+        self.starts, self.longest, self.sizes = np.r_[0, np.cumsum(sizes)[:-1]], int(sizes.max()), sizes
+        self.first = np.zeros(len(self.held), bool)
+        self.first[self.starts] = True
+        words = np.concatenate([np.asarray(k, np.float64) for _, k in documents])
+        self.weight = words / np.repeat(np.add.reduceat(words, self.starts), sizes)
+
+    def expected(self, weights: np.ndarray, step: np.ndarray, tilt: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each document the share; in all the features of content lines, and the steps."""
+        p, pairs = marginals(self.held @ weights + tilt, step, self.first, self.longest)
+        return np.add.reduceat(self.weight * p, self.starts), p @ self.held, pairs.sum(1).reshape(2, 2)
+
+    def likelihood(self, weights: np.ndarray, step: np.ndarray, y: np.ndarray, share: float, penalty: float) -> float:
+        z = SHARPNESS * (self.expected(weights, step)[0] - share) * np.where(y, 1, -1)
+        return float(-np.logaddexp(0, -z).sum() - penalty / 2 * ((weights**2).sum() + (step**2).sum()))
+
+    def gradient(self, weights: np.ndarray, step: np.ndarray, y: np.ndarray, share: float, penalty: float) -> tuple[np.ndarray, np.ndarray]:
+        """Of ``likelihood``. The slope of a document's share is its covariance with the features: how their expectation moves
+        if lines are tilted towards content by their weight in the share."""
+        z = SHARPNESS * (self.expected(weights, step)[0] - share)
+        tilt = np.repeat(SHARPNESS * (y - 1 / (1 + np.exp(-z))), self.sizes) * self.weight
+        e = 1e-4 / max(1e-9, np.abs(tilt).max())
+        (_, fu, su), (_, fd, sd) = self.expected(weights, step, e * tilt), self.expected(weights, step, -e * tilt)
+        return (fu - fd) / (2 * e) - penalty * weights, (su - sd) / (2 * e) - penalty * step
+
+
+def fit(
+    documents: list[tuple[list[int], list[int], int]], rounds: int = ROUNDS, penalty: float = PENALTY, share: float = SHARE, chain: bool = True
+) -> Field:
+    """documents: features and words of the lines, and the document's label. chain: False leaves the steps at 0. AdaGrad ascent."""
+    documents = [d for d in documents if d[0]]
+    if len({y for *_, y in documents}) < 2:
         return DEFAULT
-    length = max(len(f) for f, _ in documents)
-    x = np.zeros((len(documents), length), np.int64)
-    y = np.zeros((len(documents), length), np.int64)
-    there = np.zeros((len(documents), length), bool)
-    for i, (f, label) in enumerate(documents):
-        x[i, : len(f)] = f
-        y[i, : len(f)] = line_labels(f, label)
-        there[i, : len(f)] = True
-    held = ((x[:, :, None] & _BITS) != 0).astype(np.float32) * there[:, :, None]
-    lines = there.sum(1)
-    scale = 1.0 / lines  # each document counts as one, whatever its length
+    lines, y = _Lines([d[:2] for d in documents]), np.array([d[2] for d in documents])
     weights, step = np.zeros(N), np.zeros((2, 2))
-    seen_w = (held * (y * scale[:, None])[:, :, None]).sum((0, 1))
-    pairs = there[:, 1:] * scale[:, None]
-    seen_s = np.array([[(pairs * ((y[:, :-1] == a) & (y[:, 1:] == b))).sum() for b in (0, 1)] for a in (0, 1)])
     sums_w, sums_s = np.full(N, 1e-8), np.full((2, 2), 1e-8)
     for _ in range(rounds):
-        emit = np.stack([np.zeros(x.shape), held @ weights], 2)
-        ahead, behind = np.zeros_like(emit), np.zeros_like(emit)
-        ahead[:, 0] = emit[:, 0]
-        for t in range(1, length):
-            here = np.logaddexp(ahead[:, t - 1, :1] + step[0], ahead[:, t - 1, 1:] + step[1]) + emit[:, t]
-            ahead[:, t] = np.where(there[:, t, None], here, ahead[:, t - 1])
-        for t in range(length - 2, -1, -1):
-            after = emit[:, t + 1] + behind[:, t + 1]
-            here = np.logaddexp(after[:, :1] + step[:, 0], after[:, 1:] + step[:, 1])
-            behind[:, t] = np.where(there[:, t + 1, None], here, 0)
-        total = np.logaddexp(ahead[:, -1, 0], ahead[:, -1, 1])
-        p = np.exp(ahead[:, :, 1] + behind[:, :, 1] - total[:, None]) * there * scale[:, None]
-        grad_w = seen_w - (held * p[:, :, None]).sum((0, 1)) - penalty * weights
-        pair = ahead[:, :-1, :, None] + step + (emit + behind)[:, 1:, None, :] - total[:, None, None, None]
-        grad_s = seen_s - (np.exp(pair) * (there[:, 1:] * scale[:, None])[:, :, None, None]).sum((0, 1)) - step_penalty * step
+        grad_w, grad_s = lines.gradient(weights, step, y, share, penalty)
         sums_w += grad_w**2
         sums_s += grad_s**2
         weights = weights + 0.5 * grad_w / np.sqrt(sums_w)
-        step = step + 0.5 * grad_s / np.sqrt(sums_s)
+        if chain:
+            step = step + 0.5 * grad_s / np.sqrt(sums_s)
     return Field(tuple(weights.tolist()), tuple(map(tuple, step.tolist())))
 
 
 def fit_on(
     df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS,
+    sample: int = SAMPLE, lines: int = SAMPLE_LINES,
 ) -> Field:
     """Fit on the labelled documents with the least hashes of their ids, ``sample`` of each class."""
+    return fit(labelled_lines(df, labels, id_col, text_col, label_col, sample, lines))
+
+
+def labelled_lines(
+    df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+    sample: int = SAMPLE, lines: int = SAMPLE_LINES,
+) -> list[tuple[list[int], list[int], int]]:
+    """What ``fit`` takes; by id, of rows that repeat one the least features."""
     named = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("int").alias("label"))
     named = named.where(F.col("id").isNotNull())
     ids = {
@@ -213,17 +265,23 @@ def fit_on(
         for row in named.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(sample).collect()
     }
     if len(set(ids.values())) < 2:
-        return DEFAULT
+        return []
     found = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where(
-        F.col("id").isin(list(ids)) & (F.length("text") <= sample_chars)
+        F.col("id").isin(list(ids)) & F.col("text").isNotNull()
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            yield {"id": b.column(0), "features": [describe(t)[1] for t in b.column(1).to_pylist()]}
-
-    rows = map_batches(found, run, "id bigint, features array<int>").dropDuplicates(["id"]).collect()
-    return fit([(list(r.features), ids[r.id]) for r in sorted(rows, key=lambda r: r.id)])
+            out: list[list] = [[], []]
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                _, features, words = describe(t)
+                at = i * 2654435761 % max(1, len(features) - lines + 1)
+                for column, values in zip(out, (features, words), strict=True):
+                    column.append(values[at : at + lines])
+            yield {"id": b.column(0), "features": out[0], "words": out[1]}
+
+    rows = map_batches(found, run, "id bigint, features array<int>, words array<int>").groupBy("id").agg(F.min(F.struct("features", "words")).alias("m"))
+    return [(list(r.m.features), list(r.m.words), ids[r.id]) for r in sorted(rows.collect(), key=lambda r: r.id)]
 
 
 def quality(

@@ -12,7 +12,7 @@ secrets and endpoints are joined on overlapping intervals, each widened by ``rea
 An identifier is complementary to a secret; a secret to an identifier or an endpoint.
 
 Defined results: a null or empty text has no spans; a null id is kept; repeated rows each give a row;
-an empty table gives an empty one. Texts of any length are scanned whole, row by row, without a shuffle.
+an empty table gives an empty one. Texts of any length are scanned whole, row by row, without a shuffle; the patterns take linear time.
 """
 
 from __future__ import annotations
@@ -40,11 +40,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 WEAK_ID = re.compile(
     r"""\b(?:(?:client|account|access_?key|app|tenant)_?id|user(?:_?name)?|login)["']?\x20*[:=]\x20*["']?"""
-    r"""([A-Za-z0-9@._-]{3,128})""",
+    r"""([A-Za-z0-9@._-]{3,})""",
     re.A | re.I,
 )
 WEAK_SECRET_CUE = re.compile(
-    r"""\b(?:pwd|pass|auth|bearer|credential|private_?key|signature)["']?\x20*[:=\x20]\x20*["']?([A-Za-z0-9+/_.=-]{8,})""",
+    r"""\b(?:pwd|pass|auth|bearer|credential|private_?key|signature)["']?(?:\x20*+[:=]\x20*+|\x20++)["']?([A-Za-z0-9+/_.=-]{8,})""",
     re.A | re.I,
 )
 WEAK_SECRET = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
@@ -80,28 +80,29 @@ def strong_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def _free(start: int, end: int, taken: list[tuple[int, int, str]]) -> bool:
-    """taken: spans by start; they may overlap one another by a little only."""
-    i = bisect.bisect_left(taken, (end,))
-    return not any(b > start for _, b, _ in taken[max(0, i - 3) : i])
+class Taken:
+    """Spans by start, with the running maxima of their ends: has any of them a point in an interval?"""
+
+    def __init__(self, spans: list[tuple[int, int, str]]):
+        self.starts, self.ends = [], []
+        for s, e, _ in sorted(spans):
+            self.starts.append(s)
+            self.ends.append(max(e, self.ends[-1]) if self.ends else e)
+
+    def meets(self, low: int, high: int) -> bool:
+        i = bisect.bisect_left(self.starts, high)
+        return i > 0 and self.ends[i - 1] > low
 
 
 def _near(spans: list[tuple[int, int, str]], others: list[tuple[int, int, str]], reach: int, blanks: list[int]) -> list:
-    """Spans that have one of others within reach in their scope: an interval join by binary search.
-
-    others is sorted by start; running maxima of its ends tell if any earlier one reaches into the window.
-    """
-    starts = [s for s, _, _ in others]
-    ends: list[int] = []
-    for _, e, _ in others:
-        ends.append(max(e, ends[-1]) if ends else e)
+    """Spans that have one of others within reach in their scope: an interval join by binary search."""
+    taken = Taken(others)
     out = []
     for span in spans:
         at = bisect.bisect_right(blanks, span[0])
         low = max(span[0] - reach, blanks[at - 1] if at else 0)
         high = min(span[1] + reach, blanks[at] if at < len(blanks) else span[1] + reach)
-        i = bisect.bisect_left(starts, high)
-        if i and ends[i - 1] > low:
+        if taken.meets(low, high):
             out.append(span)
     return out
 
@@ -114,24 +115,22 @@ def find_secrets(text: str | None, reach: int = REACH) -> list[tuple[int, int, s
     endpoints = [(*m.span(), "weak_endpoint") for m in ENDPOINT.finditer(text)] if "://" in text else []
     ids = []
     if ":" in text or "=" in text:
-        taken = sorted(base)
-        ids = [(*m.span(), "weak_id") for m in WEAK_ID.finditer(text) if _free(*m.span(), taken)]
+        taken = Taken(base)
+        ids = [(*m.span(), "weak_id") for m in WEAK_ID.finditer(text) if not taken.meets(*m.span())]
     weak = []
     if ids or endpoints or any(k == "access" for _, _, k in base):
-        taken = sorted(base + ids + endpoints)
-        cued = [(*m.span(), "weak_secret") for m in WEAK_SECRET_CUE.finditer(text) if _free(*m.span(), taken)]
-        taken = sorted(taken + cued)
+        taken = Taken(base + ids + endpoints)
+        cued = [(*m.span(), "weak_secret") for m in WEAK_SECRET_CUE.finditer(text) if not taken.meets(*m.span())]
+        taken = Taken(base + ids + endpoints + cued)
         weak = cued + [
-            (*m.span(), "weak_secret")
-            for m in WEAK_SECRET.finditer(text)
-            if looks_random(m[0]) and _free(*m.span(), taken)
+            (*m.span(), "weak_secret") for m in WEAK_SECRET.finditer(text) if not taken.meets(*m.span()) and looks_random(m[0])
         ]
     if ids or endpoints or weak:
         blanks = [m.start() for m in BLANK.finditer(text)]
-        identifiers = sorted([s for s in base if s[2] == "access"] + ids)
-        secrets = sorted([s for s in base if s[2] != "access"] + weak)
+        identifiers = [s for s in base if s[2] == "access"] + ids
+        secrets = [s for s in base if s[2] != "access"] + weak
         base = base + _near(ids, secrets, reach, blanks) + _near(endpoints, secrets, reach, blanks)
-        base += _near(weak, sorted(identifiers + endpoints), reach, blanks)
+        base += _near(weak, identifiers + endpoints, reach, blanks)
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(base, key=lambda s: (s[0], order[s[2]], s[1]))
 

@@ -8,9 +8,11 @@ a signature. Rows with equal signatures meet in an equality join and are verifie
 Equal fingerprints are merged first, so a group of copies is one row. Where rows meet, no pairs are emitted:
 the rows of a signature are searched from one to the next (breadth first, taking out what is reached), and the
 edges of a spanning forest of the links are returned. A signature with more than ``block`` fingerprints isn't
-held by one task: it is cut into blocks, and each pair of blocks is a group of its own.
+held by one task: its rows differ by at most one bit in that segment, so they are indexed anew by the halves of the other
+one, and where that isn't enough by quarters. What then agrees leaves eleven bits free, so a group has at most 2,048 fingerprints.
 
-Components come from alternating large-star and small-star steps, each round written to the shared folder.
+Components come from alternating large-star and small-star steps, each round written to the shared folder, until nothing changes. Joins
+on a node or fingerprint that many rows have broadcast the few hot keys (``common.join_unique``).
 
 Defined results: a null text counts as empty; texts without words have fingerprint zero and are linked like any
 others; of a null id the component is found, but it is never the least; repeated rows share their result.
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize
+from .common import discard, join_unique, map_batches, materialize
 
 SEED = 42
 #: Bits in which linked fingerprints differ, at most. The two segments serve up to three.
@@ -64,14 +66,36 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return map_batches(df, run, "doc_id bigint, fp bigint" + (", h bigint" if hashed else ""))
 
 
-def signatures(fps: DataFrame) -> DataFrame:
-    """64 rows for each fp: sig has the number of the deleted bit, then the rest of its segment."""
+#: Bits of the parts that are indexed at each level, and how many parts of the bits not yet agreed on there are.
+LEVELS = (32, 16, 8)
+
+
+def signatures(fps: DataFrame, level: int = 0) -> DataFrame:
+    """sig and fp: the keys under which each fingerprint is indexed at a level; rows that differ by at most BITS bits share one.
+
+    Level 0: fps has fp. The 64 bits are two parts of 32; a key is a part without one of its bits. Further levels: fps has sig and
+    fp, whose sig agrees in all but one bit of its part; the other part is cut in two, of which one differs by at most one bit.
+    A key's ``path`` tells the parts chosen so far (from the highest level on, 0 for the lower one).
+    """
+    width = LEVELS[level]
     k = F.col("k")
-    segment = F.when(k < 32, F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned("fp", 32))
-    rest = F.expr("4294967295L ^ shiftleft(1L, k % 32)")
-    return fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("k")).select(
-        (F.expr("shiftleft(cast(k as bigint), 32)").bitwiseOR(segment.bitwiseAND(rest))).alias("sig"), "fp"
-    )
+    half = F.floor(k / width).cast("int")
+    if level == 0:
+        shift, path, before = half * width, half.cast("bigint"), F.lit(0).cast("bigint")
+    else:
+        # the part that is left: the sibling of the last one chosen, within the sibling of the one before, ...
+        base = F.lit(0)
+        for i in range(level):
+            chosen = F.shiftright(F.col("path"), level - 1 - i).bitwiseAND(F.lit(1)).cast("int")
+            base = base + (1 - chosen) * LEVELS[i]
+        shift, path, before = base + half * width, F.col("path") * 2 + half, F.col("sig")
+    bit = shift + k % width
+    part = F.expr(f"shiftleft({(1 << width) - 1}L, shift)")
+    kept = F.col("fp").bitwiseAND(part).bitwiseAND(F.expr("~shiftleft(1L, bit)"))
+    rows = fps.select("*", F.explode(F.sequence(F.lit(0), F.lit(2 * width - 1))).alias("k"))
+    rows = rows.select(before.alias("before"), path.alias("path"), bit.cast("int").alias("bit"), shift.cast("int").alias("shift"), "fp")
+    key = F.xxhash64("before", "path", "bit", kept)
+    return rows.select(key.alias("sig"), "path", "fp")
 
 
 def forest(a: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -94,111 +118,105 @@ def forest(a: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[np.ndarray]
 
 def links(fps: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) that join distinct fingerprints of fps just as all links would; a < b as signed integers."""
-    sigs = signatures(fps).repartition(F.col("sig")).sortWithinPartitions("sig")
+    edges, todo = None, fps
+    for level in range(len(LEVELS)):
+        found = materialize(_linked(signatures(todo, level), bits, block, level + 1 == len(LEVELS)), "links")
+        here = found.where(F.col("sig").isNull()).select("a", "b")
+        edges = here if edges is None else edges.union(here)
+        todo = found.where(F.col("sig").isNotNull()).select("sig", "path", F.col("a").alias("fp"))
+        if todo.isEmpty():
+            break
+    return edges.distinct()
+
+
+def _linked(sigs: DataFrame, bits: int, block: int, last: bool) -> DataFrame:
+    """Edges within signatures (sig is null), and the rows of signatures with more than ``block``, as they are; none at the last level."""
+    sigs = sigs.repartition(F.col("sig")).sortWithinPartitions("sig", "path", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        kept_sig, kept = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        kept = [np.zeros(0, np.int64)] * 3
         large: int | None = None
 
-        def solve(sig: np.ndarray, fp: np.ndarray) -> tuple[dict, dict]:
-            """Runs of one sig each, whole."""
-            edges: tuple[list, list] = ([], [])
+        def solve(sig: np.ndarray, fp: np.ndarray) -> dict:
+            """Runs of one sig each, whole. What differs in path but has one sig by chance is verified like the rest."""
+            x, y = [], []
             cuts = np.flatnonzero(np.diff(sig)) + 1
             starts, ends = np.r_[0, cuts], np.r_[cuts, len(sig)]
-            sizes = ends - starts
-            two = starts[sizes == 2]
-            x, y = fp[two].view(np.uint64), fp[two + 1].view(np.uint64)
-            near = np.bitwise_count(x ^ y) <= bits
-            edges[0].append(x[near])
-            edges[1].append(y[near])
-            for i in np.flatnonzero(sizes > 2):
+            two = starts[ends - starts == 2]
+            a, b = fp[two].view(np.uint64), fp[two + 1].view(np.uint64)
+            near = np.bitwise_count(a ^ b) <= bits
+            x.append(a[near])
+            y.append(b[near])
+            for i in np.flatnonzero(ends - starts > 2):
                 got = forest(fp[starts[i] : ends[i]].view(np.uint64), bits)
-                edges[0].extend(got[0])
-                edges[1].extend(got[1])
-            return edges
-
-        def rows(edges: tuple[list, list]) -> dict:
-            x = np.concatenate(edges[0]).view(np.int64) if edges[0] else np.zeros(0, np.int64)
-            y = np.concatenate(edges[1]).view(np.int64) if edges[1] else np.zeros(0, np.int64)
-            return {"sig": pa.nulls(len(x), pa.int64()), "a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))}
+                x.extend(got[0])
+                y.extend(got[1])
+            a, b = np.concatenate(x).view(np.int64), np.concatenate(y).view(np.int64)
+            return {"sig": pa.nulls(len(a), pa.int64()), "path": pa.nulls(len(a), pa.int64()), "a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))}
 
-        def raw(sig: np.ndarray, fp: np.ndarray) -> dict:
-            return {"sig": pa.array(sig), "a": pa.array(fp), "b": pa.array(fp)}
+        def raw(rows: list[np.ndarray]) -> dict:
+            return dict(zip(("sig", "path", "a", "b"), map(pa.array, (*rows, rows[2])), strict=True))
 
         for batch in batches:
-            sig = np.concatenate([kept_sig, batch.column(0).to_numpy(zero_copy_only=False)])
-            fp = np.concatenate([kept, batch.column(1).to_numpy(zero_copy_only=False)])
-            if not len(sig):
-                continue
+            rows = [np.concatenate([k, c.to_numpy(zero_copy_only=False)]) for k, c in zip(kept, batch.columns, strict=True)]
             if large is not None:  # what still belongs to a signature that is too large to hold
-                end = int(np.searchsorted(sig, large, "right"))
+                end = int(np.searchsorted(rows[0], large, "right"))
                 if end:
-                    yield raw(sig[:end], fp[:end])
-                sig, fp = sig[end:], fp[end:]
-                if len(sig):
+                    yield raw([c[:end] for c in rows])
+                rows = [c[end:] for c in rows]
+                if len(rows[0]):
                     large = None
+            sig = rows[0]
             if not len(sig):
-                kept_sig, kept = sig, fp
+                kept = rows
                 continue
             cuts = np.flatnonzero(np.diff(sig)) + 1
             starts, ends = np.r_[0, cuts], np.r_[cuts, len(sig)]
-            out = ends - starts > block
+            out = (ends - starts > block) & (not last)
             for s, e in zip(starts[out], ends[out], strict=True):
-                yield raw(sig[s:e], fp[s:e])
-            last = starts[-1]
+                yield raw([c[s:e] for c in rows])
+            end = starts[-1]
             if out[-1]:
-                large = int(sig[-1])
-                last = len(sig)
+                large, end = int(sig[-1]), len(sig)
             small = np.repeat(~out, ends - starts)
-            small[last:] = False
+            small[end:] = False
             if small.any():
-                yield rows(solve(sig[small], fp[small]))
-            kept_sig, kept = sig[last:], fp[last:]
-        if len(kept_sig):
-            yield rows(solve(kept_sig, kept))
-
-    found = materialize(map_batches(sigs, run, "sig bigint, a bigint, b bigint"), "links")
-    return found.where(F.col("sig").isNull()).select("a", "b").union(_in_blocks(found.where(F.col("sig").isNotNull()), bits, block)).distinct()
-
+                yield solve(sig[small], rows[2][small])
+            kept = [c[end:] for c in rows]
+        if len(kept[0]):
+            yield solve(kept[0], kept[2])
 
-def _in_blocks(large: DataFrame, bits: int, block: int) -> DataFrame:
-    """Edges within signatures of more than block fingerprints: each pair of blocks of a signature is a group."""
-    sizes = large.groupBy("sig").agg(F.ceil(2 * F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    dealt = large.select("sig", F.col("a").alias("fp")).join(sizes, "sig")
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = dealt.select("sig", "fp", "own", other).select(
-        "sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp"
-    )
+    return map_batches(sigs, run, "sig bigint, path bigint, a bigint, b bigint")
 
-    def run(key: tuple[pa.Scalar, ...], batch: pa.Table) -> pa.Table:
-        left, right = forest(batch.column("fp").to_numpy().view(np.uint64), bits)
-        x = np.concatenate([np.zeros(0, np.uint64), *left]).view(np.int64)
-        y = np.concatenate([np.zeros(0, np.uint64), *right]).view(np.int64)
-        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
-    return dealt.groupBy("sig", "i", "j").applyInArrow(run, "a bigint, b bigint")
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node and root, the least node of its component, for each node of the edges (a, b).
 
     Large-star: every larger neighbour of a node is joined to the node's least neighbour. Small-star: every
-    smaller one, and the node. Both keep the components; the rounds end when no edge changes.
+    smaller one, and the node. Both keep the components; the rounds end when no edge changes, which they must, as no
+    edge's ends ever grow.
     """
+
+    def state(e: DataFrame) -> tuple:
+        """Count and two sums of hashes: equal for equal sets of edges."""
+        h = [F.xxhash64("a", "b", F.lit(i)).cast("decimal(38,0)") for i in (1, 2)]
+        return tuple(e.agg(F.count("*"), F.sum(h[0]), F.sum(h[1])).first())
+
     edges = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    for _ in range(rounds):
+    now = state(edges)
+    while now[0]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n"))
+        large = join_unique(edges, least, "a", now[0], "n").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
         # now each edge leads from the smaller a to the larger b
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
-        joined = large.join(least, "b")
+        least = large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
+        joined = join_unique(large, least, "b", now[0], "n")
         small = joined.select(F.col("m").alias("a"), "b").union(joined.select(F.col("m").alias("a"), F.col("a").alias("b")))
         after = materialize(small.where("a <> b").distinct(), "edges")
-        same = after.count() == edges.count() and after.join(edges, ["a", "b"], "left_anti").isEmpty()
-        edges = after
-        if same:
+        discard(edges)
+        edges, before = after, now
+        now = state(edges)
+        if now == before:
             break
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select("a", "a").distinct())
 
@@ -210,12 +228,16 @@ def near_duplicates(
     if not 0 <= bits <= 3:
         raise ValueError("two segments with one deleted bit find up to three differing bits")
     rows = materialize(fingerprints(df, id_col, text_col, words), "fingerprints")
-    groups = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "groups")
+    groups = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "groups")
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     roots = materialize(components(links(groups.select("fp"), bits, block)), "roots")
-    least = roots.join(groups, roots.node == groups.fp).groupBy("root").agg(F.min("least").alias("component"))
-    joined = roots.join(least, "root").select(F.col("node").alias("fp"), "component")
-    of_fp = groups.join(joined, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return rows.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    nodes = roots.join(groups, roots.node == groups.fp)
+    least = nodes.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("nodes"))
+    joined = join_unique(roots, least, "root", total, "nodes").select(F.col("node").alias("fp"), "component")
+    of_fp = materialize(groups.join(joined, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"), "n"), "components")
+    discard(groups, roots)
+    found = join_unique(rows, of_fp, "fp", total, "n")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def text_hash(text_col: str) -> Column:
