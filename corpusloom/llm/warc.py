@@ -1,7 +1,7 @@
 """WARC archives: writing with revisits, and reading by boundary-chain verification.
 
 Writing: of records with equal payloads the one with the least page id is a response and the others, which
-hold no payload, revisit it. Archives are written by Spark's text writer, so on any file system: a record's end, two line
+hold no payload but its digest and length, revisit it. Archives are written by Spark's text writer, so on any file system: a record's end, two line
 breaks, is the separator of lines, and an archive has about ``records`` records.
 
 Reading: archives are split like any text, at the magic of a record. A piece between two magics may be a record, or lie
@@ -12,7 +12,8 @@ offsets within the file, and pointer jumping from the file's start (the reachabl
 together, by file; payloads aren't. A payload's length and digest are computed where its piece is read; a payload
 with a magic inside is put together from its pieces in a second pass, which runs only if there is one.
 
-A file whose chain stops before its end is an error, as what follows would be lost. A magic in an address is escaped.
+A file that doesn't begin with a record, or whose chain stops before its end, is an error, as what follows would be lost. A magic in an
+address is escaped.
 
 Defined results: a null html counts as empty; records with a null page id are always responses and nobody
 revisits them; rows that repeat the least page id are all responses; an empty table gives no archive and an empty result.
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, scratch_path
+from .common import join_unique, map_batches, materialize, scratch_path
 
 #: What records begin with, and what ends them.
 MAGIC = "WARC/1."
@@ -51,9 +52,9 @@ def mark_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, url, payload, digest, and refers_to: for revisits the least page id with the payload, else null."""
     pages = pages.select("page_id", "url", "payload", base32_of_sha1(F.col("payload")).alias("digest"))
     keys = pages.where(F.length("payload") >= least_bytes).select("page_id", "digest")
-    firsts = keys.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("page_id").alias("n"))
-    # only payloads that occur more than once, by page: the payloads themselves aren't shuffled
-    later = keys.join(firsts.where("n > 1"), "digest").where(F.col("page_id") > F.col("first"))
+    firsts = keys.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    # only payloads that occur more than once, by page: the payloads themselves aren't shuffled, and those of many pages are broadcast
+    later = join_unique(keys, firsts.where("n > 1"), "digest", pages.count(), "n").where(F.col("page_id") > F.col("first"))
     later = later.select(F.col("page_id").alias("later"), F.col("first").alias("refers_to"), F.col("digest").alias("of")).distinct()
     later = materialize(later, "revisits")
     if later.count() <= BROADCAST_ROWS:
@@ -78,6 +79,7 @@ def record(page_id: Column, url: Column, payload: Column, digest: Column, refers
     revisit = F.concat(
         F.lit(f"WARC-Type: revisit{line}WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest{line}"),
         header("WARC-Refers-To", F.concat(F.lit("<urn:page:"), refers_to.cast("string"), F.lit(">"))),
+        header("WARC-Payload-Length", F.octet_length(payload).cast("string")),
     )
     kind = F.when(refers_to.isNull(), F.lit(f"WARC-Type: response{line}")).otherwise(revisit)
     return F.concat(
@@ -179,6 +181,7 @@ def candidates(split: DataFrame) -> DataFrame:
                         payload = payload_of(value[head : head + length])
                         row[8], row[9] = len(payload), base32(payload)
                     elif row[6] == "revisit":
+                        row[8] = _number(fields.get(b"warc-payload-length", b""))
                         row[9] = fields.get(b"warc-payload-digest", b"").decode("latin-1").removeprefix("sha1:")
                 for column, x in zip(out, row, strict=True):
                     column.append(x)
@@ -229,16 +232,25 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     cut = records.where("type = 'response' and digest is null")
     if not cut.isEmpty():
         records = _mend(spark, path, records, cut)
+    records = records.where("type in ('response', 'revisit')")
+    if not records.where("payload_bytes is null").isEmpty():
+        records = _lengths(records)
+    return records.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+
+
+def _lengths(records: DataFrame) -> DataFrame:
+    """For revisits of other writers, which don't say it: the length of the payload they refer to."""
     responses = records.where("type = 'response' and page_id is not null").groupBy(
         F.col("page_id").alias("response"), F.col("digest").alias("of")
     ).agg(F.max("payload_bytes").alias("of_response"))
-    joined = records.where("type in ('response', 'revisit')").join(
-        responses, (F.col("refers_to") == F.col("response")) & (F.col("digest") == F.col("of")), "left"
-    )
-    return joined.select(
-        "page_id", F.coalesce("payload_bytes", "of_response").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
-        F.col("type").alias("record_type"), "refers_to",
-    )
+    of = records.where("payload_bytes is null").groupBy(F.col("refers_to").alias("response"), F.col("digest").alias("of")).agg(F.count("*").alias("n"))
+    known = of.join(responses, ["response", "of"]).select(F.struct("response", "of").alias("key"), "of_response", "n")
+    rows = records.withColumn("key", F.when(F.col("payload_bytes").isNull(), F.struct(F.col("refers_to").alias("response"), F.col("digest").alias("of"))))
+    short = rows.where("payload_bytes is null")
+    found = join_unique(short, known, "key", short.count(), "n").withColumn("payload_bytes", F.col("of_response")).drop("of_response")
+    lost = short.join(known.select("key"), "key", "left_anti")
+    whole = rows.where("payload_bytes is not null")
+    return whole.unionByName(found).unionByName(lost).drop("key")
 
 
 def _mend(spark: SparkSession, path: str, records: DataFrame, cut: DataFrame) -> DataFrame:
