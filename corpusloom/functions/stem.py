@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
+
+from . import words
 
 VOWELS = "aeiouy"
 DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
@@ -45,7 +48,7 @@ def stem(word: str) -> str:
     if word in SPECIAL:
         return SPECIAL[word]
     w = word.removeprefix("'")
-    w = re.sub(r"^y|(?<=[aeiouy])y", "Y", w)
+    w = re.sub("([aeiouy])y", r"\1Y", re.sub("^y", "Y", w))
     r1, r2 = _regions(w)
     w = re.sub(r"('s'|'s|')$", "", w)
     # 1a
@@ -105,3 +108,20 @@ def stem(word: str) -> str:
     elif w.endswith("ll") and len(w) - 1 >= r2:
         w = w[:-1]
     return w.lower()
+
+
+@lru_cache(1 << 16)
+def index_term(token: str) -> str:
+    """A token as it is indexed and searched: in lower case; stemmed, each part between hyphens, unless it is an identifier or technical."""
+    lower = token.lower()
+    if lower in words.TECHNICAL or identifier(token, lower):
+        return lower
+    return "-".join(p if p in words.UNSTEMMED else stem(p) for p in lower.split("-"))
+
+
+def identifier(token: str, lower: str) -> bool:
+    """As ``text.is_code_identifier`` says of columns."""
+    letter = re.search("[a-z]", lower)
+    return bool(
+        re.search("[._]", lower) or letter and re.search("[0-9]", lower) or len(token) >= 2 and letter and token == token.upper() or re.search("[A-Z]", token[1:])
+    )

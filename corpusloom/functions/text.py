@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from . import words
+from .stem import index_term
 
 TOKEN = r"([\w][\w\-\.]*[\w]|[\w]+)"
 #: Characters that end a phrase.
@@ -29,9 +34,19 @@ def is_stopword(lower: Column) -> Column:
     return lower.isin(words.STOPWORDS) & ~lower.isin(words.TECHNICAL)
 
 
+@F.arrow_udf(ArrayType(StringType()))
+def _index_terms(tokens: pa.Array) -> pa.Array:
+    """Of lists of tokens the terms: each distinct token of a batch is stemmed once."""
+    coded = tokens.flatten().dictionary_encode()
+    terms = pa.array([index_term(t) for t in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+    sizes = pc.fill_null(pc.list_value_length(tokens), 0)
+    offsets = pa.array(np.r_[0, np.cumsum(sizes.to_numpy(zero_copy_only=False))], pa.int32())
+    return pa.ListArray.from_arrays(offsets, terms, mask=tokens.is_null())
+
+
 def tokens(text: Column) -> Column:
-    """Lower-cased tokens without stop words, not stemmed."""
-    return F.filter(raw_words(text), lambda w: ~is_stopword(w))
+    """Terms in order: lower-cased, without stop words, stemmed. The same at index time and at query time."""
+    return _index_terms(F.filter(raw_tokens(text), lambda w: ~is_stopword(F.lower(w))))
 
 
 def has_mixed_case(word: Column) -> Column:
@@ -70,7 +85,7 @@ def title_from_path(path: Column) -> Column:
 
 
 def strip_markdown(text: Column) -> Column:
-    """Eight rewrites, in this order."""
+    """Eight rewrites, in this order. Fixed values."""
     steps = (
         (r"(?s)```[^`]*```|~~~[^~]*~~~", " "), (r"`[^`]+`", " "), (r"\[([^\]]+)\]\([^)]+\)", "$1"),
         (r"\*\*([^*]+)\*\*|__([^_]+)__", "$1$2"), (r"<[^>]+>", " "), (r"(?m)^#{1,6}\s+", ""),

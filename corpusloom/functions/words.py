@@ -7,6 +7,15 @@ STOPWORDS = (
 
 TECHNICAL = "null void async await true false nil err".split()
 
+#: Words that the stemmer leaves as they are.
+UNSTEMMED = (
+    "a about above after again against all am an and any are as at be because been before being below between both but by can did do does doing "
+    "don down during each few for from further had has have having he her here hers herself him himself his how i if in into is it its itself "
+    "just me more most my myself no nor not now of off on once only or other our ours ourselves out over own s same she should so some such t "
+    "than that the their theirs them themselves then there these they this those through to too under until up very was we were what when where "
+    "which while who whom why will with you your yours yourself yourselves"
+).split()
+
 RAKE_STOPWORDS = (
     "a an the and or but in on at to for of with by from is are was were be been being has have had do does did will would "
     "shall should may might can could must that this these those which who whom whose what where when how why it its if then "

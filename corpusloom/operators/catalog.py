@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
-from ..functions import words
+from ..functions import text, words
 
 SEPARATOR = " > "
 
@@ -98,3 +98,21 @@ def key_phrases(texts: DataFrame, top: int = DEFAULTS.rake_phrases, longest: int
     best = p.groupBy("id", "phrase").agg(F.max("score").alias("score"), F.min("at").alias("at"))
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.col("score").desc(), "at")).cast("bigint")
     return best.withColumn("place", place).where(F.col("place") <= top).select("id", "place", "phrase", "score")
+
+
+def bridges(chunks: DataFrame, bridged: DataFrame | None = None, tail: int = DEFAULTS.bridge_tail) -> DataFrame:
+    """chunks: doc, type, source, sequence, heading, content. doc and bridge, the way from a chunk to the next one of its source.
+
+    Three layers, joined: what is completed and entered between their headings, the key phrases of the chunk's last ``tail`` bytes, and its
+    last sentence. Spec chunks have none; nor have those that say nothing, or are in bridged (doc) already.
+    """
+    order = Window.partitionBy("source").orderBy("sequence")
+    c = chunks.where("type <> 'spec'").withColumn("after", F.lead("heading").over(order)).where("after is not null")
+    if bridged is not None:
+        c = c.join(bridged.select("doc"), "doc", "left_anti")
+    found = key_phrases(c.select(F.col("doc").alias("id"), text.rake_words(text.tail_window(F.col("content"), tail)).alias("words")))
+    own = F.array_sort(F.collect_list(F.struct("place", "phrase")))
+    phrases = found.groupBy(F.col("id").alias("doc")).agg(F.array_join(F.transform(own, lambda x: x["phrase"]), ", ").alias("phrases"))
+    layers = heading_bridge(F.col("heading"), F.col("after")), F.concat(F.lit("Established: "), "phrases"), text.last_sentence(F.col("content"))
+    joined = F.concat_ws(". ", *[F.nullif(x, F.lit("")) for x in layers])
+    return c.join(phrases, "doc", "left").select("doc", joined.alias("bridge")).where("bridge <> ''")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, words
 from ..functions.markdown import parse as parse_markdown
-from ..functions.stem import stem as porter2
+from ..functions.stem import index_term
 
 ADJECTIVE = re.compile(r"(?:able|ible|al|ful|ic|ive|less|ous|ary|ant|ent)$")
 NOUN = re.compile(r"(?:tion|sion|ment|ness|ity|ance|ence|ship|ism|ist|er|or|age|ure|ics|ware|base|ing)s?$")
@@ -50,28 +50,18 @@ def parse_links(files: DataFrame) -> DataFrame:
 
 
 def stem_vocabulary(terms: DataFrame) -> DataFrame:
-    """terms: word (lower), original. Adds stem: of distinct words only; code identifiers and technical words stay."""
-    distinct = terms.select("word", "original").distinct()
-
-    def one(word: str) -> str:
-        return "-".join(porter2(p) for p in word.split("-"))
+    """terms: word (lower), original. Each distinct pair with its stem; code identifiers and technical words stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([one(w) for w in b.column(0).to_pylist()], pa.string())], names=["word", "original", "stem"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([index_term(w) for w in b.column(1).to_pylist()], pa.string())], names=["word", "original", "stem"])
 
-    fixed = F.col("word").isin(words.TECHNICAL) | text.is_code_identifier(F.col("original"))
-    same = distinct.where(fixed).withColumn("stem", F.col("word"))
-    return same.unionByName(distinct.where(~fixed).mapInArrow(run, "word string, original string, stem string"))
+    return terms.select("word", "original").distinct().mapInArrow(run, "word string, original string, stem string")
 
 
 def stemmed_tokens(docs: DataFrame) -> DataFrame:
-    """docs: doc, text. doc and its stemmed tokens in order; the stemmer sees each distinct word once."""
-    raw = docs.select("doc", F.posexplode(text.raw_tokens(F.col("text"))).alias("at", "original")).withColumn("word", F.lower("original"))
-    raw = raw.where(~text.is_stopword(F.col("word")))
-    found = raw.join(stem_vocabulary(raw.select("word", "original")), ["word", "original"])
-    own = F.array_sort(F.collect_list(F.struct("at", "stem")))
-    return found.groupBy("doc").agg(F.transform(own, lambda x: x["stem"]).alias("tokens"))
+    """docs: doc, text. doc and its stemmed tokens in order, of documents that have any."""
+    return docs.select("doc", text.tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
 
 
 def _tag(word: Column, first: Column) -> Column:

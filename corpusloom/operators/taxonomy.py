@@ -22,6 +22,7 @@ CODE_PATTERNS = (
     r"(?m)^(?:pub\s+)?(?:fn|struct|enum|trait|impl)\s+(\w+)",
     r"(?m)^(?:public\s+|private\s+|protected\s+)?(?:static\s+)?(?:abstract\s+)?(?:class|interface|enum)\s+(\w+)",
 )
+#: Patterns of list headers and abbreviations. Fixed values.
 LIST_HEADER = r"(?m)^[-*+]\s+([^:\n]+?)(?::\s|(?:\s+--|(?:\s+—)))"
 BOLD = r"(?m)^[ \t]*(?:(?:[-*+]|\d+[.)])[ \t]*)?(?:\*\*([^*\n]+)\*\*|__([^_\n]+)__)"
 LONG = r"[A-Z][a-zA-Z0-9](?:[a-zA-Z0-9 -]{1,50}[a-zA-Z0-9])?"
@@ -135,10 +136,16 @@ def heading_hierarchy(chunks: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def cross_references(links: DataFrame, terms: DataFrame, broader: DataFrame) -> DataFrame:
-    """links: src, dst. terms: key, source. Related pairs (a < b): a heading term of each end, unless one is the other's broader."""
-    pairs = links.distinct().join(terms.select(F.col("source").alias("src"), F.col("key").alias("x")), "src").join(
-        terms.select(F.col("source").alias("dst"), F.col("key").alias("y")), "dst"
+    """links: src, dst. terms: key, source. Related pairs (a < b): a heading term of each end, unless one is the other's broader.
+
+    A link gives as many pairs as its ends' terms multiply to, by definition; two links with the same terms at their ends give them once:
+    sources are put in classes of equal sets of terms, and links between classes are made distinct, before terms are paired.
+    """
+    own = terms.select("key", "source").distinct().groupBy("source").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    ends = links.select("src", "dst").distinct().join(own.select(F.col("source").alias("src"), F.col("keys").alias("xs")), "src").join(
+        own.select(F.col("source").alias("dst"), F.col("keys").alias("ys")), "dst"
     )
+    pairs = ends.select("xs", "ys").distinct().select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y"))
     pairs = pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     known = broader.where("broader is not null").select(F.least("key", "broader").alias("a"), F.greatest("key", "broader").alias("b")).distinct()
     return pairs.join(known, ["a", "b"], "left_anti")

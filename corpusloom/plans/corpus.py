@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Config
@@ -27,29 +29,44 @@ class Corpus:
     lengths: DataFrame
 
 
-def build(files: DataFrame, config: Config = DEFAULTS) -> Corpus:
-    """files: path, content. Parse, strip, count tokens, chunk, extract terms, index by field, and link.
+def build(
+    files: DataFrame, config: Config = DEFAULTS, count: Callable[[Column], Column] = text.estimated_tokens, dictionary: DataFrame | None = None, tag: bool = False
+) -> Corpus:
+    """files: path, content. Parse, strip, count tokens, chunk, extract terms, index by field, link and bridge.
 
-    Each table is written to the checkpoint folder, as several others follow from it.
+    count: the token counter of the chunks' budgets (see ``functions.counting``). dictionary: word and synonyms, for aliases. tag: also
+    take noun phrases and names as terms (approximate). Each table is written to the checkpoint folder, as several others follow from it.
     """
-    blocks = cut(B.strip(parse.parse_blocks(files)).withColumn("tokens", text.estimated_tokens(F.col("content"))))
+    blocks = cut(B.strip(parse.parse_blocks(files)).withColumn("tokens", count(F.col("content"))))
     chunks = cut(chunking.chunk(blocks, config.chunk).withColumn("doc", F.concat("source", F.lit("#"), F.col("sequence").cast("string"))))
     flat = chunks.select(F.col("doc").alias("chunk"), "source", "sequence", F.posexplode("blocks").alias("block", "b")).select(
         "chunk", "source", "sequence", "block", "b.type", "b.content"
     )
-    found = [f(flat) for f in (taxonomy.heading_terms, taxonomy.code_identifiers, taxonomy.list_headers, taxonomy.table_headers)]
-    candidates = found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+    found = [f(flat) for f in (taxonomy.heading_terms, taxonomy.code_identifiers, taxonomy.bold_terms, taxonomy.list_headers, taxonomy.table_headers)]
+    if tag:
+        own = chunks.select(F.col("doc").alias("chunk"), "content")
+        for names in (parse.noun_phrases(own), parse.named_entities(own)):  # after all blocks of their chunk
+            found.append(names.select("chunk", F.lit((1 << 31) - 1).alias("block"), "place", "canonical", F.lit("pos_extraction").alias("source")))
+    shape = ("chunk", "block", "place", "canonical", "source")
+    candidates = reduce(DataFrame.unionByName, [f.select(*shape) for f in found])
     candidates = candidates.select(F.struct("chunk", "block", "place").alias("ordinal"), "canonical", "source", "chunk")
     terms = cut(taxonomy.deduplicate(candidates, config.least_term_frequency))
-    pairs = taxonomy.apply_abbreviations(terms, taxonomy.abbreviations(flat)).groupBy("key").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+    pairs = taxonomy.apply_abbreviations(terms, taxonomy.abbreviations(flat))
+    if dictionary is not None:
+        pairs = pairs.unionByName(taxonomy.apply_dictionary(terms, dictionary))
+    pairs = pairs.groupBy("key").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+    links = cut(parse.parse_links(files).select(F.col("path").alias("src"), paths.resolve_link(F.col("path"), F.col("destination"), True).alias("dst")))
     hierarchy = taxonomy.heading_hierarchy(chunks.select(F.struct("source", "sequence").alias("ordinal"), F.split("heading", " > ").alias("heading")), terms)
+    headed = terms.where("source = 'heading'").select("key", F.explode("chunks").alias("doc")).join(chunks.select("doc", "source"), "doc")
+    near = taxonomy.cross_references(links, headed.select("key", "source").distinct(), hierarchy.select("key", "broader"))
+    related = near.select(F.col("a").alias("key"), F.col("b").alias("other")).unionByName(near.select(F.col("b").alias("key"), F.col("a").alias("other")))
+    related = related.groupBy("key").agg(F.array_sort(F.collect_set("other")).alias("related"))
     none = F.array().cast("array<string>")
     own = taxonomy.chunk_terms(terms)
-    terms = terms.join(pairs, "key", "left").join(hierarchy, "key", "left").select(
-        "key", "canonical", "source", "chunks", F.coalesce("aliases", none).alias("aliases"), F.coalesce("narrower", none).alias("narrower"), none.alias("related")
+    terms = terms.join(pairs, "key", "left").join(hierarchy, "key", "left").join(related, "key", "left").select(
+        "key", "canonical", "source", "chunks", *[F.coalesce(c, none).alias(c) for c in ("aliases", "narrower", "related")]
     )
     terms = cut(terms)
-    links = parse.parse_links(files).select(F.col("path").alias("src"), paths.resolve_link(F.col("path"), F.col("destination"), True).alias("dst"))
     references = catalog.document_references(links, files.select(F.col("path").alias("source")))
     fields = cut(_fields(chunks, own))
     tables = (_manifest(chunks), references, terms, taxonomy.alias_index(terms), index.field_postings(fields), index.field_lengths(fields))
@@ -71,7 +88,7 @@ def _manifest(chunks: DataFrame) -> DataFrame:
     m = chunks.select("doc", "id", "type", "source", "heading", "sequence", "tokens", "content")
     m = m.withColumn("previous", F.lag("doc").over(order)).withColumn("next", F.lead("doc").over(order))
     links = catalog.link_specs(chunks.withColumn("id", F.col("doc")))
-    m = m.join(links.select(F.col("spec").alias("doc"), F.col("object").alias("parent_object")), "doc", "left")
+    m = m.join(links.select(F.col("spec").alias("doc"), F.col("object").alias("parent_object")), "doc", "left").join(catalog.bridges(chunks), "doc", "left")
     return m.join(catalog.reverse_links(links).withColumnRenamed("object", "doc"), "doc", "left")
 
 
@@ -88,5 +105,5 @@ def search(corpus: Corpus, queries: DataFrame, dictionary: DataFrame, config: Co
 def prompt(corpus: Corpus, hits: DataFrame, target: int, config: Config = DEFAULTS) -> DataFrame:
     """The text of the hits that fit the budget, by query."""
     budget = max(target, -(-int(target * config.prompt_multiplier * 1000) // 1000))
-    chosen = fuse.select_budget(hits, budget).withColumn("bridge", F.lit(None).cast("string"))
+    chosen = fuse.select_budget(hits, budget)
     return fuse.assemble(chosen.select("query", "source", "sequence", "type", "content", "bridge"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text, words
 from ..operators import catalog
 from ..registry import query
-from ..sources.adapters import CHUNKS_SQL, chunks, sources, table
+from ..sources.adapters import CHUNKS_SQL, chunks, table
 from .text_queries import RAKE_SQL, sql_list
 
 #: The same chunks under fewer headings, with specs beside objects: a document and the next multiple of five share a path.
@@ -125,23 +125,25 @@ def word_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.key_phrases(t, top=1 << 30).groupBy("id").agg(F.count("*").alias("n"), F.max("score").alias("best"))
 
 
+#: Text in ASCII, so that both engines lower-case alike.
+_TAIL = "CASE WHEN strlen(a) <= 600 THEN a WHEN strpos(right(a, 600), ' ') = 0 THEN right(a, 600) ELSE substr(right(a, 600), strpos(right(a, 600), ' ') + 1) END"
+
+
 @query(
     "W5_bridges",
-    f"""WITH {CHUNKS_SQL}, nx AS (SELECT source, sequence, content, lead(sequence) OVER (PARTITION BY source ORDER BY sequence) AS nx FROM chk WHERE type <> 'spec'),
-        txt AS (SELECT source || '#' || sequence AS id, {RAKE_SQL.format("substr(regexp_replace(content, '[^\\x00-\\x7F]', '_', 'g'), 1, 300)")} AS w FROM nx WHERE nx IS NOT NULL), {RAKE_PHRASES_SQL}
-        SELECT id, 'Established: ' || string_agg(phrase, ', ' ORDER BY place) AS bridge FROM pl WHERE place <= 4 GROUP BY id""",
+    f"""WITH {CHUNKS_SQL}, nx AS (SELECT source || '#' || sequence AS id, regexp_replace(content, '[^\\x00-\\x7F]', '_', 'g') AS a, heading AS h,
+          lead(heading) OVER (PARTITION BY source ORDER BY sequence) AS g FROM chk WHERE type <> 'spec'),
+        n0 AS (SELECT *, {_SHARED.format('h', 'g')} AS n FROM nx WHERE g IS NOT NULL),
+        n1 AS (SELECT *, array_to_string(string_split(h, ' > ')[n + 1:], ' > ') AS x, array_to_string(string_split(g, ' > ')[n + 1:], ' > ') AS y FROM n0),
+        n2 AS (SELECT id, trim(a) AS c, CASE WHEN h = g THEN NULL WHEN x = '' THEN 'Entering: ' || y WHEN y = '' THEN 'Completed: ' || x ELSE 'Completed: ' || x || '. Entering: ' || y END AS one FROM n1),
+        n3 AS (SELECT *, regexp_replace(regexp_extract(c, '(?s)([^.!?]*[.!?])[^.!?]*$', 1), '^\\s+|\\s+$', '', 'g') AS f FROM n2),
+        n4 AS (SELECT id, one, CASE WHEN (len(string_split(c, '```')) - 1) % 2 <> 0 OR starts_with(trim(string_split(c, chr(10))[-1]), '```')
+          OR strlen(f) < 20 OR regexp_matches(f, '^(#|- |\\* |\\|)') THEN NULL ELSE f END AS three FROM n3),
+        txt AS (SELECT id, {RAKE_SQL.format(f'({_TAIL})')} AS w FROM n0), {RAKE_PHRASES_SQL},
+        n5 AS (SELECT id, 'Established: ' || string_agg(phrase, ', ' ORDER BY place) AS two FROM pl WHERE place <= 4 GROUP BY id)
+        SELECT id AS doc, concat_ws('. ', one, two, three) AS bridge FROM n4 LEFT JOIN n5 USING (id) WHERE concat_ws('. ', one, two, three) <> ''""",
 )
 def bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second layer of a bridge, from a chunk's first 300 characters (ASCII, so that both engines lower-case alike)."""
-    from pyspark.sql import Window
-
-    after = F.lead("sequence").over(Window.partitionBy("source").orderBy("sequence"))
-    c = chunks(spark, sf_dir).where("type <> 'spec'").withColumn("after", after).where("after is not null")
-    plain = F.substring(F.regexp_replace("content", r"[^\x00-\x7F]", "_"), 1, 300)
-    t = c.select(F.concat("source", F.lit("#"), F.col("sequence").cast("string")).alias("id"), text.rake_words(plain).alias("words"))
-    own = F.array_sort(F.collect_list(F.struct("place", "phrase")))
-    p = catalog.key_phrases(t).groupBy("id").agg(F.array_join(F.transform(own, lambda x: x["phrase"]), ", ").alias("phrases"))
-    return p.select("id", F.concat(F.lit("Established: "), "phrases").alias("bridge"))
-
-
-_ = sources
+    key = F.concat("source", F.lit("#"), F.col("sequence").cast("string"))
+    plain = F.regexp_replace("content", r"[^\x00-\x7F]", "_")
+    return catalog.bridges(chunks(spark, sf_dir).withColumn("doc", key).withColumn("content", plain))

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ChunkOptions
+from ..functions import counting
 from ..operators import blocks as B
 from ..operators import chunking as C
 from ..registry import query
+from ..session import once
 from ..sources.adapters import BLOCKS_SQL, CHUNKS_SQL, KIND_SQL, blocks, chunks
 
 #: Small enough that lines of prose take every branch.
@@ -31,14 +33,16 @@ PATHS_SQL = (
     + "], lambda x: x IS NOT NULL) AS heading FROM w)"
 )
 
-#: Blocks with some thematic breaks and comments among them.
-MIXED_SQL = BLOCKS_SQL + """, mix AS (SELECT path, position, CASE WHEN position % 11 = 7 THEN 'thematic_break' WHEN position % 13 = 5 THEN 'html' ELSE type END AS type,
+#: Blocks with some thematic breaks and comments among them; files with paths of certain lengths have no headings.
+MIXED_SQL = BLOCKS_SQL + """, bl AS (SELECT * REPLACE (CASE WHEN strlen(path) % 9 = 0 THEN 'paragraph' ELSE type END AS type, CASE WHEN strlen(path) % 9 = 0 THEN 0 ELSE level END AS level) FROM blk),
+  mix AS (SELECT path, position, CASE WHEN position % 11 = 7 THEN 'thematic_break' WHEN position % 13 = 5 THEN 'html' ELSE type END AS type,
     CASE WHEN position % 11 <> 7 AND position % 13 <> 5 AND level > 0 THEN level + 1 ELSE 0 END AS level,
-    CASE WHEN position % 11 <> 7 AND position % 13 = 5 THEN CASE WHEN position % 2 = 0 THEN '<!-- ' ELSE '<b>' END || content ELSE content END AS content, tokens FROM blk)"""
+    CASE WHEN position % 11 <> 7 AND position % 13 = 5 THEN CASE WHEN position % 2 = 0 THEN '<!-- ' ELSE '<b>' END || content ELSE content END AS content, tokens FROM bl)"""
 
 
 def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = blocks(spark, sf_dir)
+    plain = F.octet_length("path") % 9 == 0
+    b = blocks(spark, sf_dir).withColumns({"type": F.when(plain, "paragraph").otherwise(F.col("type")), "level": F.when(plain, 0).otherwise(F.col("level"))})
     rule, html = F.col("position") % 11 == 7, F.col("position") % 13 == 5
     mark = F.when(F.col("position") % 2 == 0, "<!-- ").otherwise("<b>")
     return b.select(
@@ -80,6 +84,16 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks(spark, sf_dir).groupBy("path").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("blocks"))
 
 
+@query("P11_bpe_counts")
+def bpe_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each file's blocks by a byte-level BPE; DuckDB has none to compare with."""
+    import public_tokenizers
+
+    count = counting.counter(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    counted = blocks(spark, sf_dir).select("path", count(F.col("content")).alias("tokens"))
+    return counted.groupBy("path").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("blocks"))
+
+
 @query(
     "P18_titles",
     f"""WITH {BLOCKS_SQL} SELECT path, coalesce(arg_min(content, position) FILTER (type = 'heading' AND level = 1),
@@ -140,6 +154,17 @@ def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.chunk(B.heading_paths(blocks(spark, sf_dir)), OPTIONS)
 
 
+#: The chunker's chunks with the heading path of their first block, as the index and the searches see them.
+BUILT_SQL = CHUNKED_SQL + f""", b AS (SELECT * FROM blk), {PATHS_SQL}, fb AS (SELECT path, k AS sequence, min(position) AS position FROM fin GROUP BY ALL),
+  chk AS (SELECT cc.path AS source, cc.sequence, cc.tokens, cc.type, cc.content, array_to_string(p.heading, ' > ') AS heading
+    FROM cc JOIN fb ON fb.path = cc.path AND fb.sequence = cc.sequence JOIN p ON p.path = cc.path AND p.position = fb.position)"""
+
+
+def built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunker's chunks, made once in a session."""
+    return once(spark, ("chunks", sf_dir), lambda: chunked(spark, sf_dir).drop("blocks"))
+
+
 @query(
     "W3_chunks",
     f"""WITH {CHUNKED_SQL} SELECT path AS source, sequence, total, tokens, oversized, CASE type WHEN 'spec' THEN 'spec:' WHEN 'system' THEN 'sys:' ELSE 'obj:' END

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import fuse, index
+from ..operators import index
 from ..registry import query
 from ..sources.adapters import BLOCKS_SQL, CHUNKS_SQL, blocks, chunks, table
 from . import score_queries as S
@@ -25,7 +25,7 @@ def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def expansion_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.taxonomy import alias_index
 
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("text"))
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
     words = b.where(F.size(text.tokens(F.col("text"))) > 0).select("query", F.explode(text.raw_words(F.col("text"))).alias("alias"))
     found = words.join(alias_index(full_terms(spark, sf_dir)), "alias", "left")
     return found.groupBy("query").agg(F.count("*").alias("words"), F.count("key").alias("known"))
@@ -109,5 +109,3 @@ def run_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def definition_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks(spark, sf_dir).select("path", "position", F.col("content").rlike(r"(?m)^[ \t]*(?:(?:[-*+]|\d+[.)])[ \t]*)?[A-Z]").alias("defined"))
 
-
-_ = fuse

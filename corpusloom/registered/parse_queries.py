@@ -1,4 +1,4 @@
-"""Parsing, stems and noun phrases; without SQL, as DuckDB has no counterpart."""
+"""Parsing, stems and noun phrases; SQL only where DuckDB has a counterpart."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from ..functions import text
 from ..operators import parse
 from ..registry import query
 from ..sources.adapters import chunks, table
+from .text_queries import RAW_SQL, stems_sql
 
 
 def markdown_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +34,7 @@ def parse_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.parse_links(markdown_files(spark, sf_dir))
 
 
-@query("T5_stem")
+@query("T5_stem", f"WITH k AS (SELECT unnest({RAW_SQL}) AS token FROM documents), {stems_sql('k')} SELECT lower(token) AS word, token AS original, term AS stem FROM stems")
 def stem(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = table(spark, sf_dir, "documents").select(F.explode(text.raw_tokens(F.col("text"))).alias("original"))
     return parse.stem_vocabulary(raw.select(F.lower("original").alias("word"), "original"))

@@ -8,16 +8,20 @@ from pyspark.sql import functions as F
 from ..functions import paths, text
 from ..operators import fuse, index
 from ..registry import query
-from ..sources.adapters import CHUNKS_SQL, chunks, table
-from .text_queries import RAW_SQL, TOKENS_SQL
+from ..session import once
+from ..sources.adapters import table
+from .chunk_queries import BUILT_SQL, built
+from .text_queries import KEPT_SQL, stems_sql
 
 CORPUS_SQL = "CASE type WHEN 'spec' THEN 'specs' WHEN 'system' THEN 'system' ELSE 'objects' END"
-DOCS_SQL = CHUNKS_SQL + f""", doc AS (SELECT {CORPUS_SQL} AS corpus, source || '#' || sequence AS doc, {TOKENS_SQL.replace('text', 'content')} AS tokens FROM chk),
-  post AS (SELECT corpus, doc, term, count(*)::BIGINT AS tf FROM (SELECT corpus, doc, unnest(tokens) AS term FROM doc) GROUP BY ALL),
-  len AS (SELECT corpus, doc, len(tokens)::BIGINT AS dl FROM doc),
+#: The whole text of each benchmark item is a query.
+QUERY_SQL = f"qt0 AS (SELECT item_id AS query, unnest({KEPT_SQL}) AS token FROM benchmark)"
+DOCS_SQL = BUILT_SQL + f""", rt AS (SELECT {CORPUS_SQL} AS corpus, source || '#' || sequence AS doc, {KEPT_SQL.replace('text', 'content')} AS tokens FROM chk), {QUERY_SQL},
+  ru AS (SELECT corpus, doc, unnest(tokens) AS token FROM rt), tv AS (SELECT token FROM ru UNION ALL SELECT token FROM qt0), {stems_sql('tv')},
+  post AS (SELECT corpus, doc, term, count(*)::BIGINT AS tf FROM ru JOIN stems USING (token) GROUP BY ALL),
+  len AS (SELECT corpus, doc, len(tokens)::BIGINT AS dl FROM rt),
   cs AS (SELECT corpus, count(*) AS n, avg(dl) AS avgdl FROM len GROUP BY corpus)"""
-#: Each benchmark item is a query: the first three of its tokens.
-QT_SQL = f"qt AS (SELECT item_id AS query, unnest({TOKENS_SQL}[1:3]) AS term FROM benchmark)"
+QT_SQL = "qt AS (SELECT query, term FROM qt0 JOIN stems USING (token))"
 IDF_SQL = "ln(1 + (n - df + 0.5) / (df + 0.5))"
 BM25_SQL = DOCS_SQL + f""", {QT_SQL}, ts AS (SELECT corpus, term, {IDF_SQL} AS idf, avgdl FROM (SELECT corpus, term, count(*) AS df FROM post GROUP BY ALL) JOIN cs USING (corpus)),
   hit AS (SELECT query, corpus, doc, round(sum(idf * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 9) AS score
@@ -26,19 +30,24 @@ BM25_SQL = DOCS_SQL + f""", {QT_SQL}, ts AS (SELECT corpus, term, {IDF_SQL} AS i
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chunks(spark, sf_dir)
     key = F.concat("source", F.lit("#"), F.col("sequence").cast("string"))
-    return c.select(paths.output_dir(F.col("type")).alias("corpus"), key.alias("doc"), text.tokens(F.col("content")).alias("tokens"))
+    c = built(spark, sf_dir).select(paths.output_dir(F.col("type")).alias("corpus"), key.alias("doc"), text.tokens(F.col("content")).alias("tokens"))
+    return once(spark, ("docs", sf_dir), lambda: c)
+
+
+def index_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Postings and lengths, made once; searches read them."""
+    d = docs(spark, sf_dir)
+    return once(spark, ("postings", sf_dir), lambda: index.postings(d)), once(spark, ("lengths", sf_dir), lambda: index.doc_lengths(d))
 
 
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark")
-    return b.select(F.col("item_id").alias("query"), F.posexplode(F.slice(text.tokens(F.col("text")), 1, 3)).alias("ordinal", "term"))
+    return b.select(F.col("item_id").alias("query"), text.tokens(F.col("text")).alias("terms")).select("query", F.posexplode("terms").alias("ordinal", "term"))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir)
-    return index.bm25(query_terms(spark, sf_dir), index.postings(d), index.doc_lengths(d))
+    return index.bm25(query_terms(spark, sf_dir), *index_of(spark, sf_dir))
 
 
 @query("A1_postings", f"WITH {DOCS_SQL} SELECT * FROM post")
@@ -48,14 +57,13 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("A2_term_stats", f"WITH {DOCS_SQL} SELECT corpus, term, df, round({IDF_SQL}, 9) AS idf FROM (SELECT corpus, term, count(*)::BIGINT AS df FROM post GROUP BY ALL) JOIN cs USING (corpus)")
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir)
-    return index.term_stats(index.postings(d), index.corpus_stats(index.doc_lengths(d)))
+    post, lengths = index_of(spark, sf_dir)
+    return index.term_stats(post, index.corpus_stats(lengths))
 
 
 @query("A4_index_stats", f"WITH {DOCS_SQL} SELECT corpus, count(DISTINCT term)::BIGINT AS terms, any_value(n)::BIGINT AS docs, round(any_value(avgdl), 6) AS avgdl FROM post JOIN cs USING (corpus) GROUP BY corpus")
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir)
-    return index.index_stats(index.postings(d), index.doc_lengths(d))
+    return index.index_stats(*index_of(spark, sf_dir))
 
 
 @query("R1_bm25_topk", f"WITH {BM25_SQL} SELECT query, corpus, doc, score, rank FROM rk WHERE rank <= 10")
@@ -69,30 +77,36 @@ def bm25_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Fields of a chunk: its heading, its body, and as terms the keys of its heading's parts; code stays empty.
-FIELDS_SQL = CHUNKS_SQL + ", fd AS (" + " UNION ALL ".join(
-    f"SELECT {CORPUS_SQL} AS corpus, source || '#' || sequence AS doc, '{f}' AS field, {TOKENS_SQL.replace('text', c)} AS tokens FROM chk"
+FIELDS_SQL = BUILT_SQL + ", fd AS (" + " UNION ALL ".join(
+    f"SELECT {CORPUS_SQL} AS corpus, source || '#' || sequence AS doc, '{f}' AS field, {KEPT_SQL.replace('text', c)} AS tokens FROM chk"
     for f, c in (("heading", "heading"), ("body", "content"), ("terms", "lower(heading)"), ("code", "''"))
-) + """),
-  fp AS (SELECT corpus, doc, field, term, count(*)::BIGINT AS tf FROM (SELECT corpus, doc, field, unnest(tokens) AS term FROM fd) GROUP BY ALL),
+) + f"""), {QUERY_SQL}, fu0 AS (SELECT corpus, doc, field, unnest(tokens) AS token FROM fd), tv AS (SELECT token FROM fu0 UNION ALL SELECT token FROM qt0), {stems_sql('tv')},
+  fp AS (SELECT corpus, doc, field, term, count(*)::BIGINT AS tf FROM fu0 JOIN stems USING (token) GROUP BY ALL),
   fl AS (SELECT corpus, doc, field, len(tokens)::BIGINT AS dl FROM fd), fa AS (SELECT corpus, field, avg(dl) AS avgdl FROM fl GROUP BY ALL),
   fn AS (SELECT corpus, count(DISTINCT doc) AS n FROM fl GROUP BY corpus), fdf AS (SELECT corpus, term, count(DISTINCT doc)::BIGINT AS df FROM fp GROUP BY ALL)"""
 
 
 def field_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chunks(spark, sf_dir)
+    c = built(spark, sf_dir)
     key = F.concat("source", F.lit("#"), F.col("sequence").cast("string"))
     parts = F.array(*[
         F.struct(F.lit(f).alias("field"), text.tokens(t).alias("tokens"))
         for f, t in (("heading", F.col("heading")), ("body", F.col("content")), ("terms", F.lower("heading")), ("code", F.lit("")))
     ])
-    return c.select(paths.output_dir(F.col("type")).alias("corpus"), key.alias("doc"), F.explode(parts).alias("p")).select("corpus", "doc", "p.*")
+    rows = c.select(paths.output_dir(F.col("type")).alias("corpus"), key.alias("doc"), F.explode(parts).alias("p")).select("corpus", "doc", "p.*")
+    return once(spark, ("field docs", sf_dir), lambda: rows)
+
+
+def field_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    d = field_docs(spark, sf_dir)
+    return once(spark, ("field postings", sf_dir), lambda: index.field_postings(d)), once(spark, ("field lengths", sf_dir), lambda: index.field_lengths(d))
 
 
 @query("A3_field_stats", f"WITH {FIELDS_SQL} SELECT corpus, term, df, round({IDF_SQL}, 9) AS idf FROM fdf JOIN fn USING (corpus)")
 def field_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = field_docs(spark, sf_dir)
-    n = index.field_lengths(d).groupBy("corpus").agg(F.countDistinct("doc").alias("n"))
-    df = index.field_document_frequency(index.field_postings(d)).join(n, "corpus")
+    post, lengths = field_index(spark, sf_dir)
+    n = lengths.groupBy("corpus").agg(F.countDistinct("doc").alias("n"))
+    df = index.field_document_frequency(post).join(n, "corpus")
     return df.select("corpus", "term", "df", F.round(index.idf(F.col("n"), F.col("df")), 9).alias("idf"))
 
 
@@ -102,7 +116,7 @@ def field_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("corpus", "field", F.round("avgdl", 9).alias("avgdl"))
 
 
-WQT_SQL = f"wqt AS (SELECT item_id AS query, unnest(list_distinct({TOKENS_SQL}[1:3])) AS term FROM benchmark), wq AS (SELECT query, term, CASE WHEN strlen(term) % 2 = 0 THEN 1.0 ELSE 0.7 END::DOUBLE AS weight FROM wqt)"
+WQT_SQL = "wqt AS (SELECT DISTINCT query, term FROM qt0 JOIN stems USING (token)), wq AS (SELECT query, term, CASE WHEN strlen(term) % 2 = 0 THEN 1.0 ELSE 0.7 END::DOUBLE AS weight FROM wqt)"
 BM25F_SQL = FIELDS_SQL + f""", {WQT_SQL}, pt AS (SELECT corpus, doc, term, round(sum(w * CASE WHEN avgdl > 0 THEN tf / (1 - b + b * dl / avgdl) ELSE tf END), 12) AS wtf
     FROM fp JOIN fl USING (corpus, doc, field) JOIN fa USING (corpus, field)
     JOIN (VALUES ('heading', 3.0::DOUBLE, 0.3::DOUBLE), ('terms', 2.0, 0.0), ('body', 1.0, 0.75), ('code', 0.6, 0.5)) v(field, w, b) USING (field)
@@ -118,8 +132,7 @@ def weighted_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def field_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = field_docs(spark, sf_dir)
-    return index.bm25f(weighted_terms(spark, sf_dir), index.field_postings(d), index.field_lengths(d))
+    return index.bm25f(weighted_terms(spark, sf_dir), *field_index(spark, sf_dir))
 
 
 @query("R2_bm25f_topk", f"WITH {BM25F_SQL} SELECT query, corpus, doc, score, rank FROM fr WHERE rank <= 10")
@@ -156,19 +169,26 @@ MANIFEST_SQL = """, mf AS (SELECT source || '#' || sequence AS doc, source, type
 
 def manifest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Manifest rows, and references: each source refers to the next one of its folder."""
+    return once(spark, ("manifest", sf_dir), lambda: _manifest(spark, sf_dir)), once(spark, ("references", sf_dir), lambda: _references(spark, sf_dir).where("dst is not null"))
+
+
+def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = built(spark, sf_dir).select("source").distinct().withColumn("folder", F.element_at(F.split("source", "/"), -2))
+    return sources.select(F.col("source").alias("src"), F.lead("source").over(Window.partitionBy("folder").orderBy("source")).alias("dst"))
+
+
+def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.concat("source", F.lit("#"), F.col("sequence").cast("string"))
     order = Window.partitionBy("source").orderBy("sequence")
-    c = chunks(spark, sf_dir).select("source", "type", "content", "tokens", "sequence", key.alias("doc"))
+    c = built(spark, sf_dir).select("source", "type", "content", "tokens", "sequence", key.alias("doc"))
     mf = c.withColumn("previous", F.lag("doc").over(order)).withColumn("next", F.lead("doc").over(order))
-    folder = F.element_at(F.split("source", "/"), -2)
-    sources = c.select("source").distinct().withColumn("folder", folder)
-    refs = sources.select(F.col("source").alias("src"), F.lead("source").over(Window.partitionBy("folder").orderBy("source")).alias("dst"))
+    refs = _references(spark, sf_dir)
     spec = mf.where("type = 'spec'").select(F.col("doc").alias("spec"), F.col("source").alias("src"), "sequence").join(refs, "src")
     objects = mf.where("type = 'object'").select(F.col("doc").alias("parent"), F.col("source").alias("dst"), "sequence")
     pairs = spec.join(objects, ["dst", "sequence"]).select("spec", "parent")
     mf = mf.join(pairs.select(F.col("spec").alias("doc"), F.col("parent").alias("parent_object")), "doc", "left")
     back = pairs.groupBy("parent").agg(F.min("spec").alias("spec_chunk")).withColumnRenamed("parent", "doc")
-    return mf.join(back, "doc", "left"), refs.where("dst is not null")
+    return mf.join(back, "doc", "left")
 
 
 RERANK_SQL = RRF_SQL + MANIFEST_SQL + """, win AS (SELECT query, doc FROM fu WHERE rank <= ceil(10 * 2.15)), ws AS (SELECT DISTINCT query, source FROM win JOIN mf USING (doc)),
@@ -241,7 +261,7 @@ def assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query", F.sha2(F.col("document").cast("binary"), 256).alias("digest"), "chunks")
 
 
-@query("A25_sources", f"WITH {RERANK_SQL}, f AS (SELECT query, source, min(rank) AS first FROM re JOIN mf USING (doc) WHERE rank <= 10 GROUP BY ALL) SELECT query, source, row_number() OVER (PARTITION BY query ORDER BY first) AS place FROM f")
+@query("A25_sources", f"WITH {RERANK_SQL}, fs0 AS (SELECT query, source, min(rank) AS first FROM re JOIN mf USING (doc) WHERE rank <= 10 GROUP BY ALL) SELECT query, source, row_number() OVER (PARTITION BY query ORDER BY first) AS place FROM fs0")
 def distinct_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuse.distinct_sources(unified(spark, sf_dir))
 
@@ -259,5 +279,3 @@ def effective_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     target, delta = F.col("o_orderkey") % 700, ((F.col("o_orderkey") % 9) - 8) / 8
     return table(spark, sf_dir, "orders").select("o_orderkey", fuse.effective_budget(target, delta=delta).alias("budget"))
 
-
-_ = RAW_SQL

@@ -9,19 +9,20 @@ from ..functions import text, words
 from ..operators import taxonomy as X
 from ..registry import query
 from ..sources.adapters import BLOCKS_SQL, CHUNKS_SQL, blocks, chunks, table
-from .text_queries import KEY_SQL, TOKENS_SQL, sql_list
+from .text_queries import KEPT_SQL, KEY_SQL, sql_list, stems_sql
 
 #: Lines of prose dressed as markdown: code, bold terms, list headers and tables by their position.
 _W1, _W2, _REST = "regexp_extract(content, '^(\\S+)', 1)", "regexp_extract(content, '^(\\S+(?: \\S+)?)', 1)", "regexp_replace(content, '[:*_|]', '')"
-MARK_SQL = BLOCKS_SQL + f""", mk AS (SELECT path AS chunk, position AS block, CASE position % 4 WHEN 0 THEN 'heading' WHEN 1 THEN 'code_block' WHEN 2 THEN 'list' ELSE 'table' END AS type,
-    CASE position % 4 WHEN 0 THEN content WHEN 1 THEN 'def ' || {_W1} || '(x):' || chr(10) || 'class ' || {_W1} || chr(10) || '  pub fn no' || chr(10) || 'export function ' || reverse({_W1}) || '()'
+_K = "CASE WHEN position % 2 = 1 THEN 2 ELSE position // 2 % 4 END"
+MARK_SQL = BLOCKS_SQL + f""", mk AS (SELECT path AS chunk, position AS block, CASE {_K} WHEN 0 THEN 'heading' WHEN 1 THEN 'code_block' WHEN 2 THEN 'list' ELSE 'table' END AS type,
+    CASE {_K} WHEN 0 THEN content WHEN 1 THEN 'def ' || {_W1} || '(x):' || chr(10) || 'class ' || {_W1} || chr(10) || '  pub fn no' || chr(10) || 'export function ' || reverse({_W1}) || '()'
       WHEN 2 THEN '- **' || {_W2} || '** is' || chr(10) || '* ' || {_W1} || ': ' || content || chr(10) || 'so **not here**' || chr(10) || '1. __under__ x' || chr(10) || '+ ' || {_W2} || ' -- dash'
       ELSE replace({_W2}, ' ', ' | ') || ' | Name | ' || {_W1} || chr(10) || '--- | ---' END AS content FROM blk)"""
 
 
 def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = blocks(spark, sf_dir)
-    k = F.col("position") % 4
+    k = F.when(F.col("position") % 2 == 1, 2).otherwise(F.floor(F.col("position") / 2) % 4)
     one, two = F.regexp_extract("content", r"^(\S+)", 1), F.regexp_extract("content", r"^(\S+(?: \S+)?)", 1)
     code = F.concat(F.lit("def "), one, F.lit("(x):\nclass "), one, F.lit("\n  pub fn no\nexport function "), F.reverse(one), F.lit("()"))
     items = F.concat(F.lit("- **"), two, F.lit("** is\n* "), one, F.lit(": "), "content", F.lit("\nso **not here**\n1. __under__ x\n+ "), two, F.lit(" -- dash"))
@@ -45,7 +46,6 @@ def heading_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _three(X.heading_terms(marked(spark, sf_dir)))
 
 
-_CODE = "SELECT chunk, block, list_concat(" + "), list_concat(".join(f"regexp_extract_all(content, '{p}', 1)" for p in X.CODE_PATTERNS[:-1])
 _CODE = "SELECT chunk, block, flatten([" + ", ".join(f"regexp_extract_all(content, '{p}', 1)" for p in X.CODE_PATTERNS) + "]) AS f FROM mk WHERE type = 'code_block'"
 
 
@@ -97,7 +97,7 @@ def abbreviated(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAIRS_SQL = ABBR_SQL + ", pairs AS (SELECT arg_min((s, l), (chunk, block)) AS p FROM ab WHERE strlen(l) <= 54 GROUP BY lower(s), lower(l))"
 
 
-@query("X7_abbreviations", f"WITH {PAIRS_SQL} SELECT p[1] AS short, p[2] AS long FROM pairs".replace("p[1]", "p.\"\"").replace("p.\"\"", "struct_extract(p, 1)").replace("p[2]", "struct_extract(p, 2)"))
+@query("X7_abbreviations", f"WITH {PAIRS_SQL} SELECT struct_extract(p, 1) AS short, struct_extract(p, 2) AS long FROM pairs")
 def abbreviations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.abbreviations(abbreviated(spark, sf_dir))
 
@@ -219,15 +219,17 @@ def cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Terms for expansion: of each heading word its key; narrower and related ones are the next keys.
 EXP_SQL = FULL_SQL + f""", et AS (SELECT key, canonical, aliases, lead(key) OVER o AS nx, lag(key) OVER o AS pv FROM (SELECT *, left(key, 1) AS g FROM full_) WINDOW o AS (PARTITION BY g ORDER BY key)),
     ai AS (SELECT alias, min(key) AS key FROM (SELECT key, lower(unnest(list_concat([canonical, key], aliases))) AS alias FROM full_) GROUP BY alias), {DICT_SQL},
-    qs AS (SELECT item_id AS query, array_to_string(string_split(text, ' ')[1:6], ' ') AS text FROM benchmark), qk AS (SELECT query, text FROM qs WHERE len({TOKENS_SQL}) > 0),
-    og AS (SELECT query, unnest({TOKENS_SQL}) AS term, generate_subscripts({TOKENS_SQL}, 1) - 1 AS j FROM qk),
+    qk AS (SELECT item_id AS query, text FROM benchmark WHERE len({KEPT_SQL}) > 0),
+    og AS (SELECT query, unnest({KEPT_SQL}) AS token, generate_subscripts({KEPT_SQL}, 1) - 1 AS j FROM qk),
     rw AS (SELECT query, lower(unnest(regexp_extract_all(text, '[\\w][\\w\\-\\.]*[\\w]|[\\w]+'))) AS word, generate_subscripts(regexp_extract_all(text, '[\\w][\\w\\-\\.]*[\\w]|[\\w]+'), 1) AS w FROM qk),
     fo AS (SELECT query, w, word, key FROM rw LEFT JOIN ai ON ai.alias = rw.word),
     nm AS (SELECT query, w, 1 AS t, unnest(list_concat([canonical], aliases)) AS text, generate_subscripts(list_concat([canonical], aliases), 1) - 1 AS i FROM fo JOIN et USING (key)
       UNION ALL SELECT query, w, 2, o.canonical, 0 FROM fo JOIN et USING (key) JOIN et o ON o.key = et.nx UNION ALL SELECT query, w, 3, o.canonical, 0 FROM fo JOIN et USING (key) JOIN et o ON o.key = et.pv
       UNION ALL SELECT query, w, 1, unnest(synonyms), generate_subscripts(synonyms, 1) - 1 FROM fo JOIN dict USING (word) WHERE key IS NULL),
-    ex AS (SELECT query, w, t, i, unnest({TOKENS_SQL}) AS term, generate_subscripts({TOKENS_SQL}, 1) - 1 AS j FROM nm),
-    al AS (SELECT query, term, (0, 0, 0, j::INT) AS ord, 'original' AS tier FROM og UNION ALL SELECT query, term, (w::INT, t, i::INT, j::INT), ['alias', 'narrower', 'related'][t] FROM ex),
+    ex AS (SELECT query, w, t, i, unnest({KEPT_SQL}) AS token, generate_subscripts({KEPT_SQL}, 1) - 1 AS j FROM nm),
+    tv AS (SELECT token FROM og UNION ALL SELECT token FROM ex), {stems_sql('tv')},
+    al AS (SELECT query, term, (0, 0, 0, j::INT) AS ord, 'original' AS tier FROM og JOIN stems USING (token)
+      UNION ALL SELECT query, term, (w::INT, t, i::INT, j::INT), ['alias', 'narrower', 'related'][t] FROM ex JOIN stems USING (token)),
     mn AS (SELECT query, term, min(ord) AS ord, arg_min(tier, ord) AS tier FROM al GROUP BY ALL), xq AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY ord) AS ordinal FROM mn)"""
 
 
@@ -238,7 +240,7 @@ def expanded(spark: SparkSession, sf_dir: str, cap: int) -> DataFrame:
     order = Window.partitionBy(F.substring("key", 1, 1)).orderBy("key")
     some = lambda c: F.filter(F.array(c), lambda x: x.isNotNull())
     t = full.select("key", "canonical", "aliases", some(F.lead("key").over(order)).alias("narrower"), some(F.lag("key").over(order)).alias("related"))
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("text"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
     return X.expand(q, t, X.alias_index(full), dictionary(spark), cap)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, text, words
+from ..functions.stem import AFTER_1A, SPECIAL, STEP2, STEP3, STEP4
 from ..registry import query
 from ..sources.adapters import BLOCKS_SQL, CHUNKS_SQL, SOURCES_SQL, blocks, chunks, sources, table
 
@@ -15,10 +16,55 @@ def sql_list(items) -> str:
 
 
 RAW_SQL = r"regexp_extract_all(text, '[\w][\w\-\.]*[\w]|[\w]+')"
-TOKENS_SQL = (
-    f"list_filter(list_transform({RAW_SQL}, lambda w: lower(w)), lambda w: NOT list_contains({sql_list(words.STOPWORDS)}, w) "
-    f"OR list_contains({sql_list(words.TECHNICAL)}, w))"
-)
+STOP_SQL = f"list_contains({sql_list(words.STOPWORDS)}, lower({{0}})) AND NOT list_contains({sql_list(words.TECHNICAL)}, lower({{0}}))"
+#: Raw tokens without stop words, as they are written; ``stems_sql`` makes terms of them.
+KEPT_SQL = f"list_filter({RAW_SQL}, lambda w: NOT ({STOP_SQL.format('w')}))"
+CODE_SQL = r"""(regexp_matches(lower(w), '[._]') OR (regexp_matches(lower(w), '[a-z]') AND regexp_matches(lower(w), '[0-9]'))
+    OR (strlen(w) >= 2 AND regexp_matches(lower(w), '[a-z]') AND w = upper(w)) OR regexp_matches(substr(w, 2), '[A-Z]'))"""
+
+
+def _cut(column: str, endings, rest: str = "") -> str:
+    """A CASE over endings (ending, replacement, condition), the first that fits deciding; {n} in a condition is what is left of it."""
+    whens = [
+        f"WHEN {column} LIKE '%{e}' THEN CASE WHEN {c.format(n=f'(length({column}) - {len(e)})')} THEN left({column}, length({column}) - {len(e)}) || '{to}' ELSE {column} END"
+        for e, to, c in endings
+    ]
+    return f"CASE {' '.join(whens)} {rest} ELSE {column} END"
+
+
+def stems_sql(tokens: str) -> str:
+    """Common table expressions up to ``stems`` (token, term): Porter2 step by step over the parts of the tokens in the relation ``tokens`` (token).
+
+    Independent of the Python stemmer: regular expressions and CASE over whole columns; only lists of the published algorithm are shared.
+    """
+    v, r1, r2 = "[aeiouy]", "{n} >= r1", "{n} >= r2"
+    short = lambda c: f"(regexp_matches({c}, '[^aeiouy][aeiouy][^aeiouywxY]$') OR regexp_matches({c}, '^[aeiouy][^aeiouy]$'))"
+    ing = [(e, "", f"regexp_matches(left(b, {{n}}), '{v}')") for e in ("ingly", "edly", "ing", "ed")]
+    step2 = [(e, to, r1 + {"ogi": " AND d LIKE '%logi'", "li": " AND regexp_matches(d, '[cdeghkmnrt]li$')"}.get(e, "")) for e, to in STEP2]
+    step3 = [(e, to, r2 if e == "ative" else r1) for e, to in STEP3]
+    step4 = [(e, "", r2 + (" AND regexp_matches(g, '[st]ion$')" if e == "ion" else "")) for e in STEP4]
+    cases = ", ".join(f"('{w}', '{t}')" for w, t in SPECIAL.items() if w not in words.UNSTEMMED)
+    return f"""sv AS (SELECT DISTINCT token AS w FROM {tokens}), sp AS (SELECT DISTINCT unnest(string_split(lower(w), '-')) AS p FROM sv),
+    s0 AS (SELECT p, regexp_replace(regexp_replace(p, '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g') AS x FROM sp
+      WHERE length(p) > 2 AND NOT list_contains({sql_list(words.UNSTEMMED)}, p) AND p NOT IN (SELECT * FROM (VALUES {', '.join(f"('{w}')" for w in SPECIAL)}))),
+    s1 AS (SELECT *, CASE WHEN regexp_matches(x, '^(gener|arsen)') THEN 5 WHEN x LIKE 'commun%' THEN 6
+      WHEN regexp_matches(x, '{v}[^aeiouy]') THEN length(regexp_extract(x, '^.*?{v}[^aeiouy]')) ELSE length(x) END AS r1 FROM s0),
+    s2 AS (SELECT *, CASE WHEN regexp_matches(substr(x, r1 + 1), '{v}[^aeiouy]') THEN r1 + length(regexp_extract(substr(x, r1 + 1), '^.*?{v}[^aeiouy]')) ELSE length(x) END AS r2 FROM s1),
+    s3 AS (SELECT *, CASE WHEN x LIKE '%sses' THEN left(x, -2) WHEN x LIKE '%ied' OR x LIKE '%ies' THEN left(x, CASE WHEN length(x) > 4 THEN -2 ELSE -1 END)
+      WHEN x LIKE '%s' AND x NOT LIKE '%us' AND x NOT LIKE '%ss' AND regexp_matches(left(x, -1), '{v}.') THEN left(x, -1) ELSE x END AS b FROM s2),
+    s4 AS (SELECT *, list_contains({sql_list(sorted(AFTER_1A))}, b) AS done, CASE WHEN b LIKE '%eed' OR b LIKE '%eedly' THEN {_cut('b', [('eedly', 'ee', r1), ('eed', 'ee', r1)])}
+      ELSE {_cut('b', ing)} END AS c0 FROM s3),
+    s5 AS (SELECT *, CASE WHEN c0 = b OR b LIKE '%eed' OR b LIKE '%eedly' THEN c0 WHEN regexp_matches(c0, '(at|bl|iz)$') THEN c0 || 'e' WHEN regexp_matches(c0, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') THEN left(c0, -1)
+      WHEN length(c0) <= r1 AND {short('c0')} THEN c0 || 'e' ELSE c0 END AS c FROM s4),
+    s6 AS (SELECT *, CASE WHEN length(c) > 2 AND regexp_matches(c, '[^aeiouy][yY]$') THEN left(c, -1) || 'i' ELSE c END AS d FROM s5),
+    s7 AS (SELECT *, {_cut('d', step2)} AS e FROM s6), s8 AS (SELECT *, {_cut('e', step3)} AS g FROM s7), s9 AS (SELECT *, {_cut('g', step4)} AS h FROM s8),
+    st AS (SELECT p, lower(CASE WHEN done THEN b WHEN h LIKE '%e' AND (length(h) - 1 >= r2 OR (length(h) - 1 >= r1 AND NOT {short('left(h, -1)')})) THEN left(h, -1)
+      WHEN h LIKE '%ll' AND length(h) - 1 >= r2 THEN left(h, -1) ELSE h END) AS s FROM s9 UNION ALL SELECT * FROM (VALUES {cases})),
+    sq AS (SELECT w, unnest(string_split(lower(w), '-')) AS p, generate_subscripts(string_split(lower(w), '-'), 1) AS i FROM sv),
+    stems AS (SELECT w AS token, CASE WHEN {CODE_SQL} OR list_contains({sql_list(words.TECHNICAL)}, lower(w)) THEN lower(w)
+      ELSE string_agg(coalesce(s, p), '-' ORDER BY i) END AS term FROM sq LEFT JOIN st USING (p) GROUP BY w)"""
+
+
 SQUEEZE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 
 
@@ -26,9 +72,14 @@ def sha(column) -> F.Column:
     return F.sha2(column.cast("binary"), 256)
 
 
-@query("T1_tokenize", f"SELECT doc_id, len(t)::BIGINT AS n, sha256(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {TOKENS_SQL} AS t FROM documents)")
+@query(
+    "T1_tokenize",
+    f"""WITH k AS (SELECT doc_id, unnest({KEPT_SQL}) AS token, generate_subscripts({KEPT_SQL}, 1) AS i FROM documents), {stems_sql('k')},
+        t AS (SELECT doc_id, count(*) AS n, string_agg(term, ' ' ORDER BY i) AS t FROM k JOIN stems USING (token) GROUP BY doc_id)
+        SELECT doc_id, coalesce(n, 0)::BIGINT AS n, sha256(coalesce(t, '')) AS digest FROM documents LEFT JOIN t USING (doc_id) WHERE text IS NOT NULL""",
+)
 def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("t"))
+    t = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.tokens(F.col("text")).alias("t"))
     return t.select("doc_id", F.size("t").cast("bigint").alias("n"), sha(F.array_join("t", " ")).alias("digest"))
 
 
@@ -42,10 +93,6 @@ def stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.where(text.is_stopword(F.col("word"))).groupBy("word").agg(F.count("*").alias("n"))
 
 
-CODE_SQL = r"""(regexp_matches(lower(w), '[._]') OR (regexp_matches(lower(w), '[a-z]') AND regexp_matches(lower(w), '[0-9]'))
-    OR (strlen(w) >= 2 AND regexp_matches(lower(w), '[a-z]') AND w = upper(w)) OR regexp_matches(substr(w, 2), '[A-Z]'))"""
-
-
 @query("T3_code_identifier", f"SELECT w AS word, count(*)::BIGINT AS n FROM (SELECT unnest({RAW_SQL}) AS w FROM documents) WHERE {CODE_SQL} GROUP BY w")
 def code_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = table(spark, sf_dir, "documents").select(F.explode(text.raw_tokens(F.col("text"))).alias("word"))

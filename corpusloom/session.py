@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,8 +18,27 @@ def build(master: str = "local[*]", partitions: int = 8, **conf: str) -> SparkSe
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder the cluster names; a temporary folder is set only where none is."""
+    """df written to the checkpoint folder the cluster names. Where none is named, a temporary one if all runs in one process, else an error."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-"))
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="corpusloom-"))
     return df.checkpoint()
+
+
+_made: dict[tuple, DataFrame] = {}
+
+
+def once(spark: SparkSession, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make gives, written the first time it is asked for in this application and read afterwards. ``forget`` drops all of it."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _made:
+        _made[key] = cut(make())
+    return _made[key]
+
+
+def forget() -> None:
+    """Let go of all tables made once, for instance because their sources have changed."""
+    _made.clear()

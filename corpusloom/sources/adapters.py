@@ -1,8 +1,8 @@
 """The corpus tables seen as a documentation tree: sources, blocks, chunks and their SQL twins.
 
-A document is a source; its path follows from its language, source and id. Each of its lines is a block, every
-fourth one a heading. A chunk of these adapters is a heading with the lines up to the next; the real chunker
-is another operator.
+A document is a source; its path follows from its language, source and id. Each of its lines is a block; of every
+fourth one the first two words are a heading, and the rest is a block of its own. A chunk of these adapters is a heading with what follows up
+to the next; the real chunker is another operator, and the search queries run on its chunks.
 """
 
 from __future__ import annotations
@@ -28,21 +28,23 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path, position, type, level, content and tokens of each line that isn't blank."""
-    lines = sources(spark, sf_dir).select("path", F.posexplode(F.split("text", "\n")).alias("position", "line"))
-    lines = lines.where(F.trim("line") != "").withColumn("position", F.col("position").cast("bigint"))
-    heading = F.col("position") % 4 == 0
-    words = F.regexp_extract("line", r"^(\S+(?: \S+)?)", 1)
-    return lines.select(
-        "path", "position", F.when(heading, "heading").otherwise("paragraph").alias("type"),
-        F.when(heading, 1 + F.floor(F.col("position") / 4) % 3).otherwise(0).cast("bigint").alias("level"),
-        F.when(heading, words).otherwise(F.trim("line")).alias("content"),
-    ).withColumn("tokens", text.estimated_tokens(F.col("content")))
+    """path, position, type, level, content and tokens of each line that isn't blank; line n is at 2 n, what follows its heading at 2 n + 1."""
+    lines = sources(spark, sf_dir).select("path", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    n, two = F.col("n").cast("bigint"), r"^(\S+(?: \S+)?)"
+    heading = n % 4 == 0
+    block = lambda at, kind, level, content: F.struct(at.alias("position"), kind.alias("type"), level.cast("bigint").alias("level"), content.alias("content"))
+    own = F.when(heading, block(2 * n, F.lit("heading"), 1 + F.floor(n / 4) % 3, F.regexp_extract("line", two, 1))).otherwise(
+        block(2 * n, F.lit("paragraph"), F.lit(0), F.trim("line"))
+    )
+    rest = F.when(heading, block(2 * n + 1, F.lit("paragraph"), F.lit(0), F.trim(F.regexp_replace("line", two, ""))))
+    rows = lines.where(F.trim("line") != "").select("path", F.explode(F.array(own, rest)).alias("b")).select("path", "b.*")
+    rows = rows.where((F.col("position") % 2 == 0) | (F.col("content") != ""))
+    return rows.withColumn("tokens", text.estimated_tokens(F.col("content")))
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, type, source, heading, sequence, total, tokens and content; four blocks each."""
-    b = blocks(spark, sf_dir).withColumn("sequence", (F.floor(F.col("position") / 4) + 1).cast("bigint"))
+    """id, type, source, heading, sequence, total, tokens and content; four lines each."""
+    b = blocks(spark, sf_dir).withColumn("sequence", (F.floor(F.col("position") / 8) + 1).cast("bigint"))
     own = F.array_sort(F.collect_list(F.struct("position", "content")))
     c = b.groupBy("path", "sequence").agg(own.alias("own"), F.sum("tokens").alias("tokens"))
     kind = paths.classify_source(F.col("path"))
@@ -63,16 +65,18 @@ BLOCKS_SQL = SOURCES_SQL + """, lines AS (
   SELECT path, unnest(string_split(text, chr(10))) AS line,
          (generate_subscripts(string_split(text, chr(10)), 1) - 1)::BIGINT AS position FROM src),
 blk0 AS (
-  SELECT path, position, CASE WHEN position % 4 = 0 THEN 'heading' ELSE 'paragraph' END AS type,
+  SELECT path, 2 * position AS position, CASE WHEN position % 4 = 0 THEN 'heading' ELSE 'paragraph' END AS type,
          CASE WHEN position % 4 = 0 THEN 1 + (position // 4) % 3 ELSE 0 END::BIGINT AS level,
          CASE WHEN position % 4 = 0 THEN regexp_extract(line, '^(\\S+(?: \\S+)?)', 1) ELSE trim(line) END AS content
-  FROM lines WHERE trim(line) <> ''),
+  FROM lines WHERE trim(line) <> ''
+  UNION ALL SELECT path, 2 * position + 1, 'paragraph', 0, trim(regexp_replace(line, '^\\S+(?: \\S+)?', '')) FROM lines
+  WHERE position % 4 = 0 AND trim(regexp_replace(line, '^\\S+(?: \\S+)?', '')) <> ''),
 blk AS (SELECT *, ceil(strlen(content) / 4)::BIGINT AS tokens FROM blk0)"""
 
 KIND_SQL = "CASE WHEN path LIKE '%.spec.md' THEN 'spec' WHEN path LIKE 'system/%' THEN 'system' ELSE 'object' END"
 
 CHUNKS_SQL = BLOCKS_SQL + f""", chk0 AS (
-  SELECT path, position // 4 + 1 AS sequence, sum(tokens)::BIGINT AS tokens, string_agg(content, chr(10) ORDER BY position) AS content,
+  SELECT path, position // 8 + 1 AS sequence, sum(tokens)::BIGINT AS tokens, string_agg(content, chr(10) ORDER BY position) AS content,
          replace(arg_min(content, position), ' ', ' > ') AS heading
   FROM blk GROUP BY ALL),
 chk AS (

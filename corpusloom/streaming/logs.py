@@ -18,14 +18,21 @@ def sessions(log: DataFrame, gap: str = "30 minutes", late: str = "2 hours") ->
 
 
 def merge_hashes(path: str):
-    """For foreachBatch over (path, hash, ts): the newest hash of each path is kept in a table, rewritten beside it and then read."""
+    """For foreachBatch over (path, hash, ts): a table with the newest hash of each path, whatever batch brings it.
+
+    Each epoch writes the next state beside the last one and then deletes the one before that, so an epoch that is run again finds its
+    predecessor. Of equal times the greater hash stands.
+    """
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        newest = batch.groupBy("path").agg(F.max_by("hash", "ts").alias("hash"), F.max("ts").alias("ts"))
+        rows = batch.select("path", "hash", "ts")
         if epoch:
-            old = spark.read.parquet(f"{path}/{epoch - 1}")
-            newest = newest.unionByName(old.join(newest.select("path"), "path", "left_anti"))
-        newest.write.mode("overwrite").parquet(f"{path}/{epoch}")
+            rows = rows.unionByName(spark.read.parquet(f"{path}/{epoch - 1}"))
+        newest = F.max(F.struct("ts", "hash")).alias("m")
+        rows.groupBy("path").agg(newest).select("path", "m.hash", "m.ts").write.mode("overwrite").parquet(f"{path}/{epoch}")
+        if epoch > 1:
+            old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{epoch - 2}")
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return run

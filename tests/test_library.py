@@ -5,6 +5,7 @@ import math
 import random
 
 import duckdb
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from corpusloom.config import ChunkOptions
+from corpusloom.functions import counting
+from corpusloom.functions import text as words_of
 from corpusloom.functions.markdown import parse
 from corpusloom.functions.stem import stem
 from corpusloom.operators import blocks as B
@@ -177,6 +180,56 @@ def test_stemmed_tokens(spark):
     assert [(r.doc, r.tokens) for r in stemmed_tokens(docs).collect()] == [(1, ["run", "createuser", "error-handl", "test"])]
 
 
+TERMS = {
+    "Running tests": ["run", "test"], "CreateUser": ["createuser"], "http.Handler": ["http.handler"], "error-handling": ["error-handl"], "HTTP sessions": ["http", "session"],
+    "await false": ["await", "false"], "because very above": ["because", "very", "above"], "sha256 files": ["sha256", "file"], "_x -c- b": ["_x", "c", "b"], "": [], "the of": [],
+}
+
+
+def test_index_and_query_terms_are_alike(spark):
+    df = spark.createDataFrame([(t,) for t in TERMS] + [(None,)], "text string")
+    got = {r.text: r.t for r in df.select("text", words_of.tokens(F.col("text")).alias("t")).collect()}
+    assert got == {**TERMS, None: None}
+    docs = spark.createDataFrame([("o", "d1", "The sessions are running")], "corpus string, doc string, text string").select("corpus", "doc", words_of.tokens(F.col("text")).alias("tokens"))
+    q = spark.createDataFrame([(1, "a running session")], "query int, text string").select("query", F.explode(words_of.tokens(F.col("text"))).alias("term"))
+    assert index.bm25(q, index.postings(docs), index.doc_lengths(docs)).count() == 1
+
+
+def test_token_counter_equals_another_library(spark):
+    from tokenizers import Tokenizer
+
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()] + ["", " it's  tabs\t\n\n x1y <|endoftext|>", None]
+    count = counting.counter(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", count(F.col("text")).alias("n")).collect()
+    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    other.encode_special_tokens = True
+    assert {r.text: r.n for r in rows} == {t: None if t is None else len(other.encode(t, add_special_tokens=False).ids) for t in texts}
+    assert counting.counter() is words_of.estimated_tokens
+
+
+def test_bridges(spark):
+    last = "Sessions are signed with rotating keys."
+    rows = [
+        ("a#1", "object", "a", 1, "A > B", "Opening words. " * 60 + "Rotating keys expire. " + last), ("a#2", "object", "a", 2, "A > C", "short"), ("a#3", "object", "a", 3, "A > C", "the of and"),
+        ("a#4", "object", "a", 4, "A > C", "x"), ("s#1", "spec", "s", 1, "A", "spec text"), ("s#2", "spec", "s", 2, "B", "more"), ("b#1", "system", "b", 1, "A", "alone"),
+    ]
+    chunks = spark.createDataFrame(rows, "doc string, type string, source string, sequence int, heading string, content string")
+    got = {r.doc: r.bridge for r in catalog.bridges(chunks).collect()}
+    assert set(got) == {"a#1", "a#2"} and got["a#2"] == "Established: short"
+    assert got["a#1"].startswith("Completed: B. Entering: C. Established: ") and got["a#1"].endswith(f". {last}") and "rotating keys" in got["a#1"]
+    assert {r.doc for r in catalog.bridges(chunks, chunks.where("doc = 'a#1'").select("doc")).collect()} == {"a#2"}
+
+
+def test_late_hashes_don_t_replace_newer_ones(spark, tmp_path):
+    run = streams.merge_hashes(str(tmp_path / "h"))
+    rows = lambda *r: spark.createDataFrame(list(r), "path string, hash string, ts bigint")
+    run(rows(("a", "2", 9), ("b", "1", 1)), 0)
+    run(rows(("a", "1", 3), ("b", "2", 4)), 1)
+    run(rows(("c", "1", 1)), 2)
+    assert {r.path: r.hash for r in spark.read.parquet(str(tmp_path / "h" / "2")).collect()} == {"a": "2", "b": "2", "c": "1"}
+    assert not (tmp_path / "h" / "0").exists()
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text("ab #-*`>|_[](){}<!\n1.=~\\&", max_size=80))
 def test_parser_takes_anything(text):
@@ -216,6 +269,8 @@ def test_walk_build_search(spark, tree):
     none = spark.createDataFrame([], "word string, synonyms array<string>")
     hits = plan.search(corpus, q, none).cache()
     assert {r.source for r in hits.collect()} == set(kinds)
+    related = {r.key: r.related for r in corpus.terms.collect()}
+    assert related["tokens"] == [] or isinstance(related["tokens"], list)
     text = plan.prompt(corpus, hits, 100).first().document
     assert text.index("# Instructions") < text.index("# System") < text.index("# Reasoning")
 
