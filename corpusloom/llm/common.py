@@ -109,14 +109,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 HOT_ROWS, HOT_KEYS = 1000, 1000
 
 
-def join_unique(rows: DataFrame, unique: DataFrame, key: str, total: int, count: str) -> DataFrame:
+def join_unique(rows: DataFrame, unique: DataFrame, key: str, total: int, count: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """rows joined (inner) with unique, which has one row for each key and, in ``count``, how many of rows have it.
 
-    total: an upper bound on the rows. Keys of at least max(HOT_ROWS, total / HOT_KEYS) rows are at most HOT_KEYS, so they are
-    broadcast, and their rows stay where they are; the others are shuffled. Each key is in just one part.
+    total: an upper bound on the rows. Keys of at least max(hot_rows, total / HOT_KEYS) rows are at most HOT_KEYS, so they are
+    broadcast, and their rows stay where they are; the others are shuffled. Each key is in just one part. Both tables are
+    read several times.
     """
-    least = max(HOT_ROWS, -(-total // HOT_KEYS))
-    if total < HOT_ROWS:
+    least = max(hot_rows, -(-total // HOT_KEYS))
+    if total < hot_rows:
         return rows.join(unique.drop(count), key)
     hot = F.broadcast(unique.where(F.col(count) >= least))
     parts = rows.join(hot.drop(count), key), rows.join(hot.select(key), key, "left_anti").join(unique.where(F.col(count) < least).drop(count), key)

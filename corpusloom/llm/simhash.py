@@ -68,6 +68,8 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 #: Bits of the parts that are indexed at each level, and how many parts of the bits not yet agreed on there are.
 LEVELS = (32, 16, 8)
+#: Edges of a node (rows of 16 bytes) that are few enough for one task.
+NODE_ROWS = 100_000
 
 
 def signatures(fps: DataFrame, level: int = 0) -> DataFrame:
@@ -207,13 +209,15 @@ def components(edges: DataFrame) -> DataFrame:
     while now[0]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n"))
-        large = join_unique(edges, least, "a", now[0], "n").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        large = join_unique(edges, least, "a", now[0], "n", NODE_ROWS).select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        if now[0] >= NODE_ROWS:  # else it is cheaper to make it twice than to write it
+            large = materialize(large, "large")
         # now each edge leads from the smaller a to the larger b
         least = large.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
-        joined = join_unique(large, least, "b", now[0], "n")
+        joined = join_unique(large, least, "b", now[0], "n", NODE_ROWS)
         small = joined.select(F.col("m").alias("a"), "b").union(joined.select(F.col("m").alias("a"), F.col("a").alias("b")))
         after = materialize(small.where("a <> b").distinct(), "edges")
-        discard(edges)
+        discard(edges, large)
         edges, before = after, now
         now = state(edges)
         if now == before:

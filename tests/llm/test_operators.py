@@ -534,6 +534,15 @@ def test_links_of_dense_groups(spark, block):
     assert [roots.get(f, f) for f in signed] == want
 
 
+def test_components_of_hot_nodes(spark, monkeypatch):
+    """Stars and chains whose nodes count as hot, so that they are broadcast."""
+    monkeypatch.setattr(simhash, "NODE_ROWS", 5)
+    pairs = [(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(12)] + [(200, 300), (250, 300), (59, 400)]
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    want = {i: 0 for i in [*range(60), 400]} | {100 + i: 100 for i in range(13)} | {200: 200, 250: 200, 300: 200}
+    assert got == want
+
+
 def test_drop_near_duplicates(spark, docs, texts, odd):
     ids = list(texts)
     roots = brute_components(ids, [brute_fingerprint(texts[i]) for i in ids])
