@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, map_batches, materialize
+from .common import CACHE_BYTES, CACHE_KEY, map_batches, materialize
 
 SEQUENCE = 2048
 #: Rests in a group, about.
@@ -50,25 +50,40 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cache = Memo(self._word)
+        self.cache: dict[str, bytes] = {"": b""}
+        self.held = 0
 
     def _ids(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
+    def _keep(self, word: str, ids: bytes) -> bytes:
+        """As ``Memo`` keeps values; written out here, as half of the time goes into words met for the first time."""
+        if len(word) <= CACHE_KEY:
+            self.held += 220 + len(word) + len(ids)
+            if self.held > CACHE_BYTES:
+                self.cache.clear()
+                self.cache[""], self.held = b"", 0
+            self.cache[word] = ids
+        return ids
+
+    def word(self, word: str) -> bytes:
         """By parts where the library's split does the same: before trailing punctuation, if a letter or digit precedes it."""
+        found = self.cache.get(word)
+        if found is not None:
+            return found
         core = word.rstrip(TAIL)
         if core and core != word and "<|" not in word and ends_plainly(core):
-            return self.cache[core] + self.cache[word[len(core) :]]
+            return self._keep(word, self.word(core) + self.word(word[len(core) :]))
         if word.isascii() and not word.islower() and "<|" not in word and word.isalpha():
-            return self.cache[word.lower()]
-        return self._ids(word)
+            return self._keep(word, self.word(word.lower()))
+        return self._keep(word, self._ids(word))
 
     def encode_bytes(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if "<|" in text and any(str(t) in text for t in self.special()):
             return self._ids(text)
-        return b"".join(map(self.cache.__getitem__, text.replace("\n", " ").split(" ")))
+        get, word = self.cache.get, self.word
+        return b"".join([get(w) or word(w) for w in text.replace("\n", " ").split(" ")])
 
     def special(self) -> list[str]:
         return [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
