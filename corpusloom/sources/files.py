@@ -91,7 +91,14 @@ def load_plans(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def find_plan(plans: DataFrame, name: str | None = None) -> DataFrame:
-    return plans if name is None else plans.where(F.col("name") == name)
+    """The plan of that name; without a name, the only one. A LookupError if there is none, or if several could be meant."""
+    hits = plans if name is None else plans.where(F.col("name") == name)
+    found = [r["name"] for r in hits.select("name").limit(2).collect()]
+    if not found:
+        raise LookupError("no plans" if name is None else f"no plan is named {name}")
+    if name is None and len(found) > 1:
+        raise LookupError(f"several plans, among them {' and '.join(map(str, found))}: name one")
+    return hits
 
 
 def search_packages(registry: DataFrame, text: str, prefix: str, n: int) -> DataFrame:

@@ -334,3 +334,12 @@ def test_query_equals_sql(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_find_plan_single_or_named(spark):
+    plans = spark.createDataFrame([("x", 1), ("y", 2)], "name string, n int")
+    assert [tuple(r) for r in files.find_plan(plans, "y").collect()] == [("y", 2)]
+    assert files.find_plan(plans.where("n = 1")).first().name == "x"
+    for rows, name in ((plans, None), (plans, "z"), (plans.where("n = 3"), None), (plans.where("n = 3"), "x")):
+        with pytest.raises(LookupError):
+            files.find_plan(rows, name)
