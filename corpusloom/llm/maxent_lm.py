@@ -10,7 +10,7 @@ place for unknown words.
 
 Training is distributed: in each of two rounds every task of that round (the partitions take turns) starts from the
 broadcast tables, runs AdaGrad steps over its training texts and emits its change; changes are averaged row by row, weighted
-by the squared gradients behind them. A step updates one kind of feature, in turn. So the score (not the counts, nor
+by the squared gradients behind them. Each training token updates all four of its features. The score (not the counts, nor
 base_score) depends a little on how the rows are dealt into partitions. A table has 2**14 rows, and twice as many for each tenfold of
 training text beyond a GB, up to 2**18: 4 MB of both tables at first, 64 MB at most.
 
@@ -127,22 +127,32 @@ def model_scores(tables: list[np.ndarray], hashes: np.ndarray, classes: np.ndarr
     return out
 
 
-def gradient(table: np.ndarray, rows: np.ndarray, target: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of one kind of feature, each once, and the gradient of the loss (the sum of -ln P) there."""
+def residual(table: np.ndarray, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The gradient of each token's -ln P by the sum of its rows."""
     g = softmax(table, rows)
     g[np.arange(len(target)), target] -= 1
-    r = rows[kind]
-    order = np.argsort(r, kind="stable")
-    ordered = r[order]
+    return g
+
+
+def by_row(g: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows, each once, and the sums of g there; rows: those of one kind of feature for each token, or of several kinds, end to end."""
+    bits = (len(g) - 1).bit_length()
+    keys = np.sort(rows.astype(np.int64).reshape(-1, len(g)) << bits | np.arange(len(g)), axis=None)
+    tokens, ordered = keys & ((1 << bits) - 1), keys >> bits
     first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    return ordered[first], np.add.reduceat(g.take(order, 0), first, axis=0)
+    return ordered[first], np.add.reduceat(g.take(tokens, 0), first, axis=0)
+
+
+def gradient(table: np.ndarray, rows: np.ndarray, target: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of one kind of feature, each once, and the gradient of the loss (the sum of -ln P) there."""
+    return by_row(residual(table, rows, target), rows[kind])
 
 
-def learn(table: np.ndarray, mass: np.ndarray, rows: np.ndarray, target: np.ndarray, kind: int) -> None:
-    """One AdaGrad step on the features of a kind; mass: the squared gradients of each row so far."""
-    at, sums = gradient(table, rows, target, kind)
-    mass[at] += (sums * sums).sum(1)
-    table[at] -= RATE * sums / np.sqrt(mass[at] + 1)[:, None]
+def learn(table: np.ndarray, mass: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
+    """One AdaGrad step on all features of the tokens; mass: the squared gradients of each row so far."""
+    at, sums = by_row(residual(table, rows, target), rows)
+    mass[at] += np.einsum("ij,ij->i", sums, sums)
+    table[at] -= sums * (RATE / np.sqrt(mass[at] + 1))[:, None]
 
 
 class Trainer:
@@ -158,7 +168,7 @@ class Trainer:
         for at in range(0, len(hashes), STEP):
             part = slice(at, at + STEP)
             for table, mass, own, target in zip(self.tables, self.mass, rows, targets, strict=True):
-                learn(table, mass, own[:, part], target[part], self.steps % 4)
+                learn(table, mass, own[:, part], target[part])
             self.steps += 1
 
     def changes(self) -> Iterator[bytes]:

@@ -643,6 +643,33 @@ def test_maxent_gradient():
                 assert row[5] == pytest.approx((up - loss(moved, own, target)) / 2e-4, abs=2e-2)
 
 
+def test_maxent_learns_all_features_at_every_position():
+    rng = np.random.default_rng(2)
+    for n in (1, 40, maxent_lm.STEP + 1):  # the last ends in a step of one token
+        hashes, classes = rng.integers(0, 2**32, n), rng.integers(0, 32, n)
+        trainer, starts = maxent_lm.Trainer(maxent_lm.blank(12)), np.array([0])
+        trainer.add(hashes, classes, starts)
+        for mass, table_, rows in zip(trainer.mass, trainer.tables, maxent_lm.feature_rows(hashes, classes, starts, 12)):
+            assert (mass[rows] > 0).all() and (np.abs(table_[rows]).sum(-1) > 0).all()
+            assert not mass[np.setdiff1d(np.arange(len(mass)), rows)].any()
+
+
+def test_maxent_step_equals_dense_gradient():
+    rng = np.random.default_rng(3)
+    hashes, classes = rng.integers(0, 30, 50) << 20, rng.integers(0, 32, 50)
+    rows = maxent_lm.feature_rows(hashes, classes, np.array([0, 9]), 6)
+    for table_, own, target in zip(maxent_lm.blank(6), rows, (classes, maxent_lm.bucket_of(hashes))):
+        table_, mass = table_ + rng.normal(size=table_.shape), rng.random(len(table_))
+        p = maxent_lm.softmax(table_, own) - np.eye(32)[target]
+        dense = np.zeros_like(table_)
+        for kind in own:
+            np.add.at(dense, kind, p)
+        m = mass + (dense**2).sum(1)
+        want = table_ - maxent_lm.RATE * dense / np.sqrt(m + 1)[:, None]
+        maxent_lm.learn(table_, mass, own, target)
+        assert np.allclose(table_, want, atol=1e-5) and np.allclose(mass, m, atol=1e-5)
+
+
 def test_maxent_contexts_stay_in_a_text():
     before, skipped = maxent_lm.contexts(np.arange(10, 17), np.array([0, 3, 4, 6]))
     assert before.tolist() == [1, 10, 11, 1, 1, 14, 1] and skipped.tolist() == [1, 1, 10, 1, 1, 1, 1]
