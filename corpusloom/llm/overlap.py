@@ -1,11 +1,16 @@
-"""Near-copies by the similarity of word shingles: texts are linked if the Jaccard similarity of their shingle sets is high enough.
+"""Near-copies by SimHash: texts are linked if the Jaccard similarity of their sets of five-word shingles is high enough.
 
-Candidates meet by minimum hashes: a band is the hash of four minima, and texts with an equal band of the 24 meet. Two
-texts of similarity s miss each other with probability (1 - s**4)**24: 3e-6 at 0.8, 3e-12 at 0.9. Whatever meets is
-verified on the whole sets of 64-bit shingle hashes, so no link is wrong.
+The fingerprint is that of ``simhash`` (the majority of the shingles' hash bits) over the set of distinct shingles, but long enough for
+a similarity of 0.8, at which 15 % of the bits differ: 52 segments of 18 bits. Two texts are candidates if a segment
+differs by at most one bit, found by deletion variants: of the segment's halves one is then equal, and the other is equal
+without one of its bits. Rows are dealt by segment and equal half, and the variants of the other half meet in an equality join inside the task.
+What meets is verified on 192 bits. A pair of similarity s has bits that differ with probability p = arccos(2 s / (1 + s)) / pi and is
+missed with probability (1 - (1 - p)**18 - 18 p (1 - p)**17)**52: 3e-6 at 0.8, 3e-11 at 0.85. Majorities of few hashes are coarser than p, so sets of
+up to 64 shingles meet by prefixes instead, which miss none: of sets so similar, the least fifth (and one) of the hashes has one in common.
 
-Equal sets are merged first. Only texts that share a band with another set are read again for their sets. As in
-``simhash``, no pairs are emitted, but the edges of a spanning forest; a band with more than ``block`` sets is cut into
+Candidates' components are then searched on the whole sets of 64-bit shingle hashes, so no link is wrong. Equal
+sets are merged first. Only texts that have a candidate are read again for their sets, once for all their candidates. As in
+``simhash``, no pairs are emitted, but the edges of a spanning forest; a component with more than ``block`` sets is cut into
 blocks, and each pair of blocks is a group of its own.
 
 Defined results: a null text counts as empty; a text of fewer words than a shingle is one shingle; texts without words are equal.
@@ -25,10 +30,18 @@ from .common import map_batches, materialize
 from .simhash import SEED, components, keep_least, text_hash
 
 WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS = 24, 4
-#: Sets of a band that are compared in one task.
+#: Segments of a fingerprint, and bits of a half of one.
+SEGMENTS, HALF = 52, 9
+#: 64-bit words of a fingerprint; those that are verified, and how many of their bits differ at most (at 0.8: 29, by 5 more or less).
+LANES, CHECKED, RADIUS = 15, 3, 55
+#: Shingles of a set that is met by its prefix.
+FEW = 64
+#: Fingerprints of a signature of which all pairs are compared at once; of more, row by row.
+RUN = 32
+#: Rows that a task takes at once, with all of their keys.
+CHUNK = 50_000
+#: Sets of a component that are compared in one task.
 BLOCK = 512
-_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -44,25 +57,127 @@ def key_of(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64))
 
 
-def bands_of(hashes: np.ndarray) -> list[int]:
-    """One number for each band; texts without words have none."""
-    if not len(hashes):
-        return []
-    least = np.array([(hashes * a).min() for a in _ODD]).reshape(BANDS, ROWS)
-    found = np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(least)], np.uint64)
-    return found.view(np.int64).tolist()
+def fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """LANES words, the majorities of as many hashes made of each of the given ones."""
+    counts = np.zeros(64 * LANES, np.int64)
+    for at in range(0, len(hashes), 255):  # as many as a byte counts
+        z = hashes[at : at + 255, None] + np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        counts += np.unpackbits(z.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)
 
 
-def sketches(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """doc_id, h (the hash of the text), fp (that of its shingle set) and bands."""
+def codes_of(lanes: np.ndarray) -> np.ndarray:
+    """Of fingerprints (a row each): for each segment and half, its number, the half's bits and those of the other half, 9 bits each."""
+    bits = np.unpackbits(lanes.view(np.uint8).reshape(len(lanes), -1), axis=1, bitorder="little")[:, : 2 * HALF * SEGMENTS]
+    halves = (bits.reshape(len(lanes), SEGMENTS, 2, HALF) << np.arange(HALF, dtype=np.int32)).sum(3, dtype=np.int32)
+    number = np.arange(2 * SEGMENTS, dtype=np.int32).reshape(SEGMENTS, 2)
+    return ((number << 2 * HALF) | (halves << HALF) | halves[:, :, ::-1]).reshape(len(lanes), -1)
+
+
+def prefix(hashes: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The least hashes of a set: two sets that are so similar have one of them in common."""
+    n = len(hashes)
+    return hashes[: n - int(np.ceil(similarity * n - 1e-9)) + 1] if n else hashes
+
+
+def sketches(df: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """doc_id, h (the hash of the text), fp (that of its shingle set), lanes (its fingerprint) and least (its prefix); each where it serves."""
     df = df.select(F.col(id_col).cast("bigint").alias("doc_id"), text_hash(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             sets = [shingle_set(t, words) for t in b.column(2).to_pylist()]
-            yield {"doc_id": b.column(0), "h": b.column(1), "fp": [key_of(s) for s in sets], "bands": [bands_of(s) for s in sets]}
+            # a small set's partners have at most FEW / similarity shingles
+            yield {
+                "doc_id": b.column(0), "h": b.column(1), "fp": [key_of(s) for s in sets],
+                "lanes": [fingerprint(s).tobytes() if len(s) > FEW else None for s in sets],
+                "least": [prefix(s, similarity).view(np.int64).tolist() if similarity * len(s) <= FEW + 1e-9 else [] for s in sets],
+            }
+
+    return map_batches(df, run, "doc_id bigint, h bigint, fp bigint, lanes binary, least array<bigint>")
+
+
+def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64) <= RADIUS
+
+
+def meet(code: np.ndarray, fp: np.ndarray, lanes: np.ndarray) -> np.ndarray:
+    """Pairs of fp (a row each) that join what is near within the signatures of whole keys; code is in order."""
+    out = [np.zeros((0, 2), np.int64)]
+    for bit in range(HALF):
+        order = np.argsort(code & ~np.int32(1 << bit), kind="stable")
+        sig = (code & ~np.int32(1 << bit))[order]
+        cuts = np.flatnonzero(np.diff(sig)) + 1
+        starts, ends = np.r_[0, cuts], np.r_[cuts, len(sig)]
+        sizes = ends - starts
+        few = sizes <= RUN
+        left = np.where(np.repeat(few, sizes), np.repeat(ends, sizes) - np.arange(len(sig)), 0)  # rows of the run from each on
+        at = np.flatnonzero(left > 1)
+        for step in range(1, RUN):
+            at = at[left[at] > step]
+            if not len(at):
+                break
+            x, y = order[at], order[at + step]
+            good = near(lanes[x], lanes[y])
+            out.append(np.column_stack([fp[x[good]], fp[y[good]]]))
+        for s, e in zip(starts[~few], ends[~few], strict=True):
+            pool = order[s:e]
+            while len(pool) > 1:
+                front, pool = [pool[0]], pool[1:]
+                while front and len(pool):
+                    v = front.pop()
+                    hit = near(lanes[pool], lanes[v])
+                    got, pool = pool[hit], pool[~hit]
+                    out.append(np.column_stack([np.full(len(got), fp[v]), fp[got]]))
+                    front.extend(got)
+    return np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+
+
+def candidates(groups: DataFrame) -> DataFrame:
+    """Edges (a, b) between the fp of groups (fp, lanes, least), that join all that may be similar."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                lanes = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint64).reshape(-1, LANES)
+                fp, n = part.column(0).to_numpy(), 2 * SEGMENTS
+                yield {"code": pa.array(codes_of(lanes).ravel()), "fp": pa.array(np.repeat(fp, n))} | {
+                    f"c{i}": pa.array(np.repeat(lanes[:, i].view(np.int64), n)) for i in range(CHECKED)
+                }
+
+    schema = "code int, fp bigint, " + ", ".join(f"c{i} bigint" for i in range(CHECKED))
+    rows = map_batches(groups.where("lanes is not null").select("fp", "lanes"), deal, schema)
+    rows = rows.repartition(F.shiftright("code", HALF)).sortWithinPartitions("code")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        held, size = [], 0
+
+        def take(columns: list[np.ndarray]) -> dict:
+            pairs = meet(columns[0], columns[1], np.column_stack(columns[2:]).view(np.uint64))
+            return {"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])}
+
+        for b in batches:
+            held.append([c.to_numpy() for c in b.columns])
+            size += b.num_rows
+            if size >= CHUNK:
+                columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+                keys = columns[0] >> HALF
+                cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on
+                if cut:
+                    yield take([c[:cut] for c in columns])
+                held, size = [[c[cut:] for c in columns]], 0
+        if held:
+            yield take([np.concatenate(c) for c in zip(*held, strict=True)])
 
-    return map_batches(df, run, "doc_id bigint, h bigint, fp bigint, bands array<bigint>")
+    large = map_batches(rows, run, "a bigint, b bigint")
+    small = groups.select("fp", F.explode("least").alias("key"))
+    first = small.groupBy("key").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
+    small = small.join(first, "key").select("a", F.col("fp").alias("b")).where("a <> b")
+    return materialize(large.union(small), "candidates").distinct()
 
 
 def forest(keys: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -91,27 +206,28 @@ def forest(keys: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[
 
 def links(df: DataFrame, rows: DataFrame, id_col: str, text_col: str, words: int, similarity: float, block: int) -> DataFrame:
     """Edges (a, b) between the fp of rows, which are the sketches of df, that join them just as all links would."""
-    groups = rows.groupBy("fp").agg(F.min(F.struct("doc_id", "h", "bands")).alias("one"))
-    banded = materialize(groups.select("fp", "one.doc_id", "one.h", F.explode("one.bands").alias("sig")), "bands")
-    sizes = banded.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1")
+    groups = rows.groupBy("fp").agg(F.min(F.struct("doc_id", "h", "lanes", "least")).alias("one"))
+    groups = materialize(groups.select("fp", "one.*"), "groups")
+    roots = materialize(components(candidates(groups)), "met")
+    sizes = roots.groupBy("root").agg(F.count("*").alias("n"))
     blocks = F.when(F.col("n") > block, F.ceil(2 * F.col("n") / F.lit(block))).otherwise(1).cast("int")
-    met = materialize(banded.join(sizes.select("sig", blocks.alias("blocks")), "sig"), "met")
-    wanted = met.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "fp").distinct()
+    met = roots.join(sizes.select("root", blocks.alias("blocks")), "root").withColumnRenamed("node", "fp")
+    wanted = materialize(met.join(groups, "fp").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "fp", "root", "blocks"), "wanted")
     texts = df.select(F.col(id_col).cast("bigint").alias("doc_id"), text_hash(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("fp", "text")
+    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("fp", "root", "blocks", "text")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
-                yield {"fp": part.column(0), "hashes": [shingle_set(t, words).tobytes() for t in part.column(1).to_pylist()]}
+                sets = [shingle_set(t, words).tobytes() for t in part.column(3).to_pylist()]
+                yield {"fp": part.column(0), "root": part.column(1), "blocks": part.column(2), "hashes": sets}
 
-    # rows that repeat an id and its text have one set
-    sets = materialize(map_batches(texts, read, "fp bigint, hashes binary").dropDuplicates(["fp"]), "sets")
+    sets = map_batches(texts, read, "fp bigint, root bigint, blocks int, hashes binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = met.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).select("sig", "fp", "own", other)
-    dealt = dealt.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp").join(sets, "fp")
-    dealt = dealt.select("sig", "i", "j", "fp", "hashes").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    dealt = sets.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).select("root", "fp", "hashes", "own", other)
+    dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "hashes")
+    dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         def rows_of(keys: list, sets: list) -> dict:
@@ -125,8 +241,9 @@ def links(df: DataFrame, rows: DataFrame, id_col: str, text_col: str, words: int
                     if len(keys) > 1:
                         yield rows_of(keys, held)
                     at, keys, held = group, [], []
-                keys.append(fp)
-                held.append(hashes)
+                if not keys or keys[-1] != fp:  # rows that repeat an id and its text have one set
+                    keys.append(fp)
+                    held.append(hashes)
         if len(keys) > 1:
             yield rows_of(keys, held)
 
@@ -137,6 +254,8 @@ def drop_near_copies(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, block: int = BLOCK
 ) -> DataFrame:
     """The rows of df with one row of each component, as ``simhash.keep_least`` chooses."""
-    rows = materialize(sketches(df, id_col, text_col, words), "sketches")
+    if not SIMILARITY <= similarity <= 1:
+        raise ValueError("the segments are made for a similarity of 0.8 and more")
+    rows = materialize(sketches(df, id_col, text_col, words, similarity), "sketches")
     roots = components(links(df, rows, id_col, text_col, words, similarity, block))
     return keep_least(df, rows.select("doc_id", "h", "fp"), roots, id_col, text_col)

@@ -3,6 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -55,3 +56,89 @@ def test_stage_drops_near_copies(spark):
     got = Counter(r.doc_id for r in corpus_pipeline.drop_copies(spark, docs, "").collect())
     assert got == brute_kept(rows)
     assert 145 not in got and 177 not in got  # of similarity 0.83 to earlier ones, by more than three bits of a fingerprint
+
+
+def naive_fingerprint(hashes):
+    """The majorities of 960 hash bits, shingle by shingle."""
+    top, counts = 2**64, [0] * 960
+    for h in hashes:
+        for lane in range(15):
+            z = (h + (lane + 1) * 0x9E3779B97F4A7C15) % top
+            z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % top
+            z = (z ^ z >> 27) * 0x94D049BB133111EB % top
+            z ^= z >> 31
+            for i in range(64):
+                counts[64 * lane + i] += z >> i & 1
+    return [2 * c > len(hashes) for c in counts]
+
+
+def bits_of(lanes):
+    return np.unpackbits(lanes.view(np.uint8), bitorder="little").astype(bool)
+
+
+def test_fingerprint_is_the_majority_of_the_shingles():
+    rng = np.random.default_rng(1)
+    for n in (1, 4, 255, 300):
+        hashes = rng.integers(0, 2**64, n, np.uint64)
+        assert bits_of(overlap.fingerprint(hashes)).tolist() == naive_fingerprint(hashes.tolist())
+
+
+def test_fingerprints_of_similarity_08_meet():
+    """A segment differs by at most a bit, and those that are verified by at most RADIUS, in each pair of just that similarity."""
+    rng = np.random.default_rng(2)
+    for n in [65, 72, 90, 300, 900] * 40:
+        new = n // 9
+        hashes = rng.integers(0, 2**64, n + new, np.uint64)
+        a, b = overlap.fingerprint(hashes[:n]), overlap.fingerprint(hashes[new:])
+        segments = (bits_of(a) ^ bits_of(b))[:936].reshape(52, 18).sum(1)
+        assert segments.min() <= 1 and overlap.near(a[:3], b[:3])
+
+
+def components_of(n, pairs):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in pairs:
+        root[find(i)] = find(j)
+    return [min(j for j in range(n) if find(j) == find(i)) for i in range(n)]
+
+
+@pytest.mark.parametrize("run", [32, 2])
+def test_deletion_variants_equal_all_pairs(run, monkeypatch):
+    monkeypatch.setattr(overlap, "RUN", run)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2, (6, 960)).astype(bool)
+    bits = np.array([b ^ (rng.random(960) < rng.choice([0.02, 0.15, 0.3])) for b in base for _ in range(20)])
+    lanes = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    n = len(bits)
+    code, fp = overlap.codes_of(lanes).ravel(), np.repeat(np.arange(n), 104)
+    order = np.argsort(code, kind="stable")
+    got = overlap.meet(code[order], fp[order], np.repeat(lanes[:, :3], 104, axis=0)[order])
+    want = [
+        (i, j) for i in range(n) for j in range(i)
+        if (bits[i] ^ bits[j])[:936].reshape(52, 18).sum(1).min() <= 1 and (bits[i] ^ bits[j])[:192].sum() <= 55
+    ]
+    assert {tuple(sorted(w)) for w in want} >= set(map(tuple, got.tolist()))
+    assert components_of(n, got.tolist()) == components_of(n, want)
+    assert 6 < len(set(components_of(n, want))) < n
+
+
+def test_short_texts_equal_brute_force(spark):
+    """Sets about the size up to which prefixes serve, and partners on its other side."""
+    rng = random.Random(6)
+    rows = []
+    for size in (5, 9, 30, 60, 64, 66, 68, 70, 80, 84):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        for k in range(0, 1 + size // 4, 2):
+            rows += [(len(rows), " ".join(base + [f"n{rng.random()}" for _ in range(k)])), (len(rows) + 1, " ".join(base[k // 2 :]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter(r.doc_id for r in overlap.drop_near_copies(df).collect()) == brute_kept(rows)
+
+
+def test_lower_similarity_is_refused(spark):
+    with pytest.raises(ValueError):
+        overlap.drop_near_copies(spark.createDataFrame([(1, "a")], "doc_id long, text string"), similarity=0.7)
