@@ -11,8 +11,9 @@ import zlib
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that a worker's cache of words may hold, by estimate, before it is emptied; longer keys aren't kept.
@@ -124,6 +125,42 @@ def join_unique(rows: DataFrame, unique: DataFrame, key: str, total: int, count:
     return parts[0].unionByName(parts[1])
 
 
+#: Bits of a bitmap of keys: for each key, so that one of 16 others passes, and the powers of two at least and at most (16 MB).
+KEY_BITS, LEAST_BITS, MOST_BITS = 16, 16, 27
+
+
+def may_hold(keys: DataFrame, key: Column) -> Column:
+    """True wherever key is among keys (one column, spread like a hash), and for few others: rows that a join need not shuffle are told
+    without one. Keys beyond MOST_BITS / KEY_BITS let more others pass. keys is read twice."""
+    spark, name = keys.sparkSession, keys.columns[0]
+    bits = min(MOST_BITS, max(LEAST_BITS, (KEY_BITS * keys.count()).bit_length()))
+    # a sixty-fourth of the bitmap is made in one task
+    part, span = F.shiftrightunsigned(name, 58).cast("int").alias("part"), bits - 6
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        parts: dict[int, np.ndarray] = {}
+        for b in batches:
+            at, bit = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for p in np.unique(at).tolist():
+                parts.setdefault(p, np.zeros(1 << span, np.uint8))[bit[at == p]] = 1
+        for p, x in parts.items():
+            yield {"part": [p], "bits": [np.packbits(x, bitorder="little").tobytes()]}
+
+    bit = F.shiftrightunsigned(name, 64 - bits).bitwiseAND(F.lit((1 << span) - 1)).alias("bit")
+    made = map_batches(keys.select(part, bit).repartition(F.col("part")), fill, "part int, bits binary").collect()
+    whole = np.zeros((64, 1 << span - 3), np.uint8)
+    for r in made:
+        whole[r.part] = np.frombuffer(r.bits, np.uint8)
+    shared = spark.sparkContext.broadcast(whole.ravel())
+
+    @F.arrow_udf("boolean")
+    def held(k: pa.Array) -> pa.Array:
+        at = k.to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)
+        return pa.array((shared.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool))
+
+    return held(key)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

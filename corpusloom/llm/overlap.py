@@ -26,8 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize
-from .simhash import SEED, components, keep_least, text_hash
+from .common import map_batches, materialize, may_hold
+from .simhash import SEED, components, keep_least, row_key, text_hash
 
 WORDS, SIMILARITY = 5, 0.8
 #: Segments of a fingerprint, and bits of a half of one.
@@ -136,6 +136,22 @@ def meet(code: np.ndarray, fp: np.ndarray, lanes: np.ndarray) -> np.ndarray:
     return np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
 
 
+def stars(pairs: np.ndarray) -> np.ndarray:
+    """For each node of the pairs (a row each) that isn't the least of its component: the least one, and it."""
+    nodes, at = np.unique(pairs, return_inverse=True)
+    x, y = at.reshape(-1, 2).T
+    least = np.arange(len(nodes))
+    while len(x):
+        low, high = np.minimum(least[x], least[y]), np.maximum(least[x], least[y])
+        apart = low != high
+        x, y, low, high = x[apart], y[apart], low[apart], high[apart]
+        np.minimum.at(least, high, low)
+        while (least[least] != least).any():
+            least = least[least]
+    other = least != np.arange(len(nodes))
+    return np.column_stack([nodes[least[other]], nodes[other]])
+
+
 def candidates(groups: DataFrame) -> DataFrame:
     """Edges (a, b) between the fp of groups (fp, lanes, least), that join all that may be similar."""
 
@@ -157,7 +173,8 @@ def candidates(groups: DataFrame) -> DataFrame:
         held, size = [], 0
 
         def take(columns: list[np.ndarray]) -> dict:
-            pairs = meet(columns[0], columns[1], np.column_stack(columns[2:]).view(np.uint64))
+            # no more edges than fingerprints, however many pairs there are
+            pairs = stars(meet(columns[0], columns[1], np.column_stack(columns[2:]).view(np.uint64)))
             return {"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])}
 
         for b in batches:
@@ -214,6 +231,8 @@ def links(df: DataFrame, rows: DataFrame, id_col: str, text_col: str, words: int
     met = roots.join(sizes.select("root", blocks.alias("blocks")), "root").withColumnRenamed("node", "fp")
     wanted = materialize(met.join(groups, "fp").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "fp", "root", "blocks"), "wanted")
     texts = df.select(F.col(id_col).cast("bigint").alias("doc_id"), text_hash(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
+    # the join shuffles the texts that are read and few others
+    texts = texts.where(may_hold(wanted.select(row_key(F.col("_id"), F.col("_h"))), row_key(F.col("doc_id"), F.col("h"))))
     texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("fp", "root", "blocks", "text")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_unique, map_batches, materialize
+from .common import discard, join_unique, map_batches, materialize, may_hold
 
 SEED = 42
 #: Bits in which linked fingerprints differ, at most. The two segments serve up to three.
@@ -248,17 +248,33 @@ def text_hash(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
+def row_key(doc_id: Column, h: Column) -> Column:
+    """A hash of a row's id and its text's hash."""
+    return F.xxhash64(doc_id, h)
+
+
 def keep_least(df: DataFrame, rows: DataFrame, roots: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of df with one of each component: that of the least id, a null id last; of equal ids the least fp and text hash.
 
-    rows has doc_id, h (the text's hash) and fp of each row of df, roots node and root of the fps that are linked.
+    rows has doc_id, h (the text's hash) and fp of each row of df, roots node and root of the fps that are linked. Texts of rows
+    that are alone in their component, or first in it and not repeated, aren't shuffled, but for the few that ``may_hold`` doesn't tell apart.
     """
     of_root = rows.join(roots, rows.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("root"), "doc_id", "h", "fp")
-    first = of_root.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "h")).alias("first"))
-    keep = first.select(F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_kept"))
+    of_root = materialize(of_root.groupBy("root", "doc_id", "h", "fp").agg(F.count("*").alias("times")), "rows")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "h")).alias("first")
+    first = materialize(of_root.groupBy("root").agg(one, F.count("*").alias("n")).select("root", "first.doc_id", "first.h", "n"), "first")
+    total = of_root.count()
+    lasting = first.select("root", "n", F.col("doc_id").alias("_id"), F.col("h").alias("_kept"))
+    met = join_unique(of_root, lasting, "root", total, "n")
+    goes = met.where((F.col("times") > 1) | (F.col("h") != F.col("_kept")) | ~F.col("doc_id").eqNullSafe(F.col("_id")))
+    goes = materialize(goes.select(row_key(F.col("doc_id"), F.col("h")).alias("key")), "goes")
+    own_id = F.col(id_col).cast("bigint")
     hashed = df.withColumn("_h", text_hash(text_col))
-    kept = hashed.join(keep, F.col(id_col).cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_kept")), "left_semi")
-    return kept.dropDuplicates([id_col, "_h"]).drop("_h")
+    hashed = hashed.withColumn("_goes", may_hold(goes, row_key(own_id, F.col("_h"))))
+    stay, told = hashed.where(~F.col("_goes")), hashed.where("_goes")
+    keep = first.select(F.col("doc_id").alias("_id"), F.col("h").alias("_kept"))
+    kept = told.join(keep, own_id.eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_kept")), "left_semi")
+    return stay.drop("_h", "_goes").unionByName(kept.dropDuplicates([id_col, "_h"]).drop("_h", "_goes"))
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = BITS) -> DataFrame:

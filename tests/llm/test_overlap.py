@@ -5,10 +5,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corpusloom.llm import overlap
-from corpusloom.llm.common import table
+from corpusloom.llm.common import materialize, may_hold, scratch, table
 
 
 def brute_kept(rows):
@@ -142,3 +143,57 @@ def test_short_texts_equal_brute_force(spark):
 def test_lower_similarity_is_refused(spark):
     with pytest.raises(ValueError):
         overlap.drop_near_copies(spark.createDataFrame([(1, "a")], "doc_id long, text string"), similarity=0.7)
+
+
+def test_near_copies_make_few_edges(spark):
+    """Groups of a signature that is compared pair by pair give as many edges as fingerprints, not as many as pairs."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2, 960).astype(bool)
+    lanes = [np.packbits(base ^ (rng.random(960) < 0.004), bitorder="little").tobytes() for _ in range(30)]
+    groups = spark.createDataFrame([(i, bytearray(x), []) for i, x in enumerate(lanes)], "fp long, lanes binary, least array<bigint>")
+    edges = overlap.candidates(groups.coalesce(1)).collect()
+    assert components_of(30, [(r.a, r.b) for r in edges]) == [0] * 30
+    assert len(edges) <= 4 * 30
+
+
+def test_stars_join_what_the_pairs_join():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 30, 150, 400):
+        pairs = rng.integers(0, 200, (n, 2))
+        got = overlap.stars(pairs).tolist()
+        assert components_of(200, got) == components_of(200, pairs.tolist())
+        assert all(components_of(200, got)[b] == a < b for a, b in got)
+
+
+def test_texts_that_stay_are_not_shuffled(spark):
+    """Bytes of shuffles against those of texts, where no table is small enough to broadcast."""
+    rng = random.Random(7)
+    rows = [(i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=40_000))) for i in range(100)]
+    rows += [(100, rows[3][1]), (3, rows[3][1]), (None, rows[4][1]), (101, rows[5][1] + " more"), (None, "alone of no id")]
+    before, key = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(key, "-1")
+    try:
+        with scratch():
+            df = materialize(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "texts")
+            first = written(spark)
+            kept = overlap.drop_near_copies(df).collect()
+            moved = written(spark) - first
+    finally:
+        spark.conf.set(key, before)
+    assert Counter(r.doc_id for r in kept) == brute_kept(rows)
+    assert moved < 0.5 * sum(len(t) for _, t in rows)
+
+
+def written(spark):
+    """Bytes that the session's shuffles have written."""
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark.sparkContext._jsc.sc().statusStore()
+    bus.waitUntilEmpty(30_000)
+    return sum(store.executorList(True).apply(i).totalShuffleWrite() for i in range(store.executorList(True).size()))
+
+
+def test_bitmap_holds_every_key(spark):
+    keys = spark.range(20_000).select(F.xxhash64("id").alias("key"))
+    others = spark.range(20_000, 60_000).select(F.xxhash64("id").alias("key"))
+    assert keys.where(may_hold(keys, F.col("key"))).count() == 20_000
+    assert others.where(may_hold(keys, F.col("key"))).count() < 40_000 / 8
+    assert others.where(may_hold(keys.limit(0), F.col("key"))).count() == 0
