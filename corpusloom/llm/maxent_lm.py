@@ -48,6 +48,8 @@ ROUNDS = 2
 #: Tokens of a learning step, and of a batch that is scored.
 STEP, BATCH = 1024, 4096
 RATE = 0.6
+#: Tokens of a row up to which a step adds them one by one, for all rows at once.
+FEW = 6
 CHUNKS = 64
 END = b""
 #: Odd multipliers of the context hashes.
@@ -140,7 +142,17 @@ def by_row(g: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys = np.sort(rows.astype(np.int64).reshape(-1, len(g)) << bits | np.arange(len(g)), axis=None)
     tokens, ordered = keys & ((1 << bits) - 1), keys >> bits
     first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    return ordered[first], np.add.reduceat(g.take(tokens, 0), first, axis=0)
+    sizes = np.diff(np.r_[first, len(ordered)])
+    sums = g.take(tokens[first], 0)
+    at = np.flatnonzero((sizes > 1) & (sizes <= FEW))  # most rows are those of one token, which need no sum
+    for k in range(1, FEW):
+        sums[at] += g.take(tokens[first[at] + k], 0)
+        at = at[sizes[at] > k + 1]
+    many = sizes > FEW
+    if many.any():
+        ends = np.cumsum(sizes[many])
+        sums[many] = np.add.reduceat(g.take(tokens[np.repeat(many, sizes)], 0), ends - sizes[many], axis=0)
+    return ordered[first], sums
 
 
 def gradient(table: np.ndarray, rows: np.ndarray, target: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,9 +162,16 @@ def gradient(table: np.ndarray, rows: np.ndarray, target: np.ndarray, kind: int)
 
 def learn(table: np.ndarray, mass: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
     """One AdaGrad step on all features of the tokens; mass: the squared gradients of each row so far."""
-    at, sums = by_row(residual(table, rows, target), rows)
-    mass[at] += np.einsum("ij,ij->i", sums, sums)
-    table[at] -= sums * (RATE / np.sqrt(mass[at] + 1))[:, None]
+    g = residual(table, rows, target)
+    # the biases are few rows of many tokens, and apart from those of the other kinds
+    bias, own = np.unique(rows[-1], return_inverse=True)
+    among = np.zeros((len(bias), len(g)), np.float32)
+    among[own, np.arange(len(g))] = 1
+    for at, sums in (by_row(g, rows[:-1]), (bias, among @ g)):
+        total = mass.take(at) + np.einsum("ij,ij->i", sums, sums)
+        mass[at] = total
+        sums *= (RATE / np.sqrt(total + 1))[:, None]
+        table[at] = table.take(at, 0) - sums
 
 
 class Trainer:
@@ -199,6 +218,14 @@ def apply_changes(tables: list[np.ndarray], changes: DataFrame) -> list[np.ndarr
     return [tables[0] + change[:cut], tables[1] + change[cut:]]
 
 
+class Numbers(dict):
+    """A number for each word that is asked for, from 0 on."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 ENCODED = "block bigint, kind int, number bigint, word binary, count bigint, doc_id bigint, held_out boolean, tokens binary"
 
 
@@ -210,7 +237,7 @@ def encode(df: DataFrame, tables: list[np.ndarray] | None = None, block: int = B
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         task, k, size = TaskContext.get().partitionId() << 20, 0, 0
         trainer = Trainer(shared.value) if shared.value else None
-        numbers: dict[bytes, int] = {}
+        numbers = Numbers()
         counts, codes = np.zeros(0, np.int64), np.zeros(0, np.int64)
         learned: list[np.ndarray] = []
 
@@ -244,9 +271,6 @@ def encode(df: DataFrame, tables: list[np.ndarray] | None = None, block: int = B
                 for text, held in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     words = words_of(text)
                     size += len(text or "")
-                    for w in words:
-                        if w not in numbers:
-                            numbers[w] = len(numbers)
                     ids = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
                     tokens.append(ids.tobytes())
                     if not held:
@@ -255,7 +279,7 @@ def encode(df: DataFrame, tables: list[np.ndarray] | None = None, block: int = B
                 yield rows(1, part.num_rows) | {"doc_id": part.column(0), "held_out": part.column(2), "tokens": tokens}
                 if size >= block:
                     yield vocabulary_rows(numbers, counts, rows)
-                    numbers, counts, codes, k, size = {}, np.zeros(0, np.int64), np.zeros(0, np.int64), k + 1, 0
+                    numbers, counts, codes, k, size = Numbers(), np.zeros(0, np.int64), np.zeros(0, np.int64), k + 1, 0
         if numbers:
             yield vocabulary_rows(numbers, counts, rows)
         if trainer and trainer.steps:
