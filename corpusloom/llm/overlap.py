@@ -40,8 +40,10 @@ FEW = 64
 RUN = 32
 #: Rows that a task takes at once, with all of their keys.
 CHUNK = 50_000
-#: Sets of a component that are compared in one task.
-BLOCK = 512
+#: Pairs for each row that are held before they are replaced by as few as join the same.
+HELD = 4
+#: Sets of a component that are compared in one task, and hashes of them that are looked up at once.
+BLOCK, FLAT = 512, 1 << 20
 
 
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -106,8 +108,14 @@ def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def meet(code: np.ndarray, fp: np.ndarray, lanes: np.ndarray) -> np.ndarray:
     """Pairs of fp (a row each) that join what is near within the signatures of whole keys; code is in order."""
-    out = [np.zeros((0, 2), np.int64)]
+    nodes, node = np.unique(fp, return_inverse=True)
+    held = np.zeros(0, np.int64)  # pairs as numbers
+
+    def numbers(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.minimum(node[x], node[y]) * len(nodes) + np.maximum(node[x], node[y])
+
     for bit in range(HALF):
+        out = [held]
         order = np.argsort(code & ~np.int32(1 << bit), kind="stable")
         sig = (code & ~np.int32(1 << bit))[order]
         cuts = np.flatnonzero(np.diff(sig)) + 1
@@ -122,7 +130,7 @@ def meet(code: np.ndarray, fp: np.ndarray, lanes: np.ndarray) -> np.ndarray:
                 break
             x, y = order[at], order[at + step]
             good = near(lanes[x], lanes[y])
-            out.append(np.column_stack([fp[x[good]], fp[y[good]]]))
+            out.append(numbers(x[good], y[good]))
         for s, e in zip(starts[~few], ends[~few], strict=True):
             pool = order[s:e]
             while len(pool) > 1:
@@ -131,9 +139,14 @@ def meet(code: np.ndarray, fp: np.ndarray, lanes: np.ndarray) -> np.ndarray:
                     v = front.pop()
                     hit = near(lanes[pool], lanes[v])
                     got, pool = pool[hit], pool[~hit]
-                    out.append(np.column_stack([np.full(len(got), fp[v]), fp[got]]))
+                    out.append(numbers(np.full(len(got), v), got))
                     front.extend(got)
-    return np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+        held = np.unique(np.concatenate(out))
+        if len(held) > HELD * len(code):
+            joined = stars(np.column_stack(np.divmod(held, len(nodes))))
+            held = joined[:, 0] * len(nodes) + joined[:, 1]
+    x, y = np.divmod(held, len(nodes)) if len(nodes) else (held, held)
+    return np.column_stack([nodes[x], nodes[y]])
 
 
 def stars(pairs: np.ndarray) -> np.ndarray:
@@ -194,7 +207,14 @@ def candidates(groups: DataFrame) -> DataFrame:
     small = groups.select("fp", F.explode("least").alias("key"))
     first = small.groupBy("key").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
     small = small.join(first, "key").select("a", F.col("fp").alias("b")).where("a <> b")
-    return materialize(large.union(small), "candidates").distinct()
+    return large.union(small).distinct()
+
+
+def common(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each of the others shares with one; no set is empty."""
+    flat = np.concatenate(others)
+    hits = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+    return np.add.reduceat(hits, np.r_[0, np.cumsum([len(o) for o in others])[:-1]], dtype=np.int64)
 
 
 def forest(keys: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -211,9 +231,8 @@ def forest(keys: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[
             fit = pool[np.minimum(sizes[pool], size) >= similarity * np.maximum(sizes[pool], size) - 1e-9]
             if not len(fit):
                 continue
-            flat = np.concatenate([sets[i] for i in fit])
-            hits = sets[v][np.minimum(np.searchsorted(sets[v], flat), size - 1)] == flat
-            shared = np.add.reduceat(hits.astype(np.int64), np.r_[0, np.cumsum(sizes[fit])[:-1]])
+            before = np.cumsum(sizes[fit]) - sizes[fit]
+            shared = np.concatenate([common(sets[v], [sets[i] for i in part]) for part in np.split(fit, np.flatnonzero(np.diff(before // FLAT)) + 1)])
             got = fit[shared >= similarity * (size + sizes[fit] - shared) - 1e-9]
             edges.extend((int(keys[v]), int(keys[i])) for i in got)
             front.extend(got)
@@ -266,7 +285,7 @@ def links(df: DataFrame, rows: DataFrame, id_col: str, text_col: str, words: int
         if len(keys) > 1:
             yield rows_of(keys, held)
 
-    return materialize(map_batches(dealt, run, "a bigint, b bigint"), "links").distinct()
+    return map_batches(dealt, run, "a bigint, b bigint").distinct()
 
 
 def drop_near_copies(

@@ -1,6 +1,7 @@
 """Near copies of five-word similarity 0.8, against all pairs by brute force."""
 
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -197,3 +198,49 @@ def test_bitmap_holds_every_key(spark):
     assert keys.where(may_hold(keys, F.col("key"))).count() == 20_000
     assert others.where(may_hold(keys, F.col("key"))).count() < 40_000 / 8
     assert others.where(may_hold(keys.limit(0), F.col("key"))).count() == 0
+
+
+def peak_mb(run):
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_meet_holds_no_more_than_a_few_pairs_a_row():
+    """Runs that are compared pair by pair, in all of their signatures."""
+    rng = np.random.default_rng(6)
+    bits = np.repeat(rng.integers(0, 2, (300, 960)).astype(bool), 30, axis=0) ^ (rng.random((9000, 960)) < 0.002)
+    lanes = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    code, fp = overlap.codes_of(lanes).ravel(), np.repeat(np.arange(9000), 104)
+    order = np.argsort(code, kind="stable")[:20_000]
+    got, peak = peak_mb(lambda: overlap.meet(code[order], fp[order], np.repeat(lanes[:, :3], 104, axis=0)[order]))
+    assert peak < 60  # 128 with all pairs
+    assert len(got) <= 4 * 20_000
+    assert (got // 30)[:, 0].tolist() == (got // 30)[:, 1].tolist()
+    assert len(overlap.stars(got)) > 0.5 * len(np.unique(fp[order]))
+
+
+def test_long_sets_are_compared_by_parts(monkeypatch):
+    rng = np.random.default_rng(7)
+    base, sets = rng.integers(0, 2**64, 10_000, np.uint64), []
+    for i in range(300):
+        s = base.copy()
+        at = rng.choice(10_000, 900 + i, replace=False)  # about 0.8, some more and some less
+        s[at] = rng.integers(0, 2**64, len(at), np.uint64)
+        sets.append(np.unique(s))
+    got, peak = peak_mb(lambda: overlap.forest(np.arange(300), sets, 0.8))
+    assert peak < 45  # 75 with all at once
+    monkeypatch.setattr(overlap, "FLAT", 1 << 40)
+    assert overlap.forest(np.arange(300), sets, 0.8) == got
+
+
+def test_edges_are_written_once(spark, monkeypatch):
+    """By the rounds of components; each file that an executor writes has its cost."""
+    names = []
+    monkeypatch.setattr(overlap, "materialize", lambda df, name: names.append(name) or materialize(df, name))
+    text = "a b c d e f g h i j k l m n o p q r s t"
+    kept = overlap.drop_near_copies(spark.createDataFrame([(1, text), (2, text + " u"), (3, "v")], "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+    assert names == ["sketches", "groups", "met", "wanted"]
