@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fill_in_middle, language_id, lz_fingerprint, maxent_lm, merkle, packing, pii, quality_crf, secret_scan, simhash, warc
+from . import bpe, fill_in_middle, language_id, lz_fingerprint, maxent_lm, merkle, nn_descent, packing, pii, quality_crf, secret_scan, simhash, warc
 from .common import crc_mod, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -110,11 +110,17 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings")
+    return nn_descent.search(nn_descent.build(embeddings), embeddings.where(F.col("vec_id") % 20 == 0))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_bpe, op3_packing, op4_quality, op5_simhash, op6_maxent_lm, op7_warc, op8_lz_fingerprint,
         op9_language_id, op10_pii, op11_merkle_manifest, op12_fill_in_middle,
+        op13_nn_descent,
     )
 }
 
