@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, join_unique, map_batches, materialize
+from .merkle import indexed
 
 #: Nodes of a block, as bits of a key, and nodes of a run of the first edges.
 BLOCK_BITS, RUN = 11, 1024
@@ -290,9 +291,10 @@ def build(
     least = rows.withColumn("place", place).where(F.col("place") <= ids)
     distinct = least.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     mean = _mean(rows, dimension)
-    ordered = _signs(distinct, ("vec", "ids"), mean, 1).repartitionByRange("signs", "along", "vec").sortWithinPartitions("signs", "along", "vec")
-    nodes = materialize(ordered.select(F.monotonically_increasing_id().alias("node"), "vec", "ids"), "nodes")
-    total = nodes.count()
+    # keys without gaps, so that blocks are full however many tasks sorted them
+    ordered, total, _ = indexed(_signs(distinct, ("vec", "ids"), mean, 1).withColumn("grp", F.lit("")), ("signs", "along", "vec"))
+    nodes = materialize(ordered.select(F.col("idx").alias("node"), "vec", "ids"), "nodes")
+    discard(ordered)
     edges = first_edges(nodes, mean).withColumn("fresh", F.lit(True))
     graph = materialize(_best(edges, degree), "graph")
     coded = materialize(_coded(nodes), "coded")
