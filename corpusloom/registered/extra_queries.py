@@ -40,7 +40,7 @@ def rerank_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("L1_top_n", f"WITH {S.BM25_SQL} SELECT query, doc, score FROM (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS n FROM hit) WHERE n <= 3")
 def top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.top(S.scored(spark, sf_dir), 3, ("query",)).select("query", "doc", "score")
+    return index.top(S.hits(spark, sf_dir, 3), 3, ("query",)).select("query", "doc", "score")
 
 
 @query("L2_rrf_order", f"WITH {S.RRF_SQL} SELECT query, doc, rank FROM fu WHERE rank <= 10")
@@ -102,7 +102,7 @@ def hash_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The older form of a search: three lists, one of each corpus, with what the manifest says."""
     m, _ = S.manifest(spark, sf_dir)
-    return index.top(S.scored(spark, sf_dir), 5).join(m, "doc").select("query", "corpus", "rank", "doc", "score", "tokens")
+    return S.hits(spark, sf_dir, 5).join(m, "doc").select("query", "corpus", "rank", "doc", "score", "tokens")
 
 
 @query("T19_definition_position", f"WITH {BLOCKS_SQL} SELECT path, position, regexp_matches(content, '(?m)^[ \\t]*(?:(?:[-*+]|\\d+[.)])[ \\t]*)?[A-Z]') AS defined FROM blk")

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
-from ..operators import fuse, index
+from ..operators import fuse, impacts, index
 from ..registry import query
-from ..session import once
+from ..session import once, stored
 from ..sources.adapters import table
 from .chunk_queries import BUILT_SQL, built
 from .text_queries import KEPT_SQL, stems_sql
@@ -46,8 +46,19 @@ def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(F.col("item_id").alias("query"), text.tokens(F.col("text")).alias("terms")).select("query", F.posexplode("terms").alias("ordinal", "term"))
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.bm25(query_terms(spark, sf_dir), *index_of(spark, sf_dir))
+def term_index(spark: SparkSession, sf_dir: str) -> impacts.Impacts:
+    """The stored index that searches read."""
+    folder = stored(spark, "index", f"{sf_dir}/documents.parquet", lambda to: impacts.write(impacts.weights(*index_of(spark, sf_dir)), to))
+    return impacts.read(spark, folder)
+
+
+def wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query_terms(spark, sf_dir).select("query", "term", F.lit(1.0).alias("weight"))
+
+
+def hits(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """The n best of each query and corpus."""
+    return impacts.search(term_index(spark, sf_dir), wanted(spark, sf_dir), n)
 
 
 @query("A1_postings", f"WITH {DOCS_SQL} SELECT * FROM post")
@@ -68,12 +79,12 @@ def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("R1_bm25_topk", f"WITH {BM25_SQL} SELECT query, corpus, doc, score, rank FROM rk WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.top(scored(spark, sf_dir), 10)
+    return hits(spark, sf_dir, 10)
 
 
 @query("R3_bm25_all", f"WITH {BM25_SQL} SELECT query, corpus, count(*)::BIGINT AS hits, max(score) AS best FROM hit GROUP BY ALL")
 def bm25_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir).groupBy("query", "corpus").agg(F.count("*").alias("hits"), F.max("score").alias("best"))
+    return impacts.scores(term_index(spark, sf_dir), wanted(spark, sf_dir)).groupBy("query", "corpus").agg(F.count("*").alias("hits"), F.max("score").alias("best"))
 
 
 #: Fields of a chunk: its heading, its body, and as terms the keys of its heading's parts; code stays empty.
@@ -131,18 +142,23 @@ def weighted_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.withColumn("weight", F.when(F.octet_length("term") % 2 == 0, 1.0).otherwise(0.7))
 
 
-def field_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.bm25f(weighted_terms(spark, sf_dir), *field_index(spark, sf_dir))
+def field_term_index(spark: SparkSession, sf_dir: str) -> impacts.Impacts:
+    make = lambda to: impacts.write(impacts.field_weights(*field_index(spark, sf_dir)), to)
+    return impacts.read(spark, stored(spark, "field index", f"{sf_dir}/documents.parquet", make))
+
+
+def field_hits(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    return impacts.search(field_term_index(spark, sf_dir), weighted_terms(spark, sf_dir), n)
 
 
 @query("R2_bm25f_topk", f"WITH {BM25F_SQL} SELECT query, corpus, doc, score, rank FROM fr WHERE rank <= 10")
 def bm25f_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.top(field_scored(spark, sf_dir), 10)
+    return field_hits(spark, sf_dir, 10)
 
 
 @query("R4_bm25f_all", f"WITH {BM25F_SQL} SELECT query, corpus, count(*)::BIGINT AS hits, max(score) AS best FROM fs GROUP BY ALL")
 def bm25f_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return field_scored(spark, sf_dir).groupBy("query", "corpus").agg(F.count("*").alias("hits"), F.max("score").alias("best"))
+    return impacts.scores(field_term_index(spark, sf_dir), weighted_terms(spark, sf_dir)).groupBy("query", "corpus").agg(F.count("*").alias("hits"), F.max("score").alias("best"))
 
 
 RRF_SQL = BM25F_SQL + """, rr AS (SELECT query, doc, round(sum(w / (60 + rank)), 9) AS score
@@ -151,7 +167,7 @@ RRF_SQL = BM25F_SQL + """, rr AS (SELECT query, doc, round(sum(w / (60 + rank)),
 
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuse.weighted_rrf(index.top(field_scored(spark, sf_dir), 90))
+    return fuse.weighted_rrf(field_hits(spark, sf_dir, 90))
 
 
 @query("R7_rrf", f"WITH {RRF_SQL} SELECT query, doc, score, rank FROM fu")
@@ -222,7 +238,7 @@ def unified(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("J2_enrich", f"WITH {BM25_SQL}{MANIFEST_SQL} SELECT query, rk.doc, rank, source, type, tokens FROM rk JOIN mf USING (doc) WHERE rank <= 5")
 def enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, _ = manifest(spark, sf_dir)
-    return index.top(scored(spark, sf_dir), 5).join(m, "doc").select("query", "doc", "rank", "source", "type", "tokens")
+    return hits(spark, sf_dir, 5).join(m, "doc").select("query", "doc", "rank", "source", "type", "tokens")
 
 
 REL_SQL = RERANK_SQL + """, hits AS (SELECT query, doc, rank FROM re WHERE rank <= 10),
@@ -271,7 +287,7 @@ def flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lists of all corpora as one, by score; ties in the order of the lists."""
     at = F.when(F.col("corpus") == "objects", 0).when(F.col("corpus") == "specs", 1).otherwise(2)
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), at, "rank"))
-    return index.top(scored(spark, sf_dir), 10).select("query", "doc", place.cast("bigint").alias("place"))
+    return hits(spark, sf_dir, 10).select("query", "doc", place.cast("bigint").alias("place"))
 
 
 @query("L10_effective_budget", "SELECT o_orderkey, greatest(t, ceil(t * 4.0::DOUBLE * (1 + d)))::BIGINT AS budget FROM (SELECT o_orderkey, o_orderkey % 700 AS t, ((o_orderkey % 9) - 8) / 8 AS d FROM orders)")

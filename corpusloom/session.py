@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,28 +20,69 @@ def build(master: str = "local[*]", partitions: int = 8, **conf: str) -> SparkSe
     return b.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder the cluster names. Where none is named, a temporary one if all runs in one process, else an error."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints that the cluster names. Where none is named, a temporary one if all runs in one process, else an error."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        where = spark.conf.get("spark.checkpoint.dir", None)
         if not where and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(where or tempfile.mkdtemp(prefix="corpusloom-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the folder for checkpoints."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-_made: dict[tuple, DataFrame] = {}
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _version(spark: SparkSession, path: str) -> tuple:
+    """Names, lengths and times of the files of a table."""
+    where, files = _file_system(spark, path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files.listStatus(where)))
+
 
+#: What has been made: application, name and sources, to the sources' version, the folder and the session.
+_made: dict[tuple, tuple[tuple, str, SparkSession]] = {}
 
-def once(spark: SparkSession, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
-    """What make gives, written the first time it is asked for in this application and read afterwards. ``forget`` drops all of it."""
-    key = (spark.sparkContext.applicationId, *key)
-    if key not in _made:
-        _made[key] = cut(make())
-    return _made[key]
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where, files = _file_system(spark, path)
+    files.delete(where, True)
+
+
+def stored(spark: SparkSession, name: str, sources: str, write: Callable[[str], object]) -> str:
+    """The folder that write(folder) has filled, once in this application while the table ``sources`` has the same files; a later version replaces it."""
+    key, version = (spark.sparkContext.applicationId, name, sources), _version(spark, sources)
+    if key in _made:
+        if _made[key][0] == version:
+            return _made[key][1]
+        _remove(spark, _made.pop(key)[1])
+    folder = f"{shared_folder(spark)}/{name.replace(' ', '-')}-{uuid.uuid4().hex}"
+    write(folder)
+    _made[key] = version, folder, spark
+    return folder
+
+
+def once(spark: SparkSession, key: tuple[str, str], make: Callable[[], DataFrame]) -> DataFrame:
+    """What make gives, as Parquet that is written once while the documents in a folder are the same. key: a name and that folder."""
+    return spark.read.parquet(stored(spark, key[0], f"{key[1]}/documents.parquet", lambda folder: make().write.parquet(folder)))
 
 
 def forget() -> None:
-    """Let go of all tables made once, for instance because their sources have changed."""
-    _made.clear()
+    """Delete all that has been stored."""
+    while _made:
+        _, folder, spark = _made.popitem()[1]
+        _remove(spark, folder)
+
+
+@atexit.register
+def _at_exit() -> None:
+    with contextlib.suppress(Exception):  # the session is gone; the folder belongs to the cluster's cleaning
+        forget()
