@@ -53,6 +53,11 @@ def resolve_link(source: Column, target: Column, keep_above: bool = False) -> Co
     return F.when(target.contains("://") | (plain == ""), "").otherwise(found)
 
 
+def parse_ids(raw: Column) -> Column:
+    """The ids of a list with commas, without blanks around them and without empty ones."""
+    return F.filter(F.transform(F.split(raw, ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
 def parse_ref(ref: Column) -> Column:
     """struct(kind, package, path): of name@author/path, name@author, or a local path."""
     after = F.substring(ref, F.locate("@", ref) + 1, F.lit(1 << 30))

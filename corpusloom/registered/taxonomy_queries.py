@@ -132,10 +132,19 @@ def chunk_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.chunk_terms(terms(spark, sf_dir))
 
 
-@query("A6_source_ranks", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v}::BIGINT)" for k, v in [*words.SOURCE_RANKS.items(), ("other", 7)]) + ") t(source, rank)")
+KINDS = [*words.SOURCE_RANKS, "other"]
+
+
+@query(
+    "A6_source_ranks",
+    f"""WITH {CHUNKS_SQL} SELECT heading, arg_min(kind, rank) AS source, min(rank)::BIGINT AS rank, count(*)::BIGINT AS n
+        FROM (SELECT heading, tokens % 8 AS rank, {KINDS}[(tokens % 8 + 1)::INT] AS kind FROM chk) GROUP BY heading""",
+)
 def source_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(k,) for k in [*words.SOURCE_RANKS, "other"]], "source string")
-    return rows.select("source", X.source_rank(F.col("source")).alias("rank"))
+    """The best of the kinds of source that name a heading; a chunk's number of tokens stands for the kind."""
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("tokens") % 8 + 1).cast("int"))
+    rows = chunks(spark, sf_dir).select("heading", kind.alias("source")).withColumn("rank", X.source_rank(F.col("source")).cast("bigint"))
+    return rows.groupBy("heading").agg(F.min_by("source", "rank").alias("source"), F.min("rank").alias("rank"), F.count("*").alias("n"))
 
 
 #: Aliases: a term's key without hyphens, and its first three letters.

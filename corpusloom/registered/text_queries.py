@@ -326,25 +326,48 @@ def dep_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("p_partkey", "p.*", F.col("full").isNotNull().alias("complete"))
 
 
-@query("P23_parse_ids", "SELECT 1::BIGINT AS k, ['a', 'b c', 'd'] AS ids UNION ALL SELECT 2::BIGINT, []::VARCHAR[]")
+#: The links of a page, as a list that someone typed: blanks around commas, an empty entry, a comma at the end. Some names hold commas.
+IDS_SQL = "SELECT page_id, ' ' || array_to_string(regexp_extract_all(html, 'href=\"/([^\"]*)\"', 1), ' , ') || ',, ' AS raw FROM pages WHERE html IS NOT NULL"
+
+
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").where("html is not null")
+    return p.select("page_id", "url", F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1)).alias("names"))
+
+
+@query("P23_parse_ids", f"SELECT page_id, list_filter(list_transform(string_split(raw, ','), lambda x: trim(x)), lambda x: x <> '') AS ids FROM ({IDS_SQL})")
 def parse_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = spark.createDataFrame([(1, " a, b c,,d ,"), (2, " , ")], "k bigint, raw string")
-    return raw.select("k", F.filter(F.transform(F.split("raw", ","), lambda x: F.trim(x)), lambda x: x != "").alias("ids"))
+    raw = F.concat(F.lit(" "), F.array_join("names", " , "), F.lit(",, "))
+    return page_links(spark, sf_dir).select("page_id", paths.parse_ids(raw).alias("ids"))
 
 
-LINKS = [
-    ("docs/a/b.md", "../c.md", "docs/c.md", "docs/c.md"), ("docs/a/b.md", "./x/./y.md#part", "docs/a/x/y.md", "docs/a/x/y.md"),
-    ("b.md", "../../z.md", "z.md", "../../z.md"), ("a/b.md", "#only", "", ""), ("a/b.md", "https://h/x.md", "", ""), ("a/b.md", "c//d.md", "a/c/d.md", "a/c/d.md"),
-    ("a/b.md", "../../../q.md", "q.md", "../../q.md"),
-]
+#: Each link of a page in one of six forms, from a file named by the page's address.
+LINKS_SQL = """lk AS (SELECT page_id, regexp_extract(url, '://[^/]*/([^?#]*)', 1) || '.md' AS source, unnest(names) AS name, generate_subscripts(names, 1) AS k
+    FROM (SELECT page_id, url, regexp_extract_all(html, 'href="/([^"]*)"', 1) AS names FROM pages WHERE html IS NOT NULL)),
+  lt AS (SELECT page_id, k::BIGINT AS k, source, CASE k % 6 WHEN 0 THEN '../' || name || '.md' WHEN 1 THEN './x/./' || name || '.md#part' WHEN 2 THEN '#' || name WHEN 3 THEN 'https://h/' || name
+    WHEN 4 THEN '../../../' || name || '//y.md' ELSE name || '/../z.md' END AS target FROM lk),
+  lp AS (SELECT *, split_part(target, '#', 1) AS plain, string_split(source, '/') AS ss FROM lt)"""
+#: A path step by step: what is kept so far, and the next segment.
+STEPS_SQL = """array_to_string(list_reduce(list_prepend(ss[1:len(ss) - 1], list_transform(string_split(plain, '/'), lambda x: [x])),
+    lambda a, x: CASE WHEN x[1] IN ('', '.') THEN a WHEN x[1] <> '..' THEN a || x WHEN len(a) = 0 {above} THEN {kept} ELSE a[1:len(a) - 1] END), '/')"""
 
 
-@query("P24_P25_resolve_link", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', '{d}')" for a, b, c, d in LINKS) + ") t(source, target, dropped, kept)")
+@query(
+    "P24_P25_resolve_link",
+    f"""WITH {LINKS_SQL} SELECT page_id, k, CASE WHEN target LIKE '%://%' OR plain = '' THEN '' ELSE {STEPS_SQL.format(above='', kept='a')} END AS dropped,
+        CASE WHEN target LIKE '%://%' OR plain = '' THEN '' ELSE {STEPS_SQL.format(above="OR a[len(a)] = '..'", kept='a || x')} END AS kept FROM lp""",
+)
 def resolve_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Literal cases: no table has links between documents."""
-    rows = spark.createDataFrame([x[:2] for x in LINKS], "source string, target string")
+    source = F.concat(F.regexp_extract("url", "://[^/]*/([^?#]*)", 1), F.lit(".md"))
+    rows = page_links(spark, sf_dir).select("page_id", source.alias("source"), F.posexplode("names").alias("at", "name"))
+    k, name = (F.col("at") + 1).cast("bigint"), F.col("name")
+    forms = [("../", ".md"), ("./x/./", ".md#part"), ("#", ""), ("https://h/", ""), ("../../../", "//y.md"), ("", "/../z.md")]
+    target = F.lit(None).cast("string")
+    for i, (before, after) in enumerate(forms):
+        target = F.when(k % 6 == i, F.concat(F.lit(before), name, F.lit(after))).otherwise(target)
     s, t = F.col("source"), F.col("target")
-    return rows.select("source", "target", paths.resolve_link(s, t).alias("dropped"), paths.resolve_link(s, t, True).alias("kept"))
+    rows = rows.select("page_id", k.alias("k"), "source", target.alias("target"))
+    return rows.select("page_id", "k", paths.resolve_link(s, t).alias("dropped"), paths.resolve_link(s, t, True).alias("kept"))
 
 
 @query(
