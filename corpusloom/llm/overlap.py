@@ -5,14 +5,18 @@ a similarity of 0.8, at which 15 % of the bits differ: 52 segments of 18 bits. T
 differs by at most one bit, found by deletion variants: of the segment's halves one is then equal, and the other is equal
 without one of its bits. Rows are dealt by segment and equal half, and the variants of the other half meet in an equality join inside the task.
 What meets is verified on 192 bits. A pair of similarity s has bits that differ with probability p = arccos(2 s / (1 + s)) / pi and is
-missed with probability (1 - (1 - p)**18 - 18 p (1 - p)**17)**52: 3e-6 at 0.8, 3e-11 at 0.85. Majorities of few hashes are coarser than p, so sets of
-up to 64 shingles meet by prefixes instead, which miss none: of sets so similar, the least fifth (and one) of the hashes has one in common.
+missed with probability (1 - (1 - p)**18 - 18 p (1 - p)**17)**52: 3e-6 at 0.8, 3e-11 at 0.85. A pair that met is joined with both
+whole fingerprints and stays if at most WHOLE of the 960 bits differ. Where a group is so dense that a spanning forest stands for its pairs, they stay without it.
 
-Candidates' components are then searched on the whole sets of 64-bit shingle hashes, so no link is wrong. Equal
+Components of what stays are then searched on the whole sets of 64-bit shingle hashes, so no link is wrong. Equal
 sets are merged first. Only texts that have a candidate are read again for their sets, once for all their candidates. As in
 ``simhash``, no pairs are emitted, but the edges of a spanning forest; a component with more than ``block`` sets is cut into
 blocks, and each pair of blocks is a group of its own.
 
+Majorities of few hashes are coarser than p, so sets of up to 64 shingles meet by prefixes instead, which miss none: of sets so similar,
+the first fifth (and one) of the hashes has one in common, in whatever order, if it is the same for all. Rare hashes come first, so a passage
+that many unlike texts share is in no prefix, and a hash of one set alone meets nothing. Where sets meet they are compared whole, within the task.
+
 Defined results: a null text counts as empty; a text of fewer words than a shingle is one shingle; texts without words are equal.
 """
 
@@ -23,10 +27,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
-from .common import map_batches, materialize, may_hold
+from .common import discard, join_unique, map_batches, materialize, may_hold
 from .simhash import SEED, components, keep_least, row_key, text_hash
 
 WORDS, SIMILARITY = 5, 0.8
@@ -34,6 +39,8 @@ WORDS, SIMILARITY = 5, 0.8
 SEGMENTS, HALF = 52, 9
 #: 64-bit words of a fingerprint; those that are verified, and how many of their bits differ at most (at 0.8: 29, by 5 more or less).
 LANES, CHECKED, RADIUS = 15, 3, 55
+#: How many bits of a whole fingerprint differ at most (at 0.8: 143, by 11 more or less).
+WHOLE = 200
 #: Shingles of a set that is met by its prefix.
 FEW = 64
 #: Fingerprints of a signature of which all pairs are compared at once; of more, row by row.
@@ -79,14 +86,8 @@ def codes_of(lanes: np.ndarray) -> np.ndarray:
     return ((number << 2 * HALF) | (halves << HALF) | halves[:, :, ::-1]).reshape(len(lanes), -1)
 
 
-def prefix(hashes: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
-    """The least hashes of a set: two sets that are so similar have one of them in common."""
-    n = len(hashes)
-    return hashes[: n - int(np.ceil(similarity * n - 1e-9)) + 1] if n else hashes
-
-
 def sketches(df: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
-    """doc_id, h (the hash of the text), fp (that of its shingle set), lanes (its fingerprint) and least (its prefix); each where it serves."""
+    """doc_id, h (the hash of the text), fp (that of its shingle set), lanes (its fingerprint) and least (a small set itself); each where it serves."""
     df = df.select(F.col(id_col).cast("bigint").alias("doc_id"), text_hash(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -96,7 +97,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, words: int, similarity:
             yield {
                 "doc_id": b.column(0), "h": b.column(1), "fp": [key_of(s) for s in sets],
                 "lanes": [fingerprint(s).tobytes() if len(s) > FEW else None for s in sets],
-                "least": [prefix(s, similarity).view(np.int64).tolist() if similarity * len(s) <= FEW + 1e-9 else [] for s in sets],
+                "least": [s.view(np.int64).tolist() if similarity * len(s) <= FEW + 1e-9 else [] for s in sets],
             }
 
     return map_batches(df, run, "doc_id bigint, h bigint, fp bigint, lanes binary, least array<bigint>")
@@ -108,11 +109,16 @@ def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def meet(code: np.ndarray, fp: np.ndarray, lanes: np.ndarray) -> np.ndarray:
     """Pairs of fp (a row each) that join what is near within the signatures of whole keys; code is in order."""
+    return meetings(code, fp, lanes)[0]
+
+
+def meetings(code: np.ndarray, fp: np.ndarray, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of ``meet``, and whether each stands for others that aren't given, so that it must stay."""
     nodes, node = np.unique(fp, return_inverse=True)
-    held = np.zeros(0, np.int64)  # pairs as numbers
+    held = np.zeros(0, np.int64)  # pairs as numbers, twice, and one more if they stand for others
 
-    def numbers(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return np.minimum(node[x], node[y]) * len(nodes) + np.maximum(node[x], node[y])
+    def numbers(x: np.ndarray, y: np.ndarray, bound: bool) -> np.ndarray:
+        return 2 * (np.minimum(node[x], node[y]) * len(nodes) + np.maximum(node[x], node[y])) + bound
 
     for bit in range(HALF):
         out = [held]
@@ -130,7 +136,7 @@ def meet(code: np.ndarray, fp: np.ndarray, lanes: np.ndarray) -> np.ndarray:
                 break
             x, y = order[at], order[at + step]
             good = near(lanes[x], lanes[y])
-            out.append(numbers(x[good], y[good]))
+            out.append(numbers(x[good], y[good], False))
         for s, e in zip(starts[~few], ends[~few], strict=True):
             pool = order[s:e]
             while len(pool) > 1:
@@ -139,14 +145,30 @@ def meet(code: np.ndarray, fp: np.ndarray, lanes: np.ndarray) -> np.ndarray:
                     v = front.pop()
                     hit = near(lanes[pool], lanes[v])
                     got, pool = pool[hit], pool[~hit]
-                    out.append(numbers(np.full(len(got), v), got))
+                    out.append(numbers(np.full(len(got), v), got, True))
                     front.extend(got)
         held = np.unique(np.concatenate(out))
         if len(held) > HELD * len(code):
-            joined = stars(np.column_stack(np.divmod(held, len(nodes))))
-            held = joined[:, 0] * len(nodes) + joined[:, 1]
-    x, y = np.divmod(held, len(nodes)) if len(nodes) else (held, held)
-    return np.column_stack([nodes[x], nodes[y]])
+            joined = stars(np.column_stack(np.divmod(held >> 1, len(nodes))))
+            held = 2 * (joined[:, 0] * len(nodes) + joined[:, 1]) + 1
+    last = np.r_[held[1:] >> 1 != held[:-1] >> 1, True] if len(held) else held.astype(bool)  # of a pair given both ways, the one that must stay
+    held = held[last]
+    x, y = np.divmod(held >> 1, len(nodes)) if len(nodes) else (held, held)
+    return np.column_stack([nodes[x], nodes[y]]), (held & 1).astype(bool)
+
+
+def thin(pairs: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same with stars in place of components that have over HELD pairs for each node."""
+    joined = stars(pairs)
+    nodes = np.unique(pairs)
+    root = nodes.copy()
+    root[np.searchsorted(nodes, joined[:, 1])] = joined[:, 0]
+    number, of_node = np.unique(root, return_inverse=True)
+    of_pair = of_node[np.searchsorted(nodes, pairs[:, 0])]
+    dense = np.bincount(of_pair, minlength=len(number)) > HELD * np.bincount(of_node, minlength=len(number))
+    short = joined[dense[of_node[np.searchsorted(nodes, joined[:, 1])]]]
+    keep = ~dense[of_pair]
+    return np.concatenate([pairs[keep], short]), np.r_[bound[keep], np.ones(len(short), bool)]
 
 
 def stars(pairs: np.ndarray) -> np.ndarray:
@@ -166,7 +188,7 @@ def stars(pairs: np.ndarray) -> np.ndarray:
 
 
 def candidates(groups: DataFrame) -> DataFrame:
-    """Edges (a, b) between the fp of groups (fp, lanes, least), that join all that may be similar."""
+    """Edges (a, b) between the fp of groups (fp, lanes) that join all that may be similar; bound: the edge stands for others, see ``meetings``."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
@@ -186,9 +208,9 @@ def candidates(groups: DataFrame) -> DataFrame:
         held, size = [], 0
 
         def take(columns: list[np.ndarray]) -> dict:
-            # no more edges than fingerprints, however many pairs there are
-            pairs = stars(meet(columns[0], columns[1], np.column_stack(columns[2:]).view(np.uint64)))
-            return {"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])}
+            # a few edges for each fingerprint at most, however many pairs there are
+            pairs, bound = thin(*meetings(columns[0], columns[1], np.column_stack(columns[2:]).view(np.uint64)))
+            return {"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1]), "bound": pa.array(bound)}
 
         for b in batches:
             held.append([c.to_numpy() for c in b.columns])
@@ -203,11 +225,54 @@ def candidates(groups: DataFrame) -> DataFrame:
         if held:
             yield take([np.concatenate(c) for c in zip(*held, strict=True)])
 
-    large = map_batches(rows, run, "a bigint, b bigint")
-    small = groups.select("fp", F.explode("least").alias("key"))
-    first = small.groupBy("key").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    small = small.join(first, "key").select("a", F.col("fp").alias("b")).where("a <> b")
-    return large.union(small).distinct()
+    return map_batches(rows, run, "a bigint, b bigint, bound boolean").groupBy("a", "b").agg(F.bool_or("bound").alias("bound"))
+
+
+@F.arrow_udf(BooleanType())
+def alike(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Whether whole fingerprints are near enough."""
+    one, other = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(-1, LANES) for c in (a, b))
+    return pa.array(np.bitwise_count(one ^ other).sum(1, dtype=np.int64) <= WHOLE)
+
+
+def likely(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """The edges of ``candidates`` whose whole fingerprints are near, and those that stand for others."""
+    lanes = groups.where("lanes is not null").select("fp", "lanes")
+    for end in ("a", "b"):
+        edges = edges.join(lanes.select(F.col("fp").alias(end), F.col("lanes").alias(f"lanes_{end}")), end)
+    return edges.where(F.col("bound") | alike("lanes_a", "lanes_b")).select("a", "b")
+
+
+def prefixes(groups: DataFrame, similarity: float) -> DataFrame:
+    """key and fp: the hashes of the small sets' prefixes, rare ones first, that other small sets have too."""
+    sets = groups.where(F.size("least") > 0).select("fp", F.size("least").alias("size"), F.explode("least").alias("key"))
+    total = groups.agg(F.coalesce(F.sum(F.greatest(F.size("least"), F.lit(0))), F.lit(0))).first()[0]
+    counts = sets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = join_unique(sets, counts.select("key", "n", F.col("n").alias("rows")), "key", total, "rows")
+    # hashes of one set alone come first in it and meet nothing
+    ranked = shared.groupBy("fp").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "key"))).alias("all"))
+    left = F.size("all") + 1 - F.ceil(F.col("size") * F.lit(similarity) - 1e-9)
+    return ranked.where(left > 0).select("fp", F.explode(F.slice("all", F.lit(1), left.cast("int"))).alias("one")).select("one.key", "fp")
+
+
+def short_links(groups: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Edges (a, b) that join the small sets of groups (fp, least) just as all links would."""
+    keys = prefixes(groups, similarity)
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    total = keys.count()
+    keys = join_unique(keys, sizes.select("key", "n", F.col("n").alias("rows")), "key", total, "rows").select(F.col("key").alias("root"), "fp", blocks_of(block).alias("blocks"))
+    sets = keys.join(groups.select("fp", "least"), "fp").select("fp", "root", "blocks", "least")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            least = [np.array(x, np.int64).tobytes() for x in b.column(3).to_pylist()]
+            yield {"fp": b.column(0), "root": b.column(1), "blocks": b.column(2), "hashes": least}
+
+    return compared(map_batches(sets, run, "fp bigint, root bigint, blocks int, hashes binary"), similarity)
+
+
+def blocks_of(block: int) -> Column:
+    return F.when(F.col("n") > block, F.ceil(2 * F.col("n") / F.lit(block))).otherwise(1).cast("int")
 
 
 def common(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
@@ -240,28 +305,8 @@ def forest(keys: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[
     return edges
 
 
-def links(df: DataFrame, rows: DataFrame, id_col: str, text_col: str, words: int, similarity: float, block: int) -> DataFrame:
-    """Edges (a, b) between the fp of rows, which are the sketches of df, that join them just as all links would."""
-    groups = rows.groupBy("fp").agg(F.min(F.struct("doc_id", "h", "lanes", "least")).alias("one"))
-    groups = materialize(groups.select("fp", "one.*"), "groups")
-    roots = materialize(components(candidates(groups)), "met")
-    sizes = roots.groupBy("root").agg(F.count("*").alias("n"))
-    blocks = F.when(F.col("n") > block, F.ceil(2 * F.col("n") / F.lit(block))).otherwise(1).cast("int")
-    met = roots.join(sizes.select("root", blocks.alias("blocks")), "root").withColumnRenamed("node", "fp")
-    wanted = materialize(met.join(groups, "fp").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "fp", "root", "blocks"), "wanted")
-    texts = df.select(F.col(id_col).cast("bigint").alias("doc_id"), text_hash(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
-    # the join shuffles the texts that are read and few others
-    texts = texts.where(may_hold(wanted.select(row_key(F.col("_id"), F.col("_h"))), row_key(F.col("doc_id"), F.col("h"))))
-    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("fp", "root", "blocks", "text")
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for b in batches:
-            for at in range(0, b.num_rows, 64):
-                part = b.slice(at, 64)
-                sets = [shingle_set(t, words).tobytes() for t in part.column(3).to_pylist()]
-                yield {"fp": part.column(0), "root": part.column(1), "blocks": part.column(2), "hashes": sets}
-
-    sets = map_batches(texts, read, "fp bigint, root bigint, blocks int, hashes binary")
+def compared(sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) of spanning forests of the links within the roots of sets (fp, root, blocks, hashes)."""
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = sets.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).select("root", "fp", "hashes", "own", other)
     dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "hashes")
@@ -285,7 +330,31 @@ def links(df: DataFrame, rows: DataFrame, id_col: str, text_col: str, words: int
         if len(keys) > 1:
             yield rows_of(keys, held)
 
-    return map_batches(dealt, run, "a bigint, b bigint").distinct()
+    return map_batches(dealt, run, "a bigint, b bigint")
+
+
+def links(df: DataFrame, rows: DataFrame, id_col: str, text_col: str, words: int, similarity: float, block: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Edges (a, b) between the fp of rows, which are the sketches of df, that join them just as all links would; the tables they are read from."""
+    groups = rows.groupBy("fp").agg(F.min(F.struct("doc_id", "h", "lanes", "least")).alias("one"))
+    groups = materialize(groups.select("fp", "one.*"), "groups")
+    roots = materialize(components(likely(candidates(groups), groups)), "met")
+    sizes = roots.groupBy("root").agg(F.count("*").alias("n"))
+    met = roots.join(sizes.select("root", blocks_of(block).alias("blocks")), "root").withColumnRenamed("node", "fp")
+    wanted = materialize(met.join(groups, "fp").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "fp", "root", "blocks"), "wanted")
+    texts = df.select(F.col(id_col).cast("bigint").alias("doc_id"), text_hash(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
+    # the join shuffles the texts that are read and few others
+    texts = texts.where(may_hold(wanted.select(row_key(F.col("_id"), F.col("_h"))), row_key(F.col("doc_id"), F.col("h"))))
+    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("fp", "root", "blocks", "text")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                sets = [shingle_set(t, words).tobytes() for t in part.column(3).to_pylist()]
+                yield {"fp": part.column(0), "root": part.column(1), "blocks": part.column(2), "hashes": sets}
+
+    sets = map_batches(texts, read, "fp bigint, root bigint, blocks int, hashes binary")
+    return compared(sets, similarity).union(short_links(groups, similarity, block)).distinct(), [groups, roots, wanted]
 
 
 def drop_near_copies(
@@ -295,5 +364,7 @@ def drop_near_copies(
     if not SIMILARITY <= similarity <= 1:
         raise ValueError("the segments are made for a similarity of 0.8 and more")
     rows = materialize(sketches(df, id_col, text_col, words, similarity), "sketches")
-    roots = components(links(df, rows, id_col, text_col, words, similarity, block))
+    edges, tables = links(df, rows, id_col, text_col, words, similarity, block)
+    roots = components(edges)
+    discard(*tables)
     return keep_least(df, rows.select("doc_id", "h", "fp"), roots, id_col, text_col)

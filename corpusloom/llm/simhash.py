@@ -269,12 +269,14 @@ def keep_least(df: DataFrame, rows: DataFrame, roots: DataFrame, id_col: str, te
     goes = met.where((F.col("times") > 1) | (F.col("h") != F.col("_kept")) | ~F.col("doc_id").eqNullSafe(F.col("_id")))
     goes = materialize(goes.select(row_key(F.col("doc_id"), F.col("h")).alias("key")), "goes")
     own_id = F.col(id_col).cast("bigint")
-    hashed = df.withColumn("_h", text_hash(text_col))
-    hashed = hashed.withColumn("_goes", may_hold(goes, row_key(own_id, F.col("_h"))))
-    stay, told = hashed.where(~F.col("_goes")), hashed.where("_goes")
-    keep = first.select(F.col("doc_id").alias("_id"), F.col("h").alias("_kept"))
-    kept = told.join(keep, own_id.eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_kept")), "left_semi")
-    return stay.drop("_h", "_goes").unionByName(kept.dropDuplicates([id_col, "_h"]).drop("_h", "_goes"))
+    # names that df doesn't have, so that all its columns stay
+    mark = "_" * (1 + max(map(len, df.columns)))
+    hashed = df.withColumn(mark + "h", text_hash(text_col))
+    hashed = hashed.withColumn(mark + "goes", may_hold(goes, row_key(own_id, F.col(mark + "h"))))
+    stay, told = hashed.where(~F.col(mark + "goes")), hashed.where(F.col(mark + "goes"))
+    keep = first.select(F.col("doc_id").alias(mark + "id"), F.col("h").alias(mark + "kept"))
+    kept = told.join(keep, own_id.eqNullSafe(F.col(mark + "id")) & (F.col(mark + "h") == F.col(mark + "kept")), "left_semi")
+    return stay.drop(mark + "h", mark + "goes").unionByName(kept.dropDuplicates([id_col, mark + "h"]).drop(mark + "h", mark + "goes"))
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = BITS) -> DataFrame:

@@ -244,3 +244,56 @@ def test_edges_are_written_once(spark, monkeypatch):
     kept = overlap.drop_near_copies(spark.createDataFrame([(1, text), (2, text + " u"), (3, "v")], "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
     assert names == ["sketches", "groups", "met", "wanted"]
+
+
+@pytest.mark.parametrize("n", [2000, 8000])
+def test_a_common_passage_makes_no_rows(spark, n):
+    """Unlike short texts that share five words, and some that share a sentence: few hashes meet, whatever the number of texts."""
+    rng = random.Random(8)
+    rows = [(i, "one passage that all share " + " ".join(f"w{rng.randrange(10**9)}" for _ in range(50))) for i in range(n)]
+    rows += [(n + i, rows[i][1].replace("one", "1")) for i in range(10)]
+    with scratch():
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        groups = materialize(overlap.sketches(df, "doc_id", "text", 5, 0.8), "groups")
+        keys = overlap.prefixes(groups, 0.8)
+        assert keys.select("fp").distinct().count() == 20 and keys.count() <= 20 * 13
+        if n == 2000:
+            assert sorted(r.doc_id for r in overlap.drop_near_copies(df).collect()) == list(range(n))
+
+
+def test_short_links_equal_all_pairs(spark):
+    """Texts made of few passages, so that whole prefixes are frequent, in blocks of 4 and at once."""
+    rng = random.Random(9)
+    parts = [[f"p{k}w{i}" for i in range(rng.randrange(6, 30))] for k in range(8)]
+    rows = [(i, " ".join(sum(rng.sample(parts, rng.randrange(1, 4)), [])[: rng.randrange(20, 80)])) for i in range(150)]
+    with scratch():
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        groups = materialize(overlap.sketches(df, "doc_id", "text", 5, 0.8).dropDuplicates(["fp"]), "groups")
+        sets = {r.fp: set(r.least) for r in groups.collect() if r.least}
+        fps = sorted(sets)
+        want = [(i, j) for i, a in enumerate(fps) for j, b in enumerate(fps[:i]) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+        for block in (512, 4):
+            got = [(fps.index(r.a), fps.index(r.b)) for r in overlap.short_links(groups, 0.8, block).collect()]
+            assert set(got) <= {(min(p), max(p)) for p in want}
+            assert components_of(len(fps), got) == components_of(len(fps), want)
+        assert len(want) > 20
+
+
+def test_dense_components_become_stars():
+    rng = np.random.default_rng(8)
+    dense = np.array([(i, j) for i in range(30) for j in range(i + 1, 30)])
+    sparse = np.array([(100 + i, 101 + i) for i in range(20)])
+    pairs, bound = overlap.thin(np.concatenate([dense, sparse]), np.r_[np.zeros(len(dense), bool), np.arange(20) == 3])
+    assert sorted(map(tuple, pairs[pairs[:, 0] >= 100].tolist())) == sorted(map(tuple, sparse.tolist()))
+    assert bound.sum() == 29 + 1 and components_of(30, pairs[pairs[:, 0] < 30].tolist()) == [0] * 30
+    assert [len(x) for x in overlap.thin(np.zeros((0, 2), np.int64), np.zeros(0, bool))] == [0, 0]
+    for n in [65, 90, 300] * 40:  # whole fingerprints of pairs of similarity 0.8
+        hashes = rng.integers(0, 2**64, n + n // 9, np.uint64)
+        a, b = overlap.fingerprint(hashes[:n]), overlap.fingerprint(hashes[n // 9 :])
+        assert np.bitwise_count(a ^ b).sum() <= overlap.WHOLE
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(1, "a b c d e f", 7, 8, 9, 10), (2, "a b c d e f", 1, 2, 3, 4), (3, "z", 4, 5, 6, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _h long, _goes int, _id long, _kept long")
+    assert sorted(map(tuple, overlap.drop_near_copies(df).collect())) == [rows[0], rows[2]]
