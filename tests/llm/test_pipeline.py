@@ -58,5 +58,5 @@ def test_repeated_rows_and_very_long_texts(spark):
 
 
 def test_registered():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "quality", "simhash", "pii", "packing"]
