@@ -22,7 +22,7 @@ learned; a null id is kept; repeated rows each give a row; rows with a null lang
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -376,12 +376,19 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return map_batches(df, run, "doc_id bigint, lang_pred string, score double, rate double")
 
 
-def set_language(df: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of df that have a language, with it in lang_col; the other columns stay, whatever their names."""
+def set_language(
+    df: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang", before: Callable[[], None] | None = None
+) -> DataFrame:
+    """The rows of df that have a language, with it in lang_col; the other columns stay, whatever their names.
+
+    before: called in the workers ahead of each batch, to let go of what other operators' tasks have left in them.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
     text, lang = df.columns.index(text_col), df.columns.index(lang_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if before is not None:
+            before()
         langs = classify(shared.value, batch.column(text).to_pylist())[0]
         return replace_column(batch, lang, langs).filter(pa.array([k != "und" for k in langs], pa.bool_()))
 

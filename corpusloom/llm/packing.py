@@ -98,6 +98,11 @@ def word_tokenizer(path: str) -> WordTokenizer:
     return _loaded[path]
 
 
+def forget() -> None:
+    """Let go of the tokenizers that this process has read, with their words; they are read again when asked for."""
+    _loaded.clear()
+
+
 class Tournament:
     """The remaining capacity of bins as leaves; each inner node has the larger of its two."""
 
