@@ -15,7 +15,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sets lang to the language found; documents without one (no letters, or null) go."""
     model = language_id.fit_on(docs.where(crc_mod("doc_id", 5) != 0))
-    return language_id.set_language(docs.select(*COLUMNS), model)
+    return language_id.set_language(docs.select(*COLUMNS), model, before=packing.forget)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
