@@ -100,6 +100,11 @@ def key_phrases(texts: DataFrame, top: int = DEFAULTS.rake_phrases, longest: int
     return best.withColumn("place", place).where(F.col("place") <= top).select("id", "place", "phrase", "score")
 
 
+def lookup(chunks: DataFrame, ids: DataFrame) -> DataFrame:
+    """ids: id. The chunks that have one of them; equal texts share an id, so an id may give several."""
+    return chunks.join(ids.select("id").distinct(), "id", "left_semi")
+
+
 def bridges(chunks: DataFrame, bridged: DataFrame | None = None, tail: int = DEFAULTS.bridge_tail) -> DataFrame:
     """chunks: doc, type, source, sequence, heading, content. doc and bridge, the way from a chunk to the next one of its source.
 

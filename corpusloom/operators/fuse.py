@@ -99,3 +99,28 @@ def distinct_sources(rows: DataFrame, by: str = "query") -> DataFrame:
     """Sources in the order of their first row."""
     first = rows.groupBy(by, "source").agg(F.min("rank").alias("first"))
     return first.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("first")).cast("bigint")).drop("first")
+
+
+def flatten(ranked: DataFrame, corpora: tuple[str, ...] = ("objects", "specs", "system")) -> DataFrame:
+    """ranked: query, corpus, doc, score, rank. The lists of all corpora as one, by score; ties in the order of the lists, then by rank."""
+    at: Column = F.lit(len(corpora))
+    for i, name in enumerate(corpora):
+        at = F.when(F.col("corpus") == name, i).otherwise(at)
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), at, "rank"))
+    return ranked.select("query", "doc", place.cast("bigint").alias("place"))
+
+
+def type_rank(kind: Column) -> Column:
+    """Objects first, then what belongs to the system, then specs."""
+    return F.when(kind == "system", 1).when(kind == "spec", 2).otherwise(0)
+
+
+def by_type(chunks: DataFrame, by: Column) -> DataFrame:
+    """source, sequence and the place of each chunk within its group, by type, source and sequence."""
+    order = Window.partitionBy(by).orderBy(type_rank(F.col("type")), "source", "sequence")
+    return chunks.select("source", "sequence", F.row_number().over(order).cast("bigint").alias("place"))
+
+
+def result_count(flag: Column, configured: Column, default: int = 30) -> Column:
+    """The flag, or else the configured number, or else the default."""
+    return F.coalesce(flag, configured, F.lit(default)).cast("bigint")

@@ -61,3 +61,9 @@ def drift(dependencies: DataFrame, hashes: DataFrame) -> DataFrame:
     best = found.groupBy("dep").agg(F.min_by("hash", F.struct("rank", "path")).alias("hash"))
     rows = d.join(best, "dep", "left")
     return rows.select("dep", "hash", F.col("hash").isNull().alias("missing"), (~F.col("hash").eqNullSafe(F.col("expected"))).alias("changed"))
+
+
+def union_chunks(fresh: DataFrame, kept: DataFrame) -> DataFrame:
+    """The chunks of a build and those kept from the last one: a source that was built anew has none of its old chunks. ``fresh`` tells which."""
+    old = kept.join(fresh.select("source").distinct(), "source", "left_anti").select(*fresh.columns, F.lit(False).alias("fresh"))
+    return fresh.select("*", F.lit(True).alias("fresh")).unionByName(old)

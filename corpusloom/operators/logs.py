@@ -43,3 +43,50 @@ def cache_lookup(log: DataFrame, wanted: DataFrame, files: DataFrame) -> DataFra
 def latest_tokens(log: DataFrame) -> DataFrame:
     """content, tokens: of each content hash the token count that was logged last."""
     return log.groupBy("content").agg(F.max_by("tokens", F.struct("ts", "event_id")).alias("tokens"))
+
+
+def places(rows: DataFrame, value: str, *tie: str) -> DataFrame:
+    """rows and ``place``, from 1 on, by value (a number) downwards, nulls last, then by tie.
+
+    Values are put in bands by their logarithm, at most 1,025; the bands' counts are added up first, so rows are ordered band by band.
+    """
+    v = F.col(value)
+    banded = rows.select("*", F.when(v.isNull(), -1).otherwise(F.floor(F.log2(F.greatest(v, F.lit(0)) + 1) * 16)).cast("int").alias("_band"))
+    counts = banded.groupBy("_band").agg(F.count("*").alias("_n"))
+    before = counts.select("_band", (F.sum("_n").over(Window.orderBy(F.col("_band").desc())) - F.col("_n")).alias("_before"))  # a row for each band
+    own = F.row_number().over(Window.partitionBy("_band").orderBy(v.desc(), *tie))
+    return banded.join(F.broadcast(before), "_band").select(*rows.columns, (F.col("_before") + own).cast("bigint").alias("place"))
+
+
+def breakdown(log: DataFrame, by: str) -> DataFrame:
+    """log: by, tokens. Tokens of each caller or model and its place, the most first."""
+    return places(log.groupBy(by).agg(F.sum("tokens").alias("tokens")), "tokens", by)
+
+
+def sizes(files: DataFrame, by: str, content: str = "content") -> DataFrame:
+    """Bytes of the files of each folder; null contents have none."""
+    return files.groupBy(by).agg(F.sum(F.octet_length(content)).alias("bytes"))
+
+
+def session_totals(entries: DataFrame, budget: int, by: str = "session") -> DataFrame:
+    """entries: by, place, tokens. Tokens, share of the budget in percent, whether they are over it, and the place of the largest (the first on ties)."""
+    total = F.sum("tokens")
+    return entries.groupBy(by).agg(
+        total.alias("tokens"), F.round(100 * total / budget, 6).alias("used"), (total > budget).alias("over"),
+        F.max_by("place", F.struct(F.col("tokens"), -F.col("place"))).alias("largest"),
+    )
+
+
+STATES = ("completed", "in_progress", "pending")
+
+
+def progress(steps: DataFrame) -> DataFrame:
+    """steps: plan, step, status. How many steps of each plan are in each state."""
+    return steps.groupBy("plan").agg(*[F.count_if(F.col("status") == s).alias(s) for s in STATES])
+
+
+def blocked_steps(steps: DataFrame) -> DataFrame:
+    """steps: plan, step, status, blocker. Open steps whose blocker, of the same plan, is open too; a blocker that doesn't exist blocks nothing."""
+    still = steps.where("status <> 'completed'")
+    open_ = still.select("plan", F.col("step").alias("blocker"))
+    return still.where("blocker is not null").join(open_, ["plan", "blocker"], "left_semi").select("plan", "step")

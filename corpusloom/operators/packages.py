@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
@@ -92,3 +92,10 @@ def prune_orphans(packages: DataFrame, removed: str) -> DataFrame:
     left = F.filter("required_by", lambda x: F.substring_index(x, ":", 1) != removed)
     rows = packages.where(F.col("ref") != removed).withColumn("left", left)
     return rows.where((F.col("source") == "direct") | (F.size("left") > 0)).select("ref", "source", F.col("left").alias("required_by"))
+
+
+def installable(found: DataFrame, by: str, name: str) -> DataFrame:
+    """found: by, name, released, tagged. priority (0 with a release, 1 with a tag only, else 2) and the place among the results of its search."""
+    rows = found.withColumn("priority", F.when(F.col("released"), 0).when(F.col("tagged"), 1).otherwise(2).cast("bigint"))
+    place = F.row_number().over(Window.partitionBy(by).orderBy("priority", name))
+    return rows.select(by, name, "priority", place.cast("bigint").alias("place"))

@@ -5,6 +5,8 @@ Candidates carry an ``ordinal`` (any sortable value) for what comes first.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,6 +85,29 @@ def abbreviations(blocks: DataFrame) -> DataFrame:
     return keyed.agg(F.min_by(F.struct("short", "long"), F.struct("chunk", "block", "place")).alias("p")).select("p.*")
 
 
+#: Where a definition stands: at a line's beginning, after a list marker or not, with a capital. Fixed value.
+DEFINITION = r"(?m)^[ \t]*(?:(?:[-*+]|\d+[.)])[ \t]*)?[A-Z]"
+
+
+def definition_position(content: Column) -> Column:
+    return content.rlike(DEFINITION)
+
+
+def structural(blocks: DataFrame) -> DataFrame:
+    """The candidates that form and place give: chunk, block, place, canonical, source and ordinal (by chunk, block, kind and place)."""
+    kinds = heading_terms, code_identifiers, bold_terms, list_headers, table_headers
+    parts = [
+        k(blocks).select("chunk", "block", "place", "canonical", "source", F.struct("chunk", "block", F.lit(i).alias("kind"), "place").alias("ordinal"))
+        for i, k in enumerate(kinds)
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def extract(blocks: DataFrame, least: int = DEFAULTS.least_term_frequency) -> DataFrame:
+    """The terms of blocks: structural candidates, deduplicated."""
+    return deduplicate(structural(blocks).select("ordinal", "canonical", "source", "chunk"), least)
+
+
 def source_rank(source: Column) -> Column:
     out: Column = F.lit(7)
     for name, rank in words.SOURCE_RANKS.items():
@@ -151,6 +176,37 @@ def cross_references(links: DataFrame, terms: DataFrame, broader: DataFrame) ->
     return pairs.join(known, ["a", "b"], "left_anti")
 
 
+def related_store(links: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """links: src, dst. terms: key, source. Related terms in factored form: classes (class, key) and edges (a, b) between classes.
+
+    Sources with the same set of terms are one class, named by the set's digest. The rows are as many as the classes' terms and the
+    distinct links between classes, however many pairs of terms they stand for.
+    """
+    sets = terms.select("key", "source").distinct().groupBy("source").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    digest = F.sha2(F.to_json(F.struct("keys")).cast("binary"), 256)
+    sets = sets.select("source", digest.alias("class"), "keys")
+    classes = sets.groupBy("class").agg(F.first("keys").alias("keys")).select("class", F.explode("keys").alias("key"))
+    own = sets.select("source", "class")
+    edges = links.select("src", "dst").distinct().join(own.select(F.col("source").alias("src"), F.col("class").alias("a")), "src").join(
+        own.select(F.col("source").alias("dst"), F.col("class").alias("b")), "dst"
+    )
+    return classes, edges.select("a", "b").distinct()
+
+
+def related_of(keys: DataFrame, classes: DataFrame, edges: DataFrame, broader: DataFrame) -> DataFrame:
+    """keys: key. key and related (sorted) of those keys that have related terms, from the factored form; only their classes are expanded.
+
+    broader: key, broader. A term and its broader one aren't related.
+    """
+    ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    asked = keys.select("key").distinct().join(classes, "key").withColumnRenamed("class", "a")
+    met = asked.join(ways, "a").select("key", F.col("b").alias("class")).distinct()
+    pairs = met.join(classes.withColumnRenamed("key", "other"), "class").select("key", "other").where("key <> other").distinct()
+    known = broader.where("broader is not null").select("key", F.col("broader").alias("other"))
+    known = known.unionByName(known.select(F.col("other").alias("key"), F.col("key").alias("other"))).distinct()
+    return pairs.join(known, ["key", "other"], "left_anti").groupBy("key").agg(F.array_sort(F.collect_list("other")).alias("related"))
+
+
 def expand(queries: DataFrame, terms: DataFrame, aliases: DataFrame, dictionary: DataFrame, cap: int = DEFAULTS.expansion_cap, tiers: dict[str, float] | None = None) -> DataFrame:
     """queries: query, text. terms: key, canonical, aliases, narrower, related. Weighted tokens: query, ordinal, term, weight, tier.
 

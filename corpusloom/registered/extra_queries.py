@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import index
+from ..operators import catalog, fuse, incremental, index, taxonomy
 from ..registry import query
 from ..sources.adapters import BLOCKS_SQL, CHUNKS_SQL, blocks, chunks, table
 from . import score_queries as S
-from .taxonomy_queries import EXP_SQL, FULL_SQL, TERMS_SQL, full_terms, terms
+from .taxonomy_queries import EXP_SQL, FULL_SQL, RANK_SQL, STRUCTURAL_SQL, full_terms, marked
+from .text_queries import KEY_SQL
 
 
 @query("J1_lookup", f"WITH {CHUNKS_SQL} SELECT c.id, c.source, c.sequence, c.tokens FROM chk c WHERE c.id IN (SELECT min(id) FROM chk GROUP BY type)")
@@ -18,7 +19,7 @@ def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks by id: here the least id of each type."""
     c = chunks(spark, sf_dir)
     wanted = c.groupBy("type").agg(F.min("id").alias("id")).select("id")
-    return c.join(wanted, "id", "left_semi").select("id", "source", "sequence", "tokens")
+    return catalog.lookup(c, wanted).select("id", "source", "sequence", "tokens")
 
 
 @query("J17_expansion_lookup", f"WITH {EXP_SQL} SELECT query, count(*)::BIGINT AS words, count(key)::BIGINT AS known FROM fo GROUP BY query")
@@ -55,26 +56,23 @@ def rerank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("L5_type_order", f"WITH {CHUNKS_SQL} SELECT source, sequence, row_number() OVER (PARTITION BY split_part(source, '/', -2) ORDER BY CASE type WHEN 'system' THEN 1 WHEN 'spec' THEN 2 ELSE 0 END, source, sequence) AS place FROM chk")
 def type_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    kind = F.when(F.col("type") == "system", 1).when(F.col("type") == "spec", 2).otherwise(0)
-    order = Window.partitionBy(F.element_at(F.split("source", "/"), -2)).orderBy(kind, "source", "sequence")
-    return chunks(spark, sf_dir).select("source", "sequence", F.row_number().over(order).cast("bigint").alias("place"))
+    return fuse.by_type(chunks(spark, sf_dir), F.element_at(F.split("source", "/"), -2))
 
 
 @query("L9_result_count", "SELECT p_partkey, coalesce(CASE WHEN p_partkey % 3 = 0 THEN p_size END, CASE WHEN p_partkey % 3 = 1 THEN 12 END, 30)::BIGINT AS n FROM part")
 def result_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A flag before the configured number, before 30."""
     k = F.col("p_partkey") % 3
-    n = F.coalesce(F.when(k == 0, F.col("p_size")), F.when(k == 1, F.lit(12)), F.lit(30))
-    return table(spark, sf_dir, "part").select("p_partkey", n.cast("bigint").alias("n"))
+    n = fuse.result_count(F.when(k == 0, F.col("p_size")), F.when(k == 1, F.lit(12)))
+    return table(spark, sf_dir, "part").select("p_partkey", n.alias("n"))
 
 
-@query("U2_union_chunks", f"WITH {CHUNKS_SQL} SELECT type, count(*)::BIGINT AS chunks FROM chk GROUP BY type")
+@query("U2_union_chunks", f"WITH {CHUNKS_SQL} SELECT source, sequence, tokens + CASE WHEN strlen(source) % 2 = 1 THEN 1 ELSE 0 END AS tokens, strlen(source) % 2 = 1 AS fresh FROM chk")
 def union_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chunks(spark, sf_dir)
-    both = c.where("sequence % 2 = 0").unionByName(c.where("sequence % 2 <> 0"))
-    return both.groupBy("type").agg(F.count("*").alias("chunks"))
+    """All chunks stand for the last build; those of sources with paths of odd length are built anew, with a token more."""
+    kept = chunks(spark, sf_dir).select("source", "sequence", "tokens")
+    fresh = kept.where(F.octet_length("source") % 2 == 1).withColumn("tokens", F.col("tokens") + 1)
+    return incremental.union_chunks(fresh, kept)
 
 
 @query("U5_append_unique", f"WITH {FULL_SQL} SELECT key, list_distinct(list_concat(aliases, [left(key, 3), 'more'])).list_sort() AS aliases FROM full_")
@@ -83,14 +81,19 @@ def append_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full_terms(spark, sf_dir).select("key", F.array_sort(F.array_distinct(F.concat("aliases", more))).alias("aliases"))
 
 
-@query("X1_structural", f"WITH {BLOCKS_SQL} SELECT type, count(*)::BIGINT AS blocks FROM blk GROUP BY type")
+@query("X1_structural", f"WITH {STRUCTURAL_SQL} SELECT chunk, block, canonical, source FROM st")
 def structural(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks(spark, sf_dir).groupBy("type").agg(F.count("*").alias("blocks"))
+    return taxonomy.structural(marked(spark, sf_dir)).select("chunk", "block", "canonical", "source")
 
 
-@query("X11_extract", f"WITH {TERMS_SQL} SELECT source, count(*)::BIGINT AS terms, sum(len(chunks))::BIGINT AS uses FROM tm GROUP BY source")
+@query(
+    "X11_extract",
+    f"""WITH {STRUCTURAL_SQL}, keyed AS (SELECT *, {KEY_SQL.format('canonical')} AS key FROM st),
+        best AS (SELECT key, arg_min((canonical, source), ({RANK_SQL}, chunk, block, kind, place)) AS b, count(DISTINCT chunk)::BIGINT AS uses FROM keyed WHERE key <> '' GROUP BY key)
+        SELECT key, struct_extract(b, 1) AS canonical, struct_extract(b, 2) AS source, uses FROM best WHERE uses >= 2""",
+)
 def extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terms(spark, sf_dir).groupBy("source").agg(F.count("*").alias("terms"), F.sum(F.size("chunks")).alias("uses"))
+    return taxonomy.extract(marked(spark, sf_dir)).select("key", "canonical", "source", F.size("chunks").cast("bigint").alias("uses"))
 
 
 @query("A16_hash_table", "SELECT doc_id, 'sha256:' || sha256(text) AS hash FROM documents")
@@ -107,5 +110,4 @@ def run_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("T19_definition_position", f"WITH {BLOCKS_SQL} SELECT path, position, regexp_matches(content, '(?m)^[ \\t]*(?:(?:[-*+]|\\d+[.)])[ \\t]*)?[A-Z]') AS defined FROM blk")
 def definition_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks(spark, sf_dir).select("path", "position", F.col("content").rlike(r"(?m)^[ \t]*(?:(?:[-*+]|\d+[.)])[ \t]*)?[A-Z]").alias("defined"))
-
+    return blocks(spark, sf_dir).select("path", "position", taxonomy.definition_position(F.col("content")).alias("defined"))

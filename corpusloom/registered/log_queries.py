@@ -157,10 +157,7 @@ def prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("L8_breakdown", f"WITH {EVENTS_SQL} SELECT caller, sum(tokens)::BIGINT AS tokens, row_number() OVER (ORDER BY sum(tokens) DESC, caller) AS place FROM ev GROUP BY caller")
 def breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    t = log(spark, sf_dir).groupBy("caller").agg(F.sum("tokens").alias("tokens"))  # one row per caller
-    return t.withColumn("place", F.row_number().over(Window.orderBy(F.col("tokens").desc(), "caller")).cast("bigint"))
+    return logs.breakdown(log(spark, sf_dir), "caller")
 
 
 @query(
@@ -181,16 +178,14 @@ def latest_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("A24_sizes", "SELECT lang, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY lang")
 def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    return logs.sizes(table(spark, sf_dir, "documents"), "lang", "text")
 
 
 @query("A21_budget_totals", "SELECT conv_id, sum(n)::BIGINT AS tokens, round(100 * sum(n) / 3000, 6) AS used, sum(n) > 3000 AS over, arg_max(turn, (n, -turn)) AS largest FROM (SELECT conv_id, turn, ceil(strlen(text) / 4)::BIGINT AS n FROM conversations) GROUP BY conv_id")
 def budget_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of a session: tokens, share of the budget, and the largest (the first on ties)."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.ceil(F.octet_length("text") / 4).alias("n"))
-    return c.groupBy("conv_id").agg(
-        F.sum("n").alias("tokens"), F.round(100 * F.sum("n") / 3000, 6).alias("used"), (F.sum("n") > 3000).alias("over"), F.max_by("turn", F.struct(F.col("n"), -F.col("turn"))).alias("largest")
-    )
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("place"), F.ceil(F.octet_length("text") / 4).alias("tokens"))
+    return logs.session_totals(c, 3000, "conv_id")
 
 
 PLAN_SQL = "st AS (SELECT o_custkey AS plan, o_orderkey AS step, ['completed', 'in_progress', 'pending'][1 + (o_orderkey % 3)::INT] AS status, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS blocker FROM orders)"
@@ -207,11 +202,9 @@ def plan_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("A20_progress", f"WITH {PLAN_SQL} SELECT plan, count(*) FILTER (status = 'completed')::BIGINT AS completed, count(*) FILTER (status = 'in_progress')::BIGINT AS in_progress, count(*) FILTER (status = 'pending')::BIGINT AS pending FROM st GROUP BY plan")
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan_steps(spark, sf_dir).groupBy("plan").agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("completed", "in_progress", "pending")])
+    return logs.progress(plan_steps(spark, sf_dir))
 
 
 @query("W9_blocked_steps", f"WITH {PLAN_SQL} SELECT a.plan, a.step FROM st a JOIN st b ON a.plan = b.plan AND a.blocker = b.step WHERE a.status <> 'completed' AND b.status <> 'completed'")
 def blocked_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = plan_steps(spark, sf_dir)
-    open_ = s.where("status <> 'completed'").select("plan", F.col("step").alias("blocker"))
-    return s.where("status <> 'completed' and blocker is not null").join(open_, ["plan", "blocker"], "left_semi").select("plan", "step")
+    return logs.blocked_steps(plan_steps(spark, sf_dir))

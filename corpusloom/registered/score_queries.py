@@ -285,9 +285,7 @@ def distinct_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("W8_flatten", f"WITH {BM25_SQL} SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, list_position(['objects', 'specs', 'system'], corpus), rank) AS place FROM rk WHERE rank <= 10")
 def flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lists of all corpora as one, by score; ties in the order of the lists."""
-    at = F.when(F.col("corpus") == "objects", 0).when(F.col("corpus") == "specs", 1).otherwise(2)
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), at, "rank"))
-    return hits(spark, sf_dir, 10).select("query", "doc", place.cast("bigint").alias("place"))
+    return fuse.flatten(hits(spark, sf_dir, 10))
 
 
 @query("L10_effective_budget", "SELECT o_orderkey, greatest(t, ceil(t * 4.0::DOUBLE * (1 + d)))::BIGINT AS budget FROM (SELECT o_orderkey, o_orderkey % 700 AS t, ((o_orderkey % 9) - 8) / 8 AS d FROM orders)")

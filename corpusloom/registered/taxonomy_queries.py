@@ -31,9 +31,9 @@ def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(F.col("path").alias("chunk"), F.col("position").alias("block"), kind.alias("type"), F.when(k == 0, F.col("content")).when(k == 1, code).when(k == 2, items).otherwise(rows).alias("content"))
 
 
-def _first_sql(found: str, where: str = "true") -> str:
+def _first_sql(found: str, where: str = "true", place: bool = False) -> str:
     """Of each block's finds (list column f) the first of each spelling."""
-    return f"""SELECT chunk, block, canonical FROM (SELECT chunk, block, canonical, row_number() OVER (PARTITION BY chunk, block, lower(canonical) ORDER BY place) AS n
+    return f"""SELECT chunk, block, canonical{', place' if place else ''} FROM (SELECT chunk, block, canonical, place, row_number() OVER (PARTITION BY chunk, block, lower(canonical) ORDER BY place) AS n
       FROM (SELECT chunk, block, trim(unnest(f)) AS canonical, generate_subscripts(f, 1) AS place FROM ({found})) WHERE canonical <> '' AND {where}) WHERE n = 1"""
 
 
@@ -65,6 +65,7 @@ def bold_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LIST = f"SELECT chunk, block, regexp_extract_all(content, '{X.LIST_HEADER}', 1) AS f FROM mk"
 _VERBS = "|".join(words.SENTENCE_VERBS)
+_SHORT_ITEM = rf"strlen(canonical) <= 60 AND NOT (strlen(canonical) > 30 AND regexp_matches(canonical, '(?i)\b(?:{_VERBS})\b'))"
 
 
 @query("X5_list_headers", f"WITH {MARK_SQL} " + _first_sql(_LIST, rf"strlen(canonical) <= 60 AND NOT (strlen(canonical) > 30 AND regexp_matches(canonical, '(?i)\b(?:{_VERBS})\b'))"))
@@ -80,6 +81,15 @@ def table_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _three(X.table_headers(marked(spark, sf_dir)))
 
 
+#: Candidates of all five kinds, by kind; and the ranks of their sources.
+_KINDS = (("code_identifier", _CODE, "strlen(canonical) >= 3"), ("bold_term", _BOLD, "strlen(canonical) <= 60"), ("structured_position", _LIST, _SHORT_ITEM),
+          ("structured_position", _TABLE, f"strlen(canonical) <= 60 AND NOT list_contains({sql_list(words.GENERIC_HEADERS)}, lower(canonical))"))
+STRUCTURAL_SQL = MARK_SQL + ", st AS (SELECT chunk, block, trim(content) AS canonical, 1 AS place, 0 AS kind, 'heading' AS source FROM mk WHERE type = 'heading' AND trim(content) <> ''" + "".join(
+    f" UNION ALL SELECT chunk, block, canonical, place, {i}, '{name}' FROM ({_first_sql(found, where, place=True)})" for i, (name, found, where) in enumerate(_KINDS, 1)
+) + ")"
+RANK_SQL = "CASE source " + " ".join(f"WHEN '{name}' THEN {rank}" for name, rank in words.SOURCE_RANKS.items()) + " ELSE 7 END"
+
+
 #: Abbreviations made of the first three words of a line, in either order.
 ABBR_SQL = BLOCKS_SQL + r""", ws AS (SELECT path AS chunk, position AS block, list_filter(regexp_extract_all(content, '[A-Za-z][a-z]+'), lambda w: strlen(w) > 1)[1:3] AS w FROM blk),
     ab AS (SELECT chunk, block, upper(left(w[1], 1) || left(w[2], 1) || left(w[3], 1)) AS s, upper(left(w[1], 1)) || substr(w[1], 2) || ' ' || w[2] || ' ' || w[3] AS l FROM ws WHERE len(w) = 3)"""
@@ -216,13 +226,32 @@ def heading_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
          AND NOT EXISTS (SELECT 1 FROM b WHERE (b.key = x.key AND broader = y.key) OR (b.key = y.key AND broader = x.key))""",
 )
 def cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, links, broader = linked_terms(spark, sf_dir)
+    return X.cross_references(links, t, broader)
+
+
+def linked_terms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nations stand for linked sources, suppliers for their terms."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey")
     k = lambda c: F.concat(F.lit("k"), c.cast("string"))
     t = s.select((F.col("s_suppkey") % 40).alias("source"), k(F.col("s_suppkey")).alias("key"))
     links = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("src"), (F.col("n_regionkey") + 5).cast("bigint").alias("dst"))
     broader = s.where("s_suppkey % 3 = 0").select(k(F.col("s_suppkey")).alias("key"), k(F.floor(F.col("s_suppkey") / 2)).alias("broader"))
-    return X.cross_references(links, t, broader)
+    return t, links, broader
+
+
+@query(
+    "J16_related_of",
+    """WITH t AS (SELECT s_suppkey % 40 AS src, 'k' || s_suppkey AS key FROM supplier), l AS (SELECT DISTINCT n_nationkey AS src, n_regionkey + 5 AS dst FROM nation),
+       b AS (SELECT 'k' || s_suppkey AS key, 'k' || (s_suppkey // 2) AS broader FROM supplier WHERE s_suppkey % 3 = 0),
+       p AS (SELECT x.key, y.key AS other FROM l JOIN t x ON x.src = l.src JOIN t y ON y.src = l.dst UNION SELECT y.key, x.key FROM l JOIN t x ON x.src = l.src JOIN t y ON y.src = l.dst)
+       SELECT key, list(other ORDER BY other) AS related FROM p WHERE key <> other
+         AND NOT EXISTS (SELECT 1 FROM b WHERE (b.key = p.key AND broader = p.other) OR (b.key = p.other AND broader = p.key)) GROUP BY key""",
+)
+def related_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Related terms of every key, from the factored form."""
+    t, links, broader = linked_terms(spark, sf_dir)
+    return X.related_of(t, *X.related_store(links, t), broader)
 
 
 #: Terms for expansion: of each heading word its key; narrower and related ones are the next keys.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, text, words
 from ..functions.stem import AFTER_1A, SPECIAL, STEP2, STEP3, STEP4
+from ..operators import packages
 from ..registry import query
 from ..sources.adapters import BLOCKS_SQL, CHUNKS_SQL, SOURCES_SQL, blocks, chunks, sources, table
 
@@ -399,12 +400,9 @@ def normalize_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def installable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search results of a registry (here: a nation): with a release first, then with a tag, then the others."""
-    from pyspark.sql import Window
-
-    released, tagged = F.col("s_suppkey") % 3 == 0, F.col("s_suppkey") % 3 == 1
-    rows = table(spark, sf_dir, "supplier").withColumn("priority", F.when(released, 0).when(tagged, 1).otherwise(2).cast("bigint"))
-    place = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("priority", "s_suppkey")).cast("bigint")
-    return rows.select("s_suppkey", "priority", place.alias("place"))
+    k = F.col("s_suppkey") % 3
+    found = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", (k == 0).alias("released"), (k == 1).alias("tagged"))
+    return packages.installable(found, "s_nationkey", "s_suppkey").drop("s_nationkey")
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,28 @@ def chunk_content(chunks: DataFrame, id_: str) -> DataFrame:
     return chunks.where((F.col("type") == kind) & (F.col("id") == id_)).select("id", "content")
 
 
+def id_folder(id_: Column, digits: int = 2) -> Column:
+    """The folder of an id: the first hexadecimal digits of its hash."""
+    return F.concat(F.lit("b"), F.substring(F.sha2(id_.cast("binary"), 256), 1, digits))
+
+
+def write_by_id(chunks: DataFrame, path: str, digits: int = 2) -> None:
+    """chunks (id and others) as Parquet for ``read_by_id``: 16 ** digits folders by a hash of the id, files sorted by id, with bloom filters.
+
+    Equal texts share an id; adaptive execution splits a folder that many rows fall into, so it may have several files. Null ids go.
+    """
+    rows = chunks.where("id is not null").withColumn("folder", id_folder(F.col("id"), digits)).hint("rebalance", F.col("folder"))
+    rows = rows.sortWithinPartitions("folder", "id")
+    rows.write.option("parquet.bloom.filter.enabled#id", "true").mode("overwrite").partitionBy("folder").parquet(path)
+
+
+def read_by_id(spark: SparkSession, path: str, ids: list[str], digits: int = 2) -> DataFrame:
+    """The chunks with these ids (some thousands at most): only their folders are listed to the scan. Ids that don't exist give nothing."""
+    wanted = sorted(set(ids))
+    folders = sorted({"b" + hashlib.sha256(i.encode()).hexdigest()[:digits] for i in wanted})
+    return spark.read.parquet(path).where(F.col("folder").isin(folders) & F.col("id").isin(wanted)).drop("folder")
+
+
 def strip_comment(content: Column) -> Column:
     """What follows the first comment's end."""
     at = F.locate("-->", content)
