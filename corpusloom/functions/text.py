@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from . import words
 from .stem import index_term
@@ -49,6 +49,20 @@ def tokens(text: Column) -> Column:
     return _index_terms(F.filter(raw_tokens(text), lambda w: ~is_stopword(F.lower(w))))
 
 
+@F.arrow_udf(ArrayType(StructType().add("term", StringType()).add("tf", LongType())))
+def term_counts(terms: pa.Array) -> pa.Array:
+    """Of lists of terms each distinct one with its number; a list of null terms or a null one gives none."""
+    sizes = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False)
+    coded = terms.flatten().dictionary_encode()
+    known = coded.indices.is_valid().to_numpy(zero_copy_only=False)
+    width = max(len(coded.dictionary), 1)
+    at = np.repeat(np.arange(len(sizes)), sizes)[known] * width + coded.indices.drop_null().to_numpy(zero_copy_only=False)
+    each, counts = np.unique(at, return_counts=True)
+    offsets = np.searchsorted(each, np.arange(len(sizes) + 1) * width)
+    pairs = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(each % width)).cast(pa.string()), pa.array(counts, pa.int64())], ["term", "tf"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)
+
+
 def has_mixed_case(word: Column) -> Column:
     return F.substring(word, 2, 1 << 30).rlike("[A-Z]")
 

@@ -20,27 +20,32 @@ def assign(blocks: DataFrame, options: ChunkOptions = ChunkOptions()) -> DataFra
     chunk holds at least target * flex. Each file's blocks pass in order through one running state; a window
     can't say this, as the state starts anew where the data decide.
     """
+    return _assigned(blocks, options).select("path", "position", "k")
+
+
+def _assigned(blocks: DataFrame, options: ChunkOptions) -> DataFrame:
+    """path, position, type, tokens and k."""
     floor = math.floor(options.target * options.flex)
-    rows = blocks.select("path", F.col("position").cast("bigint").alias("position"), (F.col("type") == "heading").alias("head"), F.col("tokens").cast("bigint").alias("tokens"))
+    rows = blocks.select("path", F.col("position").cast("bigint").alias("position"), "type", F.col("tokens").cast("bigint").alias("tokens"))
     rows = rows.repartition(F.col("path")).sortWithinPartitions("path", "position")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, k, size, open_ = None, 0, 0, False
         for b in batches:
             numbers = []
-            for path, head, tokens in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for path, kind, tokens in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if path != at:
                     at, k, size, open_ = path, 0, 0, False
                 if tokens > options.most:
                     k, size, open_ = k + 1, 0, False
                 else:
-                    if not open_ or head or (size + tokens > options.target and size >= floor):
+                    if not open_ or kind == "heading" or (size + tokens > options.target and size >= floor):
                         k, size = k + 1, 0
                     size, open_ = size + tokens, True
                 numbers.append(k)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(numbers, pa.int64())], names=["path", "position", "k"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(numbers, pa.int64())], names=["path", "position", "type", "tokens", "k"])
 
-    return rows.mapInArrow(run, "path string, position bigint, k bigint")
+    return rows.mapInArrow(run, "path string, position bigint, type string, tokens bigint, k bigint")
 
 
 def balance_tail(numbered: DataFrame, options: ChunkOptions = ChunkOptions()) -> DataFrame:
@@ -75,10 +80,13 @@ def chunk(blocks: DataFrame, options: ChunkOptions = ChunkOptions()) -> DataFram
     """blocks: path, position, type, content, tokens, heading (array). One row per chunk.
 
     id, type, source, heading, sequence, total, tokens, oversized, content and blocks.
+
+    Texts are shuffled once, by path: numbers are found without them and come back as a list for each path, by the block's place.
     """
     base = blocks.select("path", "position", "type", "content", "tokens", "heading")
-    numbered = base.join(assign(base, options), ["path", "position"]).drop("heading", "content")
-    final = base.join(balance_tail(numbered, options), ["path", "position"])
+    numbers = balance_tail(_assigned(base, options), options).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("position", "k"))).alias("numbers"))
+    placed = base.withColumn("place", F.row_number().over(Window.partitionBy("path").orderBy("position")))
+    final = placed.join(numbers, "path").withColumn("k", F.get("numbers.k", F.col("place") - 1)).drop("numbers", "place")
     block = F.struct("position", "type", "content", "tokens", "heading")
     c = final.groupBy("path", "k").agg(F.array_sort(F.collect_list(block)).alias("blocks"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("largest"))
     file = Window.partitionBy("path")

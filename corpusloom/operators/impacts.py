@@ -5,7 +5,7 @@ averages in it; a search joins neither. ``write`` lays the postings out as Parqu
 
 * ``blocks``: in folders by a hash of the term (``bucket``); within them sorted by term, so that row groups of other terms are passed over. A row is what a
   term has in a shard, which is up to ``2 ** SHARD_BITS`` documents of consecutive keys: the postings (keys and weights) and ``best``, the largest weight.
-* ``terms``: in the same folders, each term's document frequency and its largest weight (``top``).
+* ``terms``: in the same folders, each term's document frequency, its largest weight (``top``) and the ``factor`` (the idf) by which a search multiplies all its weights.
 * ``docs`` and ``corpora``: the names behind keys and numbers. Keys ascend with (corpus, doc), so ties go to the lesser key.
 
 A search reads the folders of its terms and shuffles the blocks of its terms to their shards, each once for all queries. A shard's task adds up the
@@ -15,7 +15,7 @@ Blocks that can't hold one of the k best aren't read on: the k-th score within t
 block whose best weight, with the largest weights of the query's other terms, stays below it holds no hit. No document among the k best has a posting in such a block, so the result is exact.
 Queries of many terms, whose other terms outweigh any block, skip this step.
 
-A frequent term is a row for each shard, so neither building nor searching puts one term in one task.
+A frequent term is a row for each shard, so neither building nor searching puts one term in one task. Building deals whole documents to shards, so postings aren't shuffled.
 """
 
 from __future__ import annotations
@@ -36,12 +36,16 @@ from .index import DIGITS, corpus_stats, field_averages, field_document_frequenc
 
 SCHEMAS = {
     "blocks": "c int, term string, shard bigint, best double, postings array<struct<key:bigint,w:double>>, bucket int",
-    "terms": "c int, term string, df bigint, top double, bucket int",
+    "terms": "c int, term string, df bigint, top double, factor double, bucket int",
     "docs": "corpus string, doc string, key bigint",
     "corpora": "corpus string, docs bigint, c int, buckets int",
 }
 #: Folders of an index, and bits of a key that count within a shard.
 BUCKETS, SHARD_BITS = 32, 12
+#: Shards, about, that a task builds at once.
+SHARDS_OF_A_TASK = 16
+#: Rows that a task returns at once.
+ROWS_AT_ONCE = 50_000
 #: Queries of up to so many terms look for blocks to skip.
 FEW_TERMS = 8
 #: Terms of all queries, with their query, that are broadcast; more are shuffled.
@@ -65,22 +69,29 @@ def weights(post: DataFrame, lengths: DataFrame, k1: float = DEFAULTS.k1, b: flo
     df = post.groupBy("corpus", "term").agg(F.count("*").alias("df")).join(F.broadcast(corpora), "corpus")
     stats = df.select("corpus", "term", "avgdl", idf(F.col("n"), F.col("df")).alias("idf"))
     rows = post.join(lengths, ["corpus", "doc"]).join(stats, ["corpus", "term"])
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
-    return rows.select("corpus", "doc", "term", (F.col("idf") * F.col("tf") * (k1 + 1) / norm).alias("w"))
+    return rows.select("corpus", "doc", "term", (F.col("idf") * _saturated(k1, b)).alias("w"))
 
 
-def field_weights(post: DataFrame, lengths: DataFrame, fields: dict[str, FieldWeight] | None = None, k1: float = DEFAULTS.k1) -> DataFrame:
-    """corpus, doc, term and w of BM25F. post: corpus, doc, field, term, tf; lengths: corpus, doc, field, dl."""
-    fields = fields or DEFAULTS.fields
+def _saturated(k1: float, b: float) -> Column:
+    return F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+
+
+def _field_part(fields: dict[str, FieldWeight]) -> Column:
+    """What a term's tf in a field adds to its wtf."""
     weight, slope = F.lit(0.0), F.lit(0.0)
     for name, f in fields.items():
         weight = F.when(F.col("field") == name, F.lit(f.weight)).otherwise(weight)
         slope = F.when(F.col("field") == name, F.lit(f.b)).otherwise(slope)
+    return weight * F.when(F.col("avgdl") > 0, F.col("tf") / (1 - slope + slope * F.col("dl") / F.col("avgdl"))).otherwise(F.col("tf"))
+
+
+def field_weights(post: DataFrame, lengths: DataFrame, fields: dict[str, FieldWeight] | None = None, k1: float = DEFAULTS.k1) -> DataFrame:
+    """corpus, doc, term and w of BM25F. post: corpus, doc, field, term, tf; lengths: corpus, doc, field, dl."""
     n = lengths.groupBy("corpus").agg(F.countDistinct("doc").alias("n"))
     df = field_document_frequency(post).join(F.broadcast(n), "corpus").select("corpus", "term", idf(F.col("n"), F.col("df")).alias("idf"))
     tf = post.join(lengths, ["corpus", "doc", "field"]).join(F.broadcast(field_averages(lengths)), ["corpus", "field"])
-    part = F.when(F.col("avgdl") > 0, F.col("tf") / (1 - slope + slope * F.col("dl") / F.col("avgdl"))).otherwise(F.col("tf"))
-    wtf = tf.select("corpus", "doc", "term", (weight * part).alias("w")).groupBy("corpus", "doc", "term").agg(F.round(F.sum("w"), 12).alias("wtf"))
+    part = _field_part(fields or DEFAULTS.fields)
+    wtf = tf.select("corpus", "doc", "term", part.alias("w")).groupBy("corpus", "doc", "term").agg(F.round(F.sum("w"), 12).alias("wtf"))
     return wtf.join(df, ["corpus", "term"]).select("corpus", "doc", "term", (F.col("idf") * F.col("wtf") * (k1 + 1) / (F.col("wtf") + k1)).alias("w"))
 
 
@@ -88,8 +99,8 @@ def bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def write(rows: DataFrame, path: str, buckets: int = BUCKETS) -> Impacts:
-    """rows: corpus, doc, term, w; each term of a document once. Overwrites path."""
+def _numbered(rows: DataFrame, path: str, buckets: int) -> DataFrame:
+    """rows: corpus, doc and others. With c, key and shard, dealt by shard; the names go to ``docs`` and ``corpora``."""
     spark = rows.sparkSession
     named = rows.select("corpus", "doc").distinct().repartitionByRange("corpus", "doc").sortWithinPartitions("corpus", "doc")
     named.withColumn("key", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{path}/docs")
@@ -99,18 +110,50 @@ def write(rows: DataFrame, path: str, buckets: int = BUCKETS) -> Impacts:
     numbered = numbered.withColumn("buckets", F.lit(buckets))
     numbered.coalesce(1).write.mode("overwrite").parquet(f"{path}/corpora")
     corpora = spark.read.parquet(f"{path}/corpora")
-    keyed = rows.join(docs, ["corpus", "doc"]).join(F.broadcast(corpora.select("corpus", "c")), "corpus").select("c", "term", "key", "w")
+    total = corpora.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
+    keyed = rows.join(docs, ["corpus", "doc"]).join(F.broadcast(corpora.select("corpus", "c")), "corpus").withColumn("shard", F.shiftright("key", SHARD_BITS))
+    return keyed.repartition(max(1, -(-total // (SHARDS_OF_A_TASK << SHARD_BITS))), "shard")
+
+
+def _store(rows: DataFrame, path: str, buckets: int, factor: Column) -> Impacts:
+    """rows: c, shard, key, term, w, dealt by shard: what is grouped by shard and others stays where it is. factor: of df and docs (those of the corpus)."""
+    spark = rows.sparkSession
     one = F.array_sort(F.collect_list(F.struct("key", "w")))
-    made = keyed.groupBy("c", "term", F.shiftright("key", SHARD_BITS).alias("shard")).agg(F.max("w").alias("best"), one.alias("postings"))
-    made = made.withColumn("bucket", bucket(F.col("term"), buckets))
-    place = ("bucket", "term", "c", "shard")
-    made.repartitionByRange(*place).sortWithinPartitions(*place).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+    made = rows.groupBy("c", "shard", "term").agg(F.max("w").alias("best"), one.alias("postings")).withColumn("bucket", bucket(F.col("term"), buckets))
+    columns = ["c", "term", "shard", "best", "postings", "bucket"]
+    made.select(columns).sortWithinPartitions("bucket", "term", "c", "shard").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
     blocks = spark.read.schema(SCHEMAS["blocks"]).parquet(f"{path}/blocks")
     terms = blocks.groupBy("bucket", "c", "term").agg(F.sum(F.size("postings")).alias("df"), F.max("best").alias("top"))
+    terms = terms.join(F.broadcast(spark.read.parquet(f"{path}/corpora").select("c", "docs")), "c").select("c", "term", "df", "top", factor.alias("factor"), "bucket")
     terms.repartitionByRange("bucket", "c", "term").sortWithinPartitions("bucket", "c", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
     return read(spark, path)
 
 
+def write(rows: DataFrame, path: str, buckets: int = BUCKETS) -> Impacts:
+    """rows: corpus, doc, term, w; each term of a document once. Overwrites path."""
+    keyed = _numbered(rows, path, buckets)
+    return _store(keyed.select("c", "shard", "key", "term", "w"), path, buckets, F.lit(1.0))
+
+
+def write_texts(docs: DataFrame, path: str, k1: float = DEFAULTS.k1, b: float = DEFAULTS.b, buckets: int = BUCKETS) -> Impacts:
+    """The index of BM25. docs: corpus, doc, dl, terms (term, tf), each document once.
+
+    Whole documents are dealt to their shards, and their postings never leave them; the idf, for which all shards are counted, is its terms' factor.
+    """
+    keyed = _numbered(docs, path, buckets).join(F.broadcast(corpus_stats(docs)), "corpus").select("c", "shard", "key", "dl", "avgdl", F.inline("terms"))
+    return _store(keyed.select("c", "shard", "key", "term", _saturated(k1, b).alias("w")), path, buckets, idf(F.col("docs"), F.col("df")))
+
+
+def write_fields(docs: DataFrame, path: str, fields: dict[str, FieldWeight] | None = None, k1: float = DEFAULTS.k1, buckets: int = BUCKETS) -> Impacts:
+    """The index of BM25F. docs: corpus, doc, fields (field, dl, terms: term, tf), each document once."""
+    averages = field_averages(docs.select("corpus", F.inline("fields")))
+    rows = _numbered(docs, path, buckets).select("corpus", "c", "shard", "key", F.inline("fields")).join(F.broadcast(averages), ["corpus", "field"])
+    rows = rows.select("c", "shard", "key", "field", "dl", "avgdl", F.inline("terms"))
+    wtf = rows.groupBy("c", "shard", "key", "term").agg(F.round(F.sum(_field_part(fields or DEFAULTS.fields)), 12).alias("wtf"))
+    w = F.col("wtf") * (k1 + 1) / (F.col("wtf") + k1)
+    return _store(wtf.select("c", "shard", "key", "term", w.alias("w")), path, buckets, idf(F.col("docs"), F.col("df")))
+
+
 def read(spark: SparkSession, path: str) -> Impacts:
     tables = [spark.read.schema(schema).parquet(f"{path}/{t}") for t, schema in SCHEMAS.items()]
     first = tables[-1].select("buckets").first()
@@ -150,21 +193,27 @@ def _scored(blocks: DataFrame) -> DataFrame:
     return rows.groupBy("query", "c", F.col("p.key").alias("key")).agg(F.sum(F.col("weight") * F.col("p.w")).alias("score"))
 
 
+def weighted(index: Impacts, w: _Wanted) -> DataFrame:
+    """query, c, term, weight (with the term's factor) and top of the terms that the index has."""
+    rows = index.terms.where(F.col("bucket").isin(w.buckets)).join(w.held(w.rows), "term")
+    return rows.select("query", "c", "term", (F.col("weight") * F.col("factor")).alias("weight"), "top")
+
+
 def all_blocks(index: Impacts, w: _Wanted) -> DataFrame:
     """The blocks of the terms of each query: query, c, shard, term, weight, best and postings."""
-    return w.blocks(index).join(w.held(w.rows), "term").select("query", "c", "shard", "term", "weight", "best", "postings")
+    return w.blocks(index).join(w.held(weighted(index, w)), ["c", "term"]).select("query", "c", "shard", "term", "weight", "best", "postings")
 
 
 def bounds(index: Impacts, w: _Wanted, n: int) -> DataFrame:
     """query, c, term, weight and enough: a block whose best is less holds none of the query's n best."""
-    tops = index.terms.where(F.col("bucket").isin(w.buckets)).join(w.held(w.rows), "term").select("query", "c", "term", "weight", "top")
+    tops = weighted(index, w)
     per = Window.partitionBy("query", "c")
     tops = tops.withColumn("all", F.sum(F.col("weight") * F.col("top")).over(per)).withColumn("terms", F.count("*").over(per))
     first = w.blocks(index).join(w.held(tops.where(F.col("terms") <= FEW_TERMS)), ["c", "term"]).where(F.col("best") == F.col("top"))
     place = F.row_number().over(per.orderBy(F.col("score").desc()))
     least = _scored(first).withColumn("place", place).where(F.col("place") == n).select("query", "c", F.col("score").alias("least"))
     # anything is enough where no n documents are known
-    enough = F.coalesce((F.col("least") - F.col("all")) / F.col("weight") + F.col("top") - SLACK, F.lit(float("-inf")))
+    enough = F.coalesce((F.col("least") - F.col("all") - SLACK) / F.col("weight") + F.col("top"), F.lit(float("-inf")))
     return tops.join(w.held(least), ["query", "c"], "left").select("query", "c", "term", "weight", enough.alias("enough"))
 
 
@@ -177,18 +226,22 @@ def matched(index: Impacts, w: _Wanted, n: int) -> DataFrame:
     return own.join(w.held(least), ["c", "term"]).where(F.col("best") >= F.col("enough")).select(*shape)
 
 
-def _best_of_shards(blocks: DataFrame, wanted: list[tuple], n: int, query_type: str) -> DataFrame:
-    """query, c, key and score: in each shard the n best of each query, and what ties with the last. wanted: query, term, weight."""
+def _best_of_shards(blocks: DataFrame, wanted: DataFrame, n: int | None) -> DataFrame:
+    """query, c, key and score: in each shard the n best of each query, and what ties with the last; without n all.
+
+    wanted: query, c, term, weight; as few rows as go with a task.
+    """
     of: dict = {}
-    for query, term, weight in wanted:
-        of.setdefault(query, []).append((term, weight))
+    for query, c, term, weight in wanted.select("query", "c", "term", "weight").collect():
+        of.setdefault(c, {}).setdefault(query, []).append((term, weight))
+    query_type = wanted.schema["query"].dataType.simpleString()
     shared = blocks.sparkSession.sparkContext.broadcast(of)
     dealt = blocks.repartition("c", "shard").sortWithinPartitions("c", "shard")
     names = ("query", "c", "key", "score")
 
     def best(c: int, shard: int, postings: dict[str, tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple]:
         size = 1 << SHARD_BITS
-        for query, terms in shared.value.items():
+        for query, terms in shared.value.get(c, {}).items():
             there = [(postings[t], x) for t, x in terms if t in postings]
             if not there:
                 continue
@@ -196,7 +249,7 @@ def _best_of_shards(blocks: DataFrame, wanted: list[tuple], n: int, query_type:
             for (at, w), x in there:
                 score[at] += x * w
             hit = np.flatnonzero(score)
-            if len(hit) > n:
+            if n is not None and len(hit) > n:
                 s = score[hit]
                 hit = hit[s >= np.partition(s, len(s) - n)[len(s) - n] - SLACK]
             yield [query] * len(hit), np.full(len(hit), c), (shard << SHARD_BITS) + hit, score[hit]
@@ -204,21 +257,31 @@ def _best_of_shards(blocks: DataFrame, wanted: list[tuple], n: int, query_type:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, postings = None, {}
 
-        def result(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+        def batch(found: list[tuple]) -> pa.RecordBatch:
+            columns = [[q for f in found for q in f[0]], *(np.concatenate([f[i] for f in found]) for i in (1, 2, 3))]
+            return pa.RecordBatch.from_pydict(dict(zip(names, columns, strict=True)), schema=types)
+
+        def result(each: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+            found, rows = [], 0
+            for f in each:
+                found.append(f)
+                rows += len(f[0])
+                if rows >= ROWS_AT_ONCE:
+                    yield batch(found)
+                    found, rows = [], 0
             if found:
-                columns = [[q for f in found for q in f[0]], *(np.concatenate([f[i] for f in found]) for i in (1, 2, 3))]
-                yield pa.RecordBatch.from_pydict(dict(zip(names, columns, strict=True)), schema=types)
+                yield batch(found)
 
         for b in batches:
             for c, shard, term, l in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
                 if (c, shard) != here:
                     if here is not None:
-                        yield from result(list(best(*here, postings)))
+                        yield from result(best(*here, postings))
                     here, postings = (c, shard), {}
                 keys, ws = l.values.flatten()
                 postings[term] = keys.to_numpy() & ((1 << SHARD_BITS) - 1), ws.to_numpy()
         if here is not None:
-            yield from result(list(best(*here, postings)))
+            yield from result(best(*here, postings))
 
     schema = f"query {query_type}, c int, key bigint, score double"
     types = to_arrow_schema(StructType.fromDDL(schema))
@@ -227,7 +290,13 @@ def _best_of_shards(blocks: DataFrame, wanted: list[tuple], n: int, query_type:
 
 def scores(index: Impacts, wanted: DataFrame) -> DataFrame:
     """query, corpus, key and score of all documents that score above 0. wanted: query, term, weight (above 0; of a term that comes twice, the sum)."""
-    found = _scored(all_blocks(index, _wanted(index, wanted))).withColumn("score", F.round("score", DIGITS)).where("score > 0")
+    w = _wanted(index, wanted)
+    if w.local is not None:
+        own = w.blocks(index).join(w.held(w.rows.select("term").distinct()), "term").select("c", "shard", "term", "postings")
+        found = _best_of_shards(own, weighted(index, w), None)
+    else:
+        found = _scored(all_blocks(index, w))
+    found = found.withColumn("score", F.round("score", DIGITS)).where("score > 0")
     return found.join(F.broadcast(index.corpora.select("c", "corpus")), "c").select("query", "corpus", "key", "score")
 
 
@@ -235,7 +304,7 @@ def search(index: Impacts, wanted: DataFrame, n: int) -> DataFrame:
     """query, corpus, doc, score and rank of the n best of each query and corpus, by (score desc, doc)."""
     w = _wanted(index, wanted)
     if w.local is not None:
-        found = _best_of_shards(matched(index, w, n), w.local, n, w.rows.schema["query"].dataType.simpleString())
+        found = _best_of_shards(matched(index, w, n), weighted(index, w), n)
     else:
         limits = bounds(index, w, n)
         found = _scored(w.blocks(index).join(limits, ["c", "term"]).where(F.col("best") >= F.col("enough")))

@@ -10,13 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, FieldWeight
+from ..functions.text import term_counts
 
 DIGITS = 9
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """docs: corpus, doc, tokens (array). One row per term of a document, with tf."""
-    return docs.select("corpus", "doc", F.explode("tokens").alias("term")).groupBy("corpus", "doc", "term").agg(F.count("*").alias("tf"))
+    """docs: corpus, doc, tokens (array), each document once. One row per term of a document, with tf; terms are counted within the row, so nothing is shuffled."""
+    return docs.select("corpus", "doc", F.inline(term_counts("tokens")))
 
 
 def doc_lengths(docs: DataFrame) -> DataFrame:
@@ -67,8 +68,8 @@ def top(scored: DataFrame, n: int, by: tuple[str, ...] = ("query", "corpus")) ->
 
 
 def field_postings(docs: DataFrame) -> DataFrame:
-    """docs: corpus, doc, field, tokens. tf of each term in each field."""
-    return docs.select("corpus", "doc", "field", F.explode("tokens").alias("term")).groupBy("corpus", "doc", "field", "term").agg(F.count("*").alias("tf"))
+    """docs: corpus, doc, field, tokens, each field once. tf of each term in each field."""
+    return docs.select("corpus", "doc", "field", F.inline(term_counts("tokens")))
 
 
 def field_lengths(docs: DataFrame) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
 from ..operators import fuse, impacts, index
 from ..registry import query
-from ..session import once, stored
+from ..session import cut, once, stored
 from ..sources.adapters import table
 from .chunk_queries import BUILT_SQL, built
 from .text_queries import KEPT_SQL, stems_sql
@@ -31,14 +31,18 @@ BM25_SQL = DOCS_SQL + f""", {QT_SQL}, ts AS (SELECT corpus, term, {IDF_SQL} AS i
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.concat("source", F.lit("#"), F.col("sequence").cast("string"))
-    c = built(spark, sf_dir).select(paths.output_dir(F.col("type")).alias("corpus"), key.alias("doc"), text.tokens(F.col("content")).alias("tokens"))
-    return once(spark, ("docs", sf_dir), lambda: c)
+    counted = built(spark, sf_dir).select(paths.output_dir(F.col("type")).alias("corpus"), key.alias("doc"), text.term_counts(text.tokens(F.col("content"))).alias("terms"))
+    return once(spark, ("docs", sf_dir), lambda: counted.select("corpus", "doc", _length("terms").alias("dl"), "terms"))
+
+
+def _length(terms: str) -> Column:
+    return F.aggregate(f"{terms}.tf", F.lit(0).cast("bigint"), lambda n, tf: n + tf)
 
 
 def index_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Postings and lengths, made once; searches read them."""
+    """Postings and lengths: views of the stored documents, whose terms are counted."""
     d = docs(spark, sf_dir)
-    return once(spark, ("postings", sf_dir), lambda: index.postings(d)), once(spark, ("lengths", sf_dir), lambda: index.doc_lengths(d))
+    return d.select("corpus", "doc", F.inline("terms")), d.select("corpus", "doc", "dl")
 
 
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +52,7 @@ def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def term_index(spark: SparkSession, sf_dir: str) -> impacts.Impacts:
     """The stored index that searches read."""
-    folder = stored(spark, "index", f"{sf_dir}/documents.parquet", lambda to: impacts.write(impacts.weights(*index_of(spark, sf_dir)), to))
+    folder = stored(spark, "index", f"{sf_dir}/documents.parquet", lambda to: impacts.write_texts(docs(spark, sf_dir), to))
     return impacts.read(spark, folder)
 
 
@@ -63,7 +67,7 @@ def hits(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
 
 @query("A1_postings", f"WITH {DOCS_SQL} SELECT * FROM post")
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.postings(docs(spark, sf_dir))
+    return index_of(spark, sf_dir)[0]
 
 
 @query("A2_term_stats", f"WITH {DOCS_SQL} SELECT corpus, term, df, round({IDF_SQL}, 9) AS idf FROM (SELECT corpus, term, count(*)::BIGINT AS df FROM post GROUP BY ALL) JOIN cs USING (corpus)")
@@ -100,30 +104,24 @@ FIELDS_SQL = BUILT_SQL + ", fd AS (" + " UNION ALL ".join(
 def field_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = built(spark, sf_dir)
     key = F.concat("source", F.lit("#"), F.col("sequence").cast("string"))
-    parts = F.array(*[
-        F.struct(F.lit(f).alias("field"), text.tokens(t).alias("tokens"))
-        for f, t in (("heading", F.col("heading")), ("body", F.col("content")), ("terms", F.lower("heading")), ("code", F.lit("")))
-    ])
-    rows = c.select(paths.output_dir(F.col("type")).alias("corpus"), key.alias("doc"), F.explode(parts).alias("p")).select("corpus", "doc", "p.*")
-    return once(spark, ("field docs", sf_dir), lambda: rows)
-
-
-def field_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    d = field_docs(spark, sf_dir)
-    return once(spark, ("field postings", sf_dir), lambda: index.field_postings(d)), once(spark, ("field lengths", sf_dir), lambda: index.field_lengths(d))
+    own = {"heading": F.col("heading"), "body": F.col("content"), "terms": F.lower("heading"), "code": F.lit("")}
+    rows = c.select(paths.output_dir(F.col("type")).alias("corpus"), key.alias("doc"), *[text.term_counts(text.tokens(t)).alias(f) for f, t in own.items()])
+    counts = [F.struct(F.lit(f).alias("field"), _length(f).alias("dl"), F.col(f).alias("terms")) for f in own]
+    return once(spark, ("field docs", sf_dir), lambda: rows.select("corpus", "doc", F.array(*counts).alias("fields")))
 
 
 @query("A3_field_stats", f"WITH {FIELDS_SQL} SELECT corpus, term, df, round({IDF_SQL}, 9) AS idf FROM fdf JOIN fn USING (corpus)")
 def field_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    post, lengths = field_index(spark, sf_dir)
-    n = lengths.groupBy("corpus").agg(F.countDistinct("doc").alias("n"))
-    df = index.field_document_frequency(post).join(n, "corpus")
+    d = field_docs(spark, sf_dir)
+    n = d.groupBy("corpus").agg(F.count("*").alias("n"))
+    terms = F.array_distinct(F.flatten("fields.terms.term"))
+    df = d.select("corpus", F.explode(terms).alias("term")).groupBy("corpus", "term").agg(F.count("*").alias("df")).join(F.broadcast(n), "corpus")
     return df.select("corpus", "term", "df", F.round(index.idf(F.col("n"), F.col("df")), 9).alias("idf"))
 
 
 @query("A3_field_averages", f"WITH {FIELDS_SQL} SELECT corpus, field, round(avgdl, 9) AS avgdl FROM fa")
 def field_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = index.field_averages(index.field_lengths(field_docs(spark, sf_dir)))
+    d = index.field_averages(field_docs(spark, sf_dir).select("corpus", F.inline("fields")))
     return d.select("corpus", "field", F.round("avgdl", 9).alias("avgdl"))
 
 
@@ -143,7 +141,7 @@ def weighted_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def field_term_index(spark: SparkSession, sf_dir: str) -> impacts.Impacts:
-    make = lambda to: impacts.write(impacts.field_weights(*field_index(spark, sf_dir)), to)
+    make = lambda to: impacts.write_fields(field_docs(spark, sf_dir), to)
     return impacts.read(spark, stored(spark, "field index", f"{sf_dir}/documents.parquet", make))
 
 
@@ -184,7 +182,7 @@ MANIFEST_SQL = """, mf AS (SELECT source || '#' || sequence AS doc, source, type
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Manifest rows, and references: each source refers to the next one of its folder."""
+    """Manifest rows, without texts, and references: each source refers to the next one of its folder."""
     return once(spark, ("manifest", sf_dir), lambda: _manifest(spark, sf_dir)), once(spark, ("references", sf_dir), lambda: _references(spark, sf_dir).where("dst is not null"))
 
 
@@ -196,7 +194,7 @@ def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.concat("source", F.lit("#"), F.col("sequence").cast("string"))
     order = Window.partitionBy("source").orderBy("sequence")
-    c = built(spark, sf_dir).select("source", "type", "content", "tokens", "sequence", key.alias("doc"))
+    c = built(spark, sf_dir).select("source", "type", "tokens", "sequence", key.alias("doc"))
     mf = c.withColumn("previous", F.lag("doc").over(order)).withColumn("next", F.lead("doc").over(order))
     refs = _references(spark, sf_dir)
     spec = mf.where("type = 'spec'").select(F.col("doc").alias("spec"), F.col("source").alias("src"), "sequence").join(refs, "src")
@@ -220,7 +218,11 @@ RERANK_SQL = RRF_SQL + MANIFEST_SQL + """, win AS (SELECT query, doc FROM fu WHE
 
 
 def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuse.graph_rerank(fused(spark, sf_dir), *manifest(spark, sf_dir), top=10)
+    found = cut(fused(spark, sf_dir))
+    m, refs = manifest(spark, sf_dir)
+    # a query's hits are 90 of each corpus at most
+    own = m.join(F.broadcast(found.select("doc").distinct()), "doc", "left_semi")
+    return fuse.graph_rerank(found, own, refs, top=10)
 
 
 @query("R8_graph_rerank", f"WITH {RERANK_SQL} SELECT query, doc, score, rank FROM re")
@@ -272,6 +274,8 @@ def budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 def assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, _ = manifest(spark, sf_dir)
     rows = reranked(spark, sf_dir).where("rank <= 10").join(m, "doc")
+    # the texts of ten rows of each query
+    rows = built(spark, sf_dir).select("source", "sequence", "content").join(F.broadcast(rows), ["source", "sequence"])
     rows = rows.withColumn("bridge", F.when(F.col("sequence") % 2 == 1, F.concat(F.lit("after "), "doc")))
     out = fuse.assemble(rows.select("query", "source", "sequence", "type", "content", "bridge"))
     return out.select("query", F.sha2(F.col("document").cast("binary"), 256).alias("digest"), "chunks")

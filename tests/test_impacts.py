@@ -1,12 +1,14 @@
 """The stored index against scores computed plainly, and what a search reads of it."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import session
-from corpusloom.operators import impacts, index
+from corpusloom.functions import text
+from corpusloom.operators import chunking, impacts, index
 
 
 @pytest.fixture(scope="module")
@@ -110,3 +112,40 @@ def test_tables_are_stored_anew_when_their_sources_change(spark, tmp_path):
     assert get() == get() == [0, 2, 4] and len(calls) == 1
     spark.range(5).write.mode("overwrite").parquet(source)
     assert get() == [0, 2, 4, 6, 8] and len(calls) == 2
+
+
+def test_documents_are_indexed_where_their_shards_are(spark, tmp_path, monkeypatch):
+    """Whole documents are shuffled, postings aren't; both forms of the index give the scores computed plainly."""
+    monkeypatch.setattr(impacts, "SHARD_BITS", 3)
+    monkeypatch.setattr(impacts, "SHARDS_OF_A_TASK", 2)
+    monkeypatch.setattr(impacts, "ROWS_AT_ONCE", 5)
+    rng = random.Random(7)
+    parts = [(["objects", "specs"][i % 4 == 0], f"d{i}", f, [f"w{rng.randrange(15)}" for _ in range(rng.randrange(0, 9))]) for i in range(120) for f in ("heading", "body")]
+    docs = session.cut(spark.createDataFrame(parts, "corpus string, doc string, field string, tokens array<string>"))
+    q = spark.createDataFrame([(q, f"w{t}", w) for q in range(8) for t, w in ((q, 1.0), (q + 1, 0.7), (q + 5, 0.3))], "query long, term string, weight double")
+    counted = docs.select("corpus", "doc", "field", F.size("tokens").cast("bigint").alias("dl"), text.term_counts("tokens").alias("terms"))
+    fields = counted.groupBy("corpus", "doc").agg(F.collect_list(F.struct("field", "dl", "terms")).alias("fields"))
+    made = impacts.write_fields(fields, str(tmp_path / "fields"), buckets=4)
+    assert rows(impacts.search(made, q, 4)) == rows(index.top(index.bm25f(q, index.field_postings(docs), index.field_lengths(docs)), 4))
+    body = docs.where("field = 'body'")
+    made = impacts.write_texts(counted.where("field = 'body'"), str(tmp_path / "texts"), buckets=4)
+    plain = index.bm25(q.drop("weight"), index.postings(body), index.doc_lengths(body))
+    same = q.withColumn("weight", F.lit(1.0))
+    assert rows(impacts.search(made, same, 3)) == rows(index.top(plain, 3))
+    best = lambda df: sorted(map(tuple, df.groupBy("query", "corpus").agg(F.count("*"), F.max("score")).collect()))
+    assert best(impacts.scores(made, same)) == best(plain)
+    assert "Exchange" not in index.postings(body)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counts_of_terms(spark):
+    lists = [(1, ["b", "a", "b"]), (2, []), (3, None), (4, ["a"]), (5, [None, "c", "c"])]
+    got = spark.createDataFrame(lists, "id long, tokens array<string>").coalesce(1).select("id", F.inline(text.term_counts("tokens"))).collect()
+    assert sorted(map(tuple, got)) == [(1, "a", 1), (1, "b", 2), (4, "a", 1), (5, "c", 2)]
+
+
+def test_texts_of_chunks_are_shuffled_by_path_alone(spark):
+    b = spark.range(9).selectExpr("'p' as path", "id as position", "'paragraph' as type", "'x' as content", "100L as tokens", "array('h') as heading")
+    made = chunking.chunk(session.cut(b))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\(path#\d+, (position|k)#", plan)
+    assert [r.sequence for r in made.orderBy("sequence").collect()] == [1, 2, 3]
