@@ -160,17 +160,31 @@ def heading_hierarchy(chunks: DataFrame, terms: DataFrame) -> DataFrame:
     return up.join(down, "key", "full_outer")
 
 
+#: Keys of a class that go together.
+KEYS_AT_ONCE = 512
+
+
+def _key_blocks(classes: DataFrame) -> DataFrame:
+    """classes: class, key. class, block and keys: up to some KEYS_AT_ONCE keys of a class, dealt by their hash."""
+    sizes = classes.groupBy("class").agg(F.ceil(F.count("*") / KEYS_AT_ONCE).alias("blocks"))
+    dealt = classes.join(sizes, "class").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    return dealt.groupBy("class", "block").agg(F.collect_list("key").alias("keys"))
+
+
 def cross_references(links: DataFrame, terms: DataFrame, broader: DataFrame) -> DataFrame:
     """links: src, dst. terms: key, source. Related pairs (a < b): a heading term of each end, unless one is the other's broader.
 
     A link gives as many pairs as its ends' terms multiply to, by definition; two links with the same terms at their ends give them once:
-    sources are put in classes of equal sets of terms, and links between classes are made distinct, before terms are paired.
+    sources are put in classes of equal sets of terms, and links between classes are made distinct, before terms are paired. Terms of a class are
+    paired by blocks, which are dealt evenly, so that no task holds or pairs a whole class.
     """
-    own = terms.select("key", "source").distinct().groupBy("source").agg(F.array_sort(F.collect_list("key")).alias("keys"))
-    ends = links.select("src", "dst").distinct().join(own.select(F.col("source").alias("src"), F.col("keys").alias("xs")), "src").join(
-        own.select(F.col("source").alias("dst"), F.col("keys").alias("ys")), "dst"
-    )
-    pairs = ends.select("xs", "ys").distinct().select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y"))
+    classes, edges = related_store(links, terms)
+    ways = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    blocks = _key_blocks(classes)
+    left, right = (blocks.select(F.col("class").alias(c), F.col("block").alias(f"{c}_block"), F.col("keys").alias(k)) for c, k in (("a", "xs"), ("b", "ys")))
+    met = ways.join(left, "a").join(right, "b")
+    n = max(int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    pairs = met.repartition(n, "a", "a_block", "b", "b_block").select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y"))
     pairs = pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     known = broader.where("broader is not null").select(F.least("key", "broader").alias("a"), F.greatest("key", "broader").alias("b")).distinct()
     return pairs.join(known, ["a", "b"], "left_anti")
@@ -199,12 +213,20 @@ def related_of(keys: DataFrame, classes: DataFrame, edges: DataFrame, broader: D
     broader: key, broader. A term and its broader one aren't related.
     """
     ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    asked = keys.select("key").distinct().join(classes, "key").withColumnRenamed("class", "a")
-    met = asked.join(ways, "a").select("key", F.col("b").alias("class")).distinct()
-    pairs = met.join(classes.withColumnRenamed("key", "other"), "class").select("key", "other").where("key <> other").distinct()
+    # keys that are in the same classes are of one kind and have the same list, which is made once
+    sets = keys.select("key").distinct().join(classes, "key").groupBy("key").agg(F.sort_array(F.collect_set("class")).alias("classes"))
+    kinds = sets.select("key", F.sha2(F.array_join("classes", ",").cast("binary"), 256).alias("class"), "classes")
+    used = kinds.select("class", F.explode("classes").alias("a")).distinct().join(ways, "a").select("class", F.col("b").alias("_class")).distinct()
+    lists = used.join(classes.withColumnRenamed("class", "_class"), "_class").groupBy("class").agg(F.sort_array(F.collect_set("key")).alias("others"))
+    # it goes to each block of its keys, so that a large kind isn't one task's
+    blocks = _key_blocks(kinds.select("class", "key")).join(lists.select("class"), "class", "left_semi")
     known = broader.where("broader is not null").select("key", F.col("broader").alias("other"))
-    known = known.unionByName(known.select(F.col("other").alias("key"), F.col("key").alias("other"))).distinct()
-    return pairs.join(known, ["key", "other"], "left_anti").groupBy("key").agg(F.array_sort(F.collect_list("other")).alias("related"))
+    known = known.unionByName(known.select(F.col("other").alias("key"), F.col("key").alias("other"))).groupBy("key").agg(F.collect_set("other").alias("known"))
+    own = blocks.select("class", "block", F.explode("keys").alias("key")).join(known, "key", "left")
+    n = max(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    each = own.repartition(n, "class", "block").join(blocks.select("class", "block").join(lists, "class").repartition(n, "class", "block"), ["class", "block"])
+    related = F.array_except("others", F.concat(F.array("key"), F.coalesce("known", F.array().cast("array<string>"))))
+    return each.select("key", related.alias("related")).where(F.size("related") > 0)
 
 
 def expand(queries: DataFrame, terms: DataFrame, aliases: DataFrame, dictionary: DataFrame, cap: int = DEFAULTS.expansion_cap, tiers: dict[str, float] | None = None) -> DataFrame:

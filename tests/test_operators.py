@@ -116,3 +116,30 @@ def test_lookup_by_id_reads_few_files(spark, tmp_path):
     assert files.read_by_id(spark, path, []).count() == 0
     wanted = spark.createDataFrame([("obj:7",), ("obj:7",), (None,)], "id string")
     assert rows(catalog.lookup(c, wanted), "content") == [(-7,), (7,)]
+
+
+def test_large_classes_are_paired_by_blocks(spark, monkeypatch):
+    """No row holds a whole class's terms; terms of several classes and broader ones come out as in plain Python."""
+    one = spark.range(2000).selectExpr("'c' as class", "concat('k', id) as key")
+    sizes = [len(r["keys"]) for r in taxonomy._key_blocks(one).collect()]
+    assert sum(sizes) == 2000 and len(sizes) > 1 and max(sizes) <= 2 * taxonomy.KEYS_AT_ONCE
+    monkeypatch.setattr(taxonomy, "KEYS_AT_ONCE", 2)
+    own = {0: ["a", "b", "c", "d", "e"], 1: ["c", "f", "g"], 2: ["a", "h"], 3: ["z"]}
+    links, up = [(0, 1), (1, 0), (2, 2), (1, 2), (4, 0)], {("f", "a"), ("h", "a")}
+    pairs = {tuple(sorted((x, y))) for s, d in links for x in own.get(s, []) for y in own.get(d, []) if x != y} - {tuple(sorted(p)) for p in up}
+    frames = spark.createDataFrame(links, "src long, dst long"), spark.createDataFrame([(k, s) for s, ks in own.items() for k in ks], "key string, source long")
+    broader = spark.createDataFrame([*up, ("z", None)], "key string, broader string")
+    assert {(r.a, r.b) for r in taxonomy.cross_references(*frames, broader).collect()} == pairs
+    want = {k: sorted({y for p in pairs if k in p for y in p if y != k}) for k in {k for p in pairs for k in p}}
+    got = taxonomy.related_of(frames[1].select("key"), *taxonomy.related_store(*frames), broader).collect()
+    assert {r.key: r.related for r in got} == want and len(got) == len(want)
+
+
+def test_tags_are_read_once_for_all_levels(spark, monkeypatch):
+    calls, plain = [], packages.valid_tags
+    monkeypatch.setattr(packages, "valid_tags", lambda t: calls.append(1) or plain(t))
+    tags = spark.createDataFrame([(f"p{i}", v) for i in range(5) for v in ("v1.0.0", "v1.2.0", "1.2.0")], "ref string, tag string")
+    needs = spark.createDataFrame([(f"p{i}", "1.2.0", f"p{i + 1}", ">=1.0.0") for i in range(4)] * 2, "ref string, version string, dep_ref string, constraint string")
+    found, met = packages.resolve(spark.createDataFrame([("p0", "latest")], "ref string, constraint string"), needs, tags)
+    assert sorted(map(tuple, found.collect())) == [(f"p{i}", "1.2.0", "transitive" if i else "direct") for i in range(5)]
+    assert met.count() == 5 and len(calls) == 1
