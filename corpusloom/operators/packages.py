@@ -18,10 +18,15 @@ def valid_tags(tags: DataFrame) -> DataFrame:
 
 def resolve_versions(wanted: DataFrame, tags: DataFrame) -> DataFrame:
     """wanted: ref, constraint. The highest tag: of all (latest), of those at least the version (>=), or equal to it."""
+    return _highest(wanted, valid_tags(tags))
+
+
+def _highest(wanted: DataFrame, valid: DataFrame) -> DataFrame:
+    """valid: as ``valid_tags`` gives them."""
     w = wanted.select("ref", "constraint").distinct()
     least = paths.tag_of(paths.constraint_version(F.col("constraint")))
     w = w.withColumn("valid", (F.col("constraint") == paths.LATEST) | paths.is_semver(least)).withColumn("least", paths.semver_key(least)).where("valid")
-    both = w.join(valid_tags(tags), "ref")
+    both = w.join(valid, "ref")
     fits = (F.col("constraint") == paths.LATEST) | F.when(F.col("constraint").startswith(">="), F.col("key") >= F.col("least")).otherwise(F.col("key") == F.col("least"))
     best = both.where(fits).groupBy("ref", "constraint").agg(F.max_by("tag", F.struct("key", "tag")).alias("tag"))
     return best.select("ref", "constraint", paths.version_of(F.col("tag")).alias("version"))
@@ -38,7 +43,9 @@ def resolve(direct: DataFrame, dependencies: DataFrame, tags: DataFrame, depth:
     Level by level: a level's dependencies are resolved together, and of several versions of a package the highest
     stands. What is resolved already isn't replaced by an incompatible or lower constraint, and a direct package never.
     """
-    d = resolve_versions(direct, tags)
+    # read once, and each but once, whatever the levels
+    valid, dependencies = cut(valid_tags(tags).distinct()), cut(dependencies.distinct())
+    d = _highest(direct, valid)
     packages = cut(d.groupBy("ref").agg(F.max_by("version", paths.semver_key(paths.tag_of(F.col("version")))).alias("version")).withColumn("source", F.lit("direct")))
     met = direct.select("ref", "constraint", F.lit("direct").alias("by"))
     frontier = packages.select("ref", "version")
@@ -55,7 +62,7 @@ def resolve(direct: DataFrame, dependencies: DataFrame, tags: DataFrame, depth:
         asked = paths.constraint_version(F.col("constraint"))
         higher = paths.semver_key(paths.tag_of(F.col("old"))) < paths.semver_key(paths.tag_of(asked))
         due = rows.where(F.col("old").isNull() | ((F.col("source") != "direct") & paths.compatible(F.col("old"), asked) & higher))
-        new = resolve_versions(due.select("ref", "constraint"), tags)
+        new = _highest(due.select("ref", "constraint"), valid)
         new = cut(new.groupBy("ref").agg(F.max_by("version", paths.semver_key(paths.tag_of(F.col("version")))).alias("version")).withColumn("source", F.lit("transitive")))
         packages = cut(packages.join(new.select("ref"), "ref", "left_anti").unionByName(new))
         frontier = cut(new.select("ref", "version").join(visited, "ref", "left_anti"))
