@@ -143,7 +143,8 @@ def last_sentence(text: Column) -> Column:
     clean = F.trim(text)
     fences = F.size(F.split(clean, "```")) - 1
     last_line = F.trim(F.element_at(F.split(clean, "\n"), -1))
-    found = F.trim(F.regexp_extract(clean, r"(?s)([^.!?]*[.!?])[^.!?]*$", 1), )
+    # read from its end, where the pattern is anchored: from its beginning, each place would be tried
+    found = F.trim(F.reverse(F.regexp_extract(F.reverse(clean), r"^[^.!?]*+([.!?][^.!?]*+)", 1)))
     found = F.regexp_replace(found, r"^\s+|\s+$", "")
     bad = (fences % 2 != 0) | last_line.startswith("```") | (F.octet_length(found) < 20) | found.rlike(r"^(#|- |\* |\|)")
     return F.when(bad, "").otherwise(found)

@@ -2,13 +2,15 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import session
 from corpusloom.functions import text
-from corpusloom.operators import chunking, impacts, index
+from corpusloom.operators import catalog, chunking, impacts, index, parse
+from corpusloom.sources import adapters
 
 
 @pytest.fixture(scope="module")
@@ -149,3 +151,31 @@ def test_texts_of_chunks_are_shuffled_by_path_alone(spark):
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"Exchange hashpartitioning\(path#\d+, (position|k)#", plan)
     assert [r.sequence for r in made.orderBy("sequence").collect()] == [1, 2, 3]
+
+
+def test_last_sentence_reads_a_text_once(spark):
+    """A text without a full stop was tried from each of its places."""
+    texts = ["One here. And this is the last sentence of it.", "Is it? " + "word " * 9 + "! tail", "No end at all, not one", "x" * 400_000, "a. " + "long words " * 40_000, "A first line of text.\n\nThe second one stands here.\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    start = time.monotonic()
+    got = [r.s for r in df.select("id", text.last_sentence(F.col("text")).alias("s")).orderBy("id").collect()]
+    assert time.monotonic() - start < 20
+    assert got == ["And this is the last sentence of it.", ("word " * 9 + "!"), "", "", "", "The second one stands here."]
+
+
+def test_words_of_phrases_stay_where_their_text_is(spark):
+    words = session.cut(spark.createDataFrame([("a", "red green the red blue".split()), ("b", ["one"])], "id string, words array<string>"))
+    plan = catalog.key_phrases(words)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(id") == plan.count("Exchange ") == 1 and plan.index("Generate") < plan.index("Exchange ")
+    chunks = session.cut(words.selectExpr("id as chunk", "'The big station.' as content"))
+    plan = parse.noun_phrases(chunks)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.index("Generate") < plan.index("Exchange ")
+
+
+def test_batches_of_python_workers_are_bounded(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    adapters.table(spark, "/root/testdata/sf0.001", "region")
+    assert spark.conf.get(key) == "1000"
+    spark.conf.set(key, before)
