@@ -83,15 +83,16 @@ def heading_bridge(before: Column, after: Column) -> Column:
 def key_phrases(texts: DataFrame, top: int = DEFAULTS.rake_phrases, longest: int = DEFAULTS.rake_words) -> DataFrame:
     """texts: id, words (array). The best phrases of each text by the sum of degree / frequency of their words: id, place, phrase, score.
 
-    Stop words and words of one byte end a phrase; equal scores go by the first place.
+    Stop words and words of one byte end a phrase; equal scores go by the first place. Whole texts are dealt by id; their words stay where they are.
     """
-    w = texts.select("id", F.posexplode("words").alias("at", "word"))
+    w = texts.repartition("id").select("id", F.posexplode("words").alias("at", "word"))
     stop = F.col("word").isin(words.RAKE_STOPWORDS) | (F.octet_length("word") < 2)
     order = Window.partitionBy("id").orderBy("at")
     w = w.withColumn("stop", stop).withColumn("run", F.sum(F.col("stop").cast("int")).over(order)).where("not stop")
     w = w.withColumn("size", F.count("*").over(Window.partitionBy("id", "run")))
-    score = w.groupBy("id", "word").agg((F.sum("size") / F.count("*")).alias("score"))
-    p = w.where(F.col("size") <= longest).join(score, ["id", "word"]).groupBy("id", "run").agg(
+    same = Window.partitionBy("id", "word")
+    w = w.withColumn("score", F.sum("size").over(same) / F.count("*").over(same))
+    p = w.where(F.col("size") <= longest).groupBy("id", "run").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("phrase"),
         F.round(F.sum("score"), 9).alias("score"), F.min("at").alias("at"),
     )
@@ -115,9 +116,13 @@ def bridges(chunks: DataFrame, bridged: DataFrame | None = None, tail: int = DEF
     c = chunks.where("type <> 'spec'").withColumn("after", F.lead("heading").over(order)).where("after is not null")
     if bridged is not None:
         c = c.join(bridged.select("doc"), "doc", "left_anti")
-    found = key_phrases(c.select(F.col("doc").alias("id"), text.rake_words(text.tail_window(F.col("content"), tail)).alias("words")))
+    # the texts end here: what is said of them is all that is joined
+    c = c.select(
+        "doc", heading_bridge(F.col("heading"), F.col("after")).alias("way"), text.tail_window(F.col("content"), tail).alias("tail"), text.last_sentence(F.col("content")).alias("said")
+    )
+    found = key_phrases(c.select(F.col("doc").alias("id"), text.rake_words(F.col("tail")).alias("words")))
     own = F.array_sort(F.collect_list(F.struct("place", "phrase")))
     phrases = found.groupBy(F.col("id").alias("doc")).agg(F.array_join(F.transform(own, lambda x: x["phrase"]), ", ").alias("phrases"))
-    layers = heading_bridge(F.col("heading"), F.col("after")), F.concat(F.lit("Established: "), "phrases"), text.last_sentence(F.col("content"))
+    layers = F.col("way"), F.concat(F.lit("Established: "), "phrases"), F.col("said")
     joined = F.concat_ws(". ", *[F.nullif(x, F.lit("")) for x in layers])
     return c.join(phrases, "doc", "left").select("doc", joined.alias("bridge")).where("bridge <> ''")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text, words
 from ..functions.markdown import parse as parse_markdown
 from ..functions.stem import index_term
+from ..session import bound_batches
 
 ADJECTIVE = re.compile(r"(?:able|ible|al|ful|ic|ive|less|ous|ary|ant|ent)$")
 NOUN = re.compile(r"(?:tion|sion|ment|ness|ity|ance|ence|ship|ism|ist|er|or|age|ure|ics|ware|base|ing)s?$")
@@ -29,6 +30,7 @@ def parse_blocks(files: DataFrame) -> DataFrame:
                 schema=pa.schema([("path", pa.string()), ("position", pa.int64()), ("type", pa.string()), ("content", pa.string()), ("level", pa.int64()), ("language", pa.string())]),
             )
 
+    bound_batches(files.sparkSession)
     return files.select("path", "content").mapInArrow(run, "path string, position bigint, type string, content string, level bigint, language string")
 
 
@@ -42,6 +44,7 @@ def parse_links(files: DataFrame) -> DataFrame:
                 [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.string()))], names=["path", "ordinal", "destination", "text"]
             )
 
+    bound_batches(files.sparkSession)
     raw = files.select("path", "content").mapInArrow(run, "path string, ordinal bigint, destination string, text string")
     kept = raw.where(~F.col("destination").rlike("^(https?://|#)")).withColumn("destination", F.substring_index("destination", "#", 1))
     kept = kept.where(F.lower("destination").endswith(".md"))
@@ -79,7 +82,8 @@ def noun_phrases(chunks: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     plain = text.strip_markdown(F.col("content"))
-    t = chunks.select("chunk", F.posexplode(F.regexp_extract_all(plain, F.lit(r"([A-Za-z][\w'-]*|[^\sA-Za-z]+)"), F.lit(1))).alias("at", "word"))
+    # whole texts are dealt by chunk; their words stay where they are
+    t = chunks.repartition("chunk").select("chunk", F.posexplode(F.regexp_extract_all(plain, F.lit(r"([A-Za-z][\w'-]*|[^\sA-Za-z]+)"), F.lit(1))).alias("at", "word"))
     order = Window.partitionBy("chunk").orderBy("at")
     before = F.lag("word").over(order)
     t = t.withColumn("tag", _tag(F.col("word"), before.isNull() | before.rlike(r"[.!?]$")))

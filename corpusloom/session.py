@@ -31,6 +31,19 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+#: Rows and bytes of an Arrow batch at most: a Python worker holds several copies of one.
+BATCH_LIMITS = {"maxRecordsPerBatch": 1000, "maxBytesPerBatch": 4 << 20}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's limits of Arrow batches to these, if they are higher; plans read them when they run."""
+    for key, most in BATCH_LIMITS.items():
+        key = f"spark.sql.execution.arrow.{key}"
+        now = int(re.sub(r"\D", "", spark.conf.get(key)) or 0)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the folder for checkpoints."""
     shared_folder(df.sparkSession)
