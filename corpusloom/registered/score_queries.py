@@ -114,7 +114,7 @@ def field_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def field_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = field_docs(spark, sf_dir)
     n = d.groupBy("corpus").agg(F.count("*").alias("n"))
-    terms = F.array_distinct(F.flatten("fields.terms.term"))
+    terms = F.array_distinct(F.flatten(F.transform("fields", lambda f: f["terms"]["term"])))
     df = d.select("corpus", F.explode(terms).alias("term")).groupBy("corpus", "term").agg(F.count("*").alias("df")).join(F.broadcast(n), "corpus")
     return df.select("corpus", "term", "df", F.round(index.idf(F.col("n"), F.col("df")), 9).alias("idf"))
 
