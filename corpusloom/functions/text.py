@@ -44,9 +44,18 @@ def _index_terms(tokens: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, terms, mask=tokens.is_null())
 
 
+def _kept(text: Column) -> Column:
+    return F.filter(raw_tokens(text), lambda w: ~is_stopword(F.lower(w)))
+
+
 def tokens(text: Column) -> Column:
     """Terms in order: lower-cased, without stop words, stemmed. The same at index time and at query time."""
-    return _index_terms(F.filter(raw_tokens(text), lambda w: ~is_stopword(F.lower(w))))
+    return _index_terms(_kept(text))
+
+
+def token_count(text: Column) -> Column:
+    """How many terms ``tokens`` gives, without their stems."""
+    return F.size(_kept(text)).cast("bigint")
 
 
 @F.arrow_udf(ArrayType(StructType().add("term", StringType()).add("tf", LongType())))

@@ -76,15 +76,16 @@ def balance_tail(numbered: DataFrame, options: ChunkOptions = ChunkOptions()) ->
     return d.select("path", "position", k.cast("bigint").alias("k"))
 
 
-def chunk(blocks: DataFrame, options: ChunkOptions = ChunkOptions()) -> DataFrame:
+def chunk(blocks: DataFrame, options: ChunkOptions = ChunkOptions(), sizes: DataFrame | None = None) -> DataFrame:
     """blocks: path, position, type, content, tokens, heading (array). One row per chunk.
 
     id, type, source, heading, sequence, total, tokens, oversized, content and blocks.
 
     Texts are shuffled once, by path: numbers are found without them and come back as a list for each path, by the block's place.
+    sizes: path, position, type and tokens of the same blocks, where these come a way on which texts aren't shuffled.
     """
     base = blocks.select("path", "position", "type", "content", "tokens", "heading")
-    numbers = balance_tail(_assigned(base, options), options).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("position", "k"))).alias("numbers"))
+    numbers = balance_tail(_assigned(base if sizes is None else sizes, options), options).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("position", "k"))).alias("numbers"))
     placed = base.withColumn("place", F.row_number().over(Window.partitionBy("path").orderBy("position")))
     final = placed.join(numbers, "path").withColumn("k", F.get("numbers.k", F.col("place") - 1)).drop("numbers", "place")
     block = F.struct("position", "type", "content", "tokens", "heading")

@@ -4,9 +4,10 @@ What a posting adds to a score doesn't depend on the query but for a factor, so
 averages in it; a search joins neither. ``write`` lays the postings out as Parquet:
 
 * ``blocks``: in folders by a hash of the term (``bucket``); within them sorted by term, so that row groups of other terms are passed over. A row is what a
-  term has in a shard, which is up to ``2 ** SHARD_BITS`` documents of consecutive keys: the postings (keys and weights) and ``best``, the largest weight.
+  term has in a shard, which is up to ``2 ** SHARD_BITS`` documents of a corpus: the postings (places in the shard, ``at``, and weights, ``w``) and ``best``, the
+  largest weight. The folder ``NAMES`` has a row for each shard, with the names of its documents by place.
 * ``terms``: in the same folders, each term's document frequency, its largest weight (``top``) and the ``factor`` (the idf) by which a search multiplies all its weights.
-* ``docs`` and ``corpora``: the names behind keys and numbers. Keys ascend with (corpus, doc), so ties go to the lesser key.
+* ``corpora``: the names behind their numbers. A key is the shard and the place in it; keys have no order, so ties are settled by names.
 
 A search reads the folders of its terms and shuffles the blocks of its terms to their shards, each once for all queries. A shard's task adds up the
 scores of each query and returns the best, so what is shuffled after that is a few rows of each query and shard. Sets of queries that are too large to go with a task are joined instead.
@@ -15,34 +16,38 @@ Blocks that can't hold one of the k best aren't read on: the k-th score within t
 block whose best weight, with the largest weights of the query's other terms, stays below it holds no hit. No document among the k best has a posting in such a block, so the result is exact.
 Queries of many terms, whose other terms outweigh any block, skip this step.
 
-A frequent term is a row for each shard, so neither building nor searching puts one term in one task. Building deals whole documents to shards, so postings aren't shuffled.
+A frequent term is a row for each shard, so neither building nor searching puts one term in one task. A task makes shards of the documents that it reads, so building shuffles neither documents nor postings.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..config import DEFAULTS, FieldWeight
+from ..session import CODEC, bound_batches
 from .index import DIGITS, corpus_stats, field_averages, field_document_frequency, idf
 
 SCHEMAS = {
-    "blocks": "c int, term string, shard bigint, best double, postings array<struct<key:bigint,w:double>>, bucket int",
+    "blocks": "c int, term string, shard bigint, best double, at array<smallint>, w array<double>, names array<string>, bucket int",
     "terms": "c int, term string, df bigint, top double, factor double, bucket int",
-    "docs": "corpus string, doc string, key bigint",
     "corpora": "corpus string, docs bigint, c int, buckets int",
 }
-#: Folders of an index, and bits of a key that count within a shard.
+#: Folders of an index, and bits of a key that count within a shard (15 at most).
 BUCKETS, SHARD_BITS = 32, 12
-#: Shards, about, that a task builds at once.
+#: The folder of the documents' names.
+NAMES = -1
+#: Shards, about, that a task builds at once, if there are many corpora.
 SHARDS_OF_A_TASK = 16
 #: Rows that a task returns at once.
 ROWS_AT_ONCE = 50_000
@@ -99,65 +104,146 @@ def bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def _numbered(rows: DataFrame, path: str, buckets: int) -> DataFrame:
-    """rows: corpus, doc and others. With c, key and shard, dealt by shard; the names go to ``docs`` and ``corpora``."""
-    spark = rows.sparkSession
-    named = rows.select("corpus", "doc").distinct().repartitionByRange("corpus", "doc").sortWithinPartitions("corpus", "doc")
-    named.withColumn("key", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{path}/docs")
-    docs = spark.read.parquet(f"{path}/docs")
-    # as many rows as corpora
-    numbered = docs.groupBy("corpus").agg(F.count("*").alias("docs")).withColumn("c", F.row_number().over(Window.orderBy("corpus")).cast("int"))
-    numbered = numbered.withColumn("buckets", F.lit(buckets))
-    numbered.coalesce(1).write.mode("overwrite").parquet(f"{path}/corpora")
-    corpora = spark.read.parquet(f"{path}/corpora")
-    total = corpora.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
-    keyed = rows.join(docs, ["corpus", "doc"]).join(F.broadcast(corpora.select("corpus", "c")), "corpus").withColumn("shard", F.shiftright("key", SHARD_BITS))
-    return keyed.repartition(max(1, -(-total // (SHARDS_OF_A_TASK << SHARD_BITS))), "shard")
-
-
-def _store(rows: DataFrame, path: str, buckets: int, factor: Column) -> Impacts:
-    """rows: c, shard, key, term, w, dealt by shard: what is grouped by shard and others stays where it is. factor: of df and docs (those of the corpus)."""
-    spark = rows.sparkSession
-    one = F.array_sort(F.collect_list(F.struct("key", "w")))
-    made = rows.groupBy("c", "shard", "term").agg(F.max("w").alias("best"), one.alias("postings")).withColumn("bucket", bucket(F.col("term"), buckets))
-    columns = ["c", "term", "shard", "best", "postings", "bucket"]
-    made.select(columns).sortWithinPartitions("bucket", "term", "c", "shard").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
-    blocks = spark.read.schema(SCHEMAS["blocks"]).parquet(f"{path}/blocks")
-    terms = blocks.groupBy("bucket", "c", "term").agg(F.sum(F.size("postings")).alias("df"), F.max("best").alias("top"))
+def _corpora(lengths: DataFrame, path: str, buckets: int) -> DataFrame:
+    """lengths: corpus and dl of each document. corpus, docs, avgdl and c; stored but for avgdl, as many rows as corpora."""
+    numbered = corpus_stats(lengths).withColumnRenamed("n", "docs").withColumn("c", F.row_number().over(Window.orderBy("corpus")).cast("int"))
+    numbered.withColumn("buckets", F.lit(buckets)).coalesce(1).write.mode("overwrite").parquet(f"{path}/corpora")
+    return lengths.sparkSession.read.parquet(f"{path}/corpora")
+
+
+def _store(docs: DataFrame, path: str, buckets: int, weigh: Callable[[np.ndarray, np.ndarray], np.ndarray], one: bool, factor: Column) -> Impacts:
+    """docs: c, doc, parts (x, norm, terms: term, tf), each document once; a part is a field. factor: of df and docs (those of the corpus).
+
+    What a term is worth in a document: of the one part, weigh(tf, norm); of several, weigh of the sum of x * tf / norm, and 1.
+    Documents are numbered and turned into blocks by the task that reads them; a shard is a run of a task's documents of one corpus.
+    """
+    spark, size, most = docs.sparkSession, 1 << SHARD_BITS, SHARDS_OF_A_TASK << SHARD_BITS
+    schema = "c int, term string, shard bigint, best double, at array<smallint>, w array<double>, names array<string>"
+    types = to_arrow_schema(StructType.fromDDL(schema))
+
+    def postings(b: pa.RecordBatch) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """Row, term and weight of each posting, by row."""
+        parts = b.column(2)
+        of_part = np.repeat(np.arange(len(b)), pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False))
+        x, norm, terms = parts.flatten().flatten()
+        sizes = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False)
+        row, x, norm = (np.repeat(v, sizes) for v in (of_part, x.to_numpy(zero_copy_only=False), norm.to_numpy(zero_copy_only=False)))
+        term, tf = terms.flatten().flatten()
+        tf = tf.to_numpy(zero_copy_only=False).astype(float)
+        if one:
+            return row, term, weigh(tf, norm)
+        coded = term.dictionary_encode()
+        width = max(1, len(coded.dictionary))
+        each, place = np.unique(row * width + coded.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+        total = np.round(np.bincount(place, x * (tf / norm), len(each)), 12)
+        return each // width, coded.dictionary.take(pa.array(each % width)), weigh(total, np.ones(len(each)))
+
+    def block(c: int, shard: int, pieces: list[tuple]) -> Iterator[pa.RecordBatch]:
+        names = [x for n, *_ in pieces for x in n]
+        yield pa.RecordBatch.from_pydict({"c": [c], "term": [None], "shard": [shard], "best": [None], "at": [None], "w": [None], "names": [names]}, schema=types)
+        coded = pa.chunked_array([t for _, _, t, _ in pieces], pa.string()).combine_chunks().dictionary_encode()
+        if not len(coded):
+            return
+        begins = np.cumsum([0, *(len(n) for n, *_ in pieces)])
+        at, w = np.concatenate([a + o for (_, a, *_), o in zip(pieces, begins, strict=False)]), np.concatenate([w for *_, w in pieces])
+        code = coded.indices.to_numpy()
+        order = np.argsort(code, kind="stable")
+        first = np.searchsorted(code[order], np.arange(len(coded.dictionary) + 1))
+        n, w, offsets = len(first) - 1, w[order], pa.array(first, pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(v, k)) for v, k in ((at[order], pa.int16()), (w, pa.float64()))]
+        columns = [pa.array(np.full(n, c), pa.int32()), coded.dictionary, pa.array(np.full(n, shard), pa.int64()), pa.array(np.maximum.reduceat(w, first[:-1])), *lists, pa.nulls(n, pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, types, strict=True)], schema=types)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held, rows = TaskContext.get().partitionId() << 32, {}, {}
+        for b in batches:
+            row, term, w = postings(b)
+            corpora, names = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
+            for c in np.unique(corpora):
+                own = np.flatnonzero(corpora == c)
+                while len(own):
+                    here, own = np.split(own, [size - rows.get(c, 0)])
+                    place = np.full(len(b), -1)
+                    place[here] = np.arange(len(here))
+                    mine = place[row] >= 0
+                    held.setdefault(c, []).append(([names[i] for i in here], place[row[mine]], term.filter(pa.array(mine)), w[mine]))
+                    rows[c] = rows.get(c, 0) + len(here)
+                    if rows[c] == size:
+                        yield from block(int(c), shard, held.pop(c))
+                        shard, rows[c] = shard + 1, 0
+            if sum(rows.values()) >= most:
+                for c in sorted(held):
+                    yield from block(int(c), shard, held.pop(c))
+                    shard += 1
+                rows.clear()
+        for c in sorted(held):
+            yield from block(int(c), shard, held.pop(c))
+            shard += 1
+
+    bound_batches(spark)
+    made = docs.select("c", "doc", "parts").mapInArrow(run, schema)
+    made = made.withColumn("bucket", F.when(F.col("names").isNotNull(), NAMES).otherwise(bucket(F.col("term"), buckets)))
+    made.sortWithinPartitions("bucket", "term", "c", "shard").write.mode("overwrite").option("compression", CODEC).partitionBy("bucket").parquet(f"{path}/blocks")
+    blocks = spark.read.schema(SCHEMAS["blocks"]).parquet(f"{path}/blocks").where(F.col("bucket") >= 0)
+    # each folder's terms are gathered, counted and written by one task
+    rows = blocks.select("bucket", "c", "term", F.size("at").alias("n"), "best").repartition(buckets, "bucket")
+    terms = rows.groupBy("bucket", "c", "term").agg(F.sum("n").alias("df"), F.max("best").alias("top"))
     terms = terms.join(F.broadcast(spark.read.parquet(f"{path}/corpora").select("c", "docs")), "c").select("c", "term", "df", "top", factor.alias("factor"), "bucket")
-    terms.repartitionByRange("bucket", "c", "term").sortWithinPartitions("bucket", "c", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+    terms.sortWithinPartitions("bucket", "c", "term").write.mode("overwrite").option("compression", CODEC).partitionBy("bucket").parquet(f"{path}/terms")
     return read(spark, path)
 
 
 def write(rows: DataFrame, path: str, buckets: int = BUCKETS) -> Impacts:
     """rows: corpus, doc, term, w; each term of a document once. Overwrites path."""
-    keyed = _numbered(rows, path, buckets)
-    return _store(keyed.select("c", "shard", "key", "term", "w"), path, buckets, F.lit(1.0))
+    terms = F.collect_list(F.struct("term", F.col("w").alias("tf")))
+    docs = rows.where("term is not null").groupBy("corpus", "doc").agg(F.array(F.struct(F.lit(1.0).alias("x"), F.lit(1.0).alias("norm"), terms.alias("terms"))).alias("parts"))
+    c = _corpora(rows.select("corpus", "doc", F.lit(1).alias("dl")).distinct(), path, buckets)
+    return _store(docs.join(F.broadcast(c.select("corpus", "c")), "corpus"), path, buckets, lambda tf, norm: tf, True, F.lit(1.0))
 
 
 def write_texts(docs: DataFrame, path: str, k1: float = DEFAULTS.k1, b: float = DEFAULTS.b, buckets: int = BUCKETS) -> Impacts:
     """The index of BM25. docs: corpus, doc, dl, terms (term, tf), each document once.
 
-    Whole documents are dealt to their shards, and their postings never leave them; the idf, for which all shards are counted, is its terms' factor.
+    Lengths are read first, for their means; then each document once. The idf, for which all shards are counted, is its terms' factor.
     """
-    keyed = _numbered(docs, path, buckets).join(F.broadcast(corpus_stats(docs)), "corpus").select("c", "shard", "key", "dl", "avgdl", F.inline("terms"))
-    return _store(keyed.select("c", "shard", "key", "term", _saturated(k1, b).alias("w")), path, buckets, idf(F.col("docs"), F.col("df")))
+    c = _corpora(docs.select("corpus", "dl"), path, buckets)
+    norm = 1 - b + b * F.col("dl") / F.col("avgdl")
+    parts = F.array(F.struct(F.lit(1.0).alias("x"), norm.alias("norm"), "terms"))
+    joined = docs.join(F.broadcast(c.select("corpus", "c", "avgdl")), "corpus").select("c", "doc", parts.alias("parts"))
+    return _store(joined, path, buckets, lambda tf, norm: tf * (k1 + 1) / (tf + k1 * norm), True, idf(F.col("docs"), F.col("df")))
+
+
+def write_fields(
+    docs: DataFrame, path: str, fields: dict[str, FieldWeight] | None = None, k1: float = DEFAULTS.k1, buckets: int = BUCKETS, lengths: DataFrame | None = None
+) -> Impacts:
+    """The index of BM25F. docs: corpus, doc, fields (field, dl, terms: term, tf), each document once. lengths: corpus, field, dl, if there is a shorter way to them."""
+    lengths = docs.select("corpus", F.inline("fields")) if lengths is None else lengths
+    means = field_averages(lengths).groupBy("corpus").agg(F.map_from_entries(F.collect_list(F.struct("field", "avgdl"))).alias("means"))
+    c = _corpora(docs.select("corpus", F.lit(1).alias("dl")), path, buckets)
+
+    def part(f: Column) -> Column:
+        weight, slope, mean = F.lit(0.0), F.lit(0.0), F.col("means")[f["field"]]
+        for name, of in (fields or DEFAULTS.fields).items():
+            weight = F.when(f["field"] == name, F.lit(of.weight)).otherwise(weight)
+            slope = F.when(f["field"] == name, F.lit(of.b)).otherwise(slope)
+        norm = F.when(mean > 0, 1 - slope + slope * f["dl"] / mean).otherwise(1.0)
+        return F.struct(weight.alias("x"), norm.alias("norm"), f["terms"].alias("terms"))
+
+    joined = docs.join(F.broadcast(c.select("corpus", "c")), "corpus").join(F.broadcast(means), "corpus")
+    joined = joined.select("c", "doc", F.transform("fields", part).alias("parts"))
+    return _store(joined, path, buckets, lambda tf, norm: tf * (k1 + 1) / (tf + k1 * norm), False, idf(F.col("docs"), F.col("df")))
 
 
-def write_fields(docs: DataFrame, path: str, fields: dict[str, FieldWeight] | None = None, k1: float = DEFAULTS.k1, buckets: int = BUCKETS) -> Impacts:
-    """The index of BM25F. docs: corpus, doc, fields (field, dl, terms: term, tf), each document once."""
-    averages = field_averages(docs.select("corpus", F.inline("fields")))
-    rows = _numbered(docs, path, buckets).select("corpus", "c", "shard", "key", F.inline("fields")).join(F.broadcast(averages), ["corpus", "field"])
-    rows = rows.select("c", "shard", "key", "field", "dl", "avgdl", F.inline("terms"))
-    wtf = rows.groupBy("c", "shard", "key", "term").agg(F.round(F.sum(_field_part(fields or DEFAULTS.fields)), 12).alias("wtf"))
-    w = F.col("wtf") * (k1 + 1) / (F.col("wtf") + k1)
-    return _store(wtf.select("c", "shard", "key", "term", w.alias("w")), path, buckets, idf(F.col("docs"), F.col("df")))
+def read(spark: SparkSession, path: str) -> Impacts:
+    all_rows, terms, corpora = (spark.read.schema(schema).parquet(f"{path}/{t}") for t, schema in SCHEMAS.items())
+    blocks, names = all_rows.where(F.col("bucket") >= 0).drop("names"), all_rows.where(F.col("bucket") == NAMES)
+    docs = names.select("shard", F.posexplode("names").alias("at", "doc")).select("doc", _key("at").alias("key"))
+    first = corpora.select("buckets").first()
+    return Impacts(blocks, terms, docs, corpora, first[0] if first else 1)
 
 
-def read(spark: SparkSession, path: str) -> Impacts:
-    tables = [spark.read.schema(schema).parquet(f"{path}/{t}") for t, schema in SCHEMAS.items()]
-    first = tables[-1].select("buckets").first()
-    return Impacts(*tables, first[0] if first else 1)
+def _key(at: str) -> Column:
+    return F.shiftleft("shard", SHARD_BITS) + F.col(at)
 
 
 @dataclass(frozen=True)
@@ -188,9 +274,9 @@ def _wanted(index: Impacts, wanted: DataFrame) -> _Wanted:
 
 
 def _scored(blocks: DataFrame) -> DataFrame:
-    """blocks: query, c, weight, postings. The sum for each document."""
-    rows = blocks.select("query", "c", "weight", F.explode("postings").alias("p"))
-    return rows.groupBy("query", "c", F.col("p.key").alias("key")).agg(F.sum(F.col("weight") * F.col("p.w")).alias("score"))
+    """blocks: query, c, shard, weight, at, w. The sum for each document."""
+    rows = blocks.select("query", "c", "shard", "weight", F.inline(F.arrays_zip("at", "w")))
+    return rows.groupBy("query", "c", _key("at").alias("key")).agg(F.sum(F.col("weight") * F.col("w")).alias("score"))
 
 
 def weighted(index: Impacts, w: _Wanted) -> DataFrame:
@@ -200,8 +286,8 @@ def weighted(index: Impacts, w: _Wanted) -> DataFrame:
 
 
 def all_blocks(index: Impacts, w: _Wanted) -> DataFrame:
-    """The blocks of the terms of each query: query, c, shard, term, weight, best and postings."""
-    return w.blocks(index).join(w.held(weighted(index, w)), ["c", "term"]).select("query", "c", "shard", "term", "weight", "best", "postings")
+    """The blocks of the terms of each query: query, c, shard, term, weight, best, at and w."""
+    return w.blocks(index).join(w.held(weighted(index, w)), ["c", "term"]).select("query", "c", "shard", "term", "weight", "best", "at", "w")
 
 
 def bounds(index: Impacts, w: _Wanted, n: int) -> DataFrame:
@@ -218,8 +304,8 @@ def bounds(index: Impacts, w: _Wanted, n: int) -> DataFrame:
 
 
 def matched(index: Impacts, w: _Wanted, n: int) -> DataFrame:
-    """The blocks that some query must read for its n best: c, shard, term and postings."""
-    own, shape = w.blocks(index), ("c", "shard", "term", "postings")
+    """The blocks that some query must read for its n best: c, shard, term, at and w."""
+    own, shape = w.blocks(index), ("c", "shard", "term", "at", "w")
     if not w.few:
         return own.join(w.held(w.rows.select("term").distinct()), "term").select(*shape)
     least = bounds(index, w, n).groupBy("c", "term").agg(F.min("enough").alias("enough"))
@@ -273,13 +359,12 @@ def _best_of_shards(blocks: DataFrame, wanted: DataFrame, n: int | None) -> Data
                 yield batch(found)
 
         for b in batches:
-            for c, shard, term, l in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+            for c, shard, term, at, ws in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), b.column(4), strict=True):
                 if (c, shard) != here:
                     if here is not None:
                         yield from result(best(*here, postings))
                     here, postings = (c, shard), {}
-                keys, ws = l.values.flatten()
-                postings[term] = keys.to_numpy() & ((1 << SHARD_BITS) - 1), ws.to_numpy()
+                postings[term] = at.values.to_numpy(), ws.values.to_numpy()
         if here is not None:
             yield from result(best(*here, postings))
 
@@ -292,7 +377,7 @@ def scores(index: Impacts, wanted: DataFrame) -> DataFrame:
     """query, corpus, key and score of all documents that score above 0. wanted: query, term, weight (above 0; of a term that comes twice, the sum)."""
     w = _wanted(index, wanted)
     if w.local is not None:
-        own = w.blocks(index).join(w.held(w.rows.select("term").distinct()), "term").select("c", "shard", "term", "postings")
+        own = w.blocks(index).join(w.held(w.rows.select("term").distinct()), "term").select("c", "shard", "term", "at", "w")
         found = _best_of_shards(own, weighted(index, w), None)
     else:
         found = _scored(all_blocks(index, w))
@@ -309,7 +394,9 @@ def search(index: Impacts, wanted: DataFrame, n: int) -> DataFrame:
         limits = bounds(index, w, n)
         found = _scored(w.blocks(index).join(limits, ["c", "term"]).where(F.col("best") >= F.col("enough")))
     found = found.withColumn("score", F.round("score", DIGITS)).where("score > 0")
-    place = F.row_number().over(Window.partitionBy("query", "c").orderBy(F.col("score").desc(), "key"))
-    best = found.withColumn("rank", place.cast("bigint")).where(F.col("rank") <= n)
-    best = best.join(index.docs.drop("corpus"), "key").join(F.broadcast(index.corpora.select("c", "corpus")), "c")
-    return best.select("query", "corpus", "doc", "score", "rank")
+    by_score = Window.partitionBy("query", "c").orderBy(F.col("score").desc())
+    # what ties with the n-th is ranked by its name
+    tied = found.withColumn("rank", F.rank().over(by_score)).where(F.col("rank") <= n).drop("rank").join(index.docs, "key")
+    place = F.row_number().over(Window.partitionBy("query", "c").orderBy(F.col("score").desc(), "doc"))
+    best = tied.withColumn("rank", place.cast("bigint")).where(F.col("rank") <= n)
+    return best.join(F.broadcast(index.corpora.select("c", "corpus")), "c").select("query", "corpus", "doc", "score", "rank")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ChunkOptions
-from ..functions import counting
+from ..functions import counting, text
 from ..operators import blocks as B
 from ..operators import chunking as C
 from ..registry import query
@@ -150,8 +150,8 @@ CHUNKED_SQL = TAIL_SQL + f""", cc AS (SELECT path, k AS sequence, count(*) OVER
   string_agg(content, chr(10) || chr(10) ORDER BY position) AS content, {KIND_SQL} AS type FROM fin GROUP BY path, k)"""
 
 
-def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.chunk(B.heading_paths(blocks(spark, sf_dir)), OPTIONS)
+def chunked(spark: SparkSession, sf_dir: str, dealt: bool = True) -> DataFrame:
+    return C.chunk(B.heading_paths(blocks(spark, sf_dir, dealt)), OPTIONS, sizes=blocks(spark, sf_dir))
 
 
 #: The chunker's chunks with the heading path of their first block, as the index and the searches see them.
@@ -161,8 +161,8 @@ BUILT_SQL = CHUNKED_SQL + f""", b AS (SELECT * FROM blk), {PATHS_SQL}, fb AS (SE
 
 
 def built(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunker's chunks, made once in a session."""
-    return once(spark, ("chunks", sf_dir), lambda: chunked(spark, sf_dir).drop("blocks"))
+    """The chunker's chunks with the number of their terms (``terms``), made once in a session."""
+    return once(spark, ("chunks", sf_dir), lambda: chunked(spark, sf_dir).drop("blocks").withColumn("terms", text.token_count(F.col("content"))))
 
 
 @query(
@@ -180,7 +180,7 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
         (sum(tokens) // count(*))::BIGINT AS mean, count(*) FILTER (oversized)::BIGINT AS oversized FROM cc GROUP BY type""",
 )
 def chunk_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.statistics(chunked(spark, sf_dir))
+    return C.statistics(chunked(spark, sf_dir, dealt=False))  # texts aren't read past their blocks
 
 
 @query("A23_collisions", f"WITH {CHUNKS_SQL} SELECT substr(id, 1, 6) AS id, count(DISTINCT sha256(content))::BIGINT AS contents FROM chk GROUP BY ALL HAVING count(DISTINCT sha256(content)) > 1")

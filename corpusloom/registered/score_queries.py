@@ -29,14 +29,14 @@ BM25_SQL = DOCS_SQL + f""", {QT_SQL}, ts AS (SELECT corpus, term, {IDF_SQL} AS i
   rk AS (SELECT *, row_number() OVER (PARTITION BY query, corpus ORDER BY score DESC, doc) AS rank FROM hit)"""
 
 
-def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.concat("source", F.lit("#"), F.col("sequence").cast("string"))
-    counted = built(spark, sf_dir).select(paths.output_dir(F.col("type")).alias("corpus"), key.alias("doc"), text.term_counts(text.tokens(F.col("content"))).alias("terms"))
-    return once(spark, ("docs", sf_dir), lambda: counted.select("corpus", "doc", _length("terms").alias("dl"), "terms"))
+    terms = text.term_counts(text.tokens(F.col("content")))
+    return built(spark, sf_dir).select(paths.output_dir(F.col("type")).alias("corpus"), key.alias("doc"), F.col("terms").alias("dl"), terms.alias("terms"))
 
 
-def _length(terms: str) -> Column:
-    return F.aggregate(f"{terms}.tf", F.lit(0).cast("bigint"), lambda n, tf: n + tf)
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, ("docs", sf_dir), lambda: counted(spark, sf_dir))
 
 
 def index_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -52,7 +52,7 @@ def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def term_index(spark: SparkSession, sf_dir: str) -> impacts.Impacts:
     """The stored index that searches read."""
-    folder = stored(spark, "index", f"{sf_dir}/documents.parquet", lambda to: impacts.write_texts(docs(spark, sf_dir), to))
+    folder = stored(spark, "index", f"{sf_dir}/documents.parquet", lambda to: impacts.write_texts(counted(spark, sf_dir), to))
     return impacts.read(spark, folder)
 
 
@@ -101,13 +101,26 @@ FIELDS_SQL = BUILT_SQL + ", fd AS (" + " UNION ALL ".join(
   fn AS (SELECT corpus, count(DISTINCT doc) AS n FROM fl GROUP BY corpus), fdf AS (SELECT corpus, term, count(DISTINCT doc)::BIGINT AS df FROM fp GROUP BY ALL)"""
 
 
-def field_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = built(spark, sf_dir)
+def field_texts() -> dict[str, tuple[Column, Column]]:
+    """Of a chunk, by field: the text and how many terms it has."""
+    texts = {"heading": F.col("heading"), "body": F.col("content"), "terms": F.lower("heading"), "code": F.lit("")}
+    return {f: (t, F.col("terms") if f == "body" else text.token_count(t)) for f, t in texts.items()}
+
+
+def counted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.concat("source", F.lit("#"), F.col("sequence").cast("string"))
-    own = {"heading": F.col("heading"), "body": F.col("content"), "terms": F.lower("heading"), "code": F.lit("")}
-    rows = c.select(paths.output_dir(F.col("type")).alias("corpus"), key.alias("doc"), *[text.term_counts(text.tokens(t)).alias(f) for f, t in own.items()])
-    counts = [F.struct(F.lit(f).alias("field"), _length(f).alias("dl"), F.col(f).alias("terms")) for f in own]
-    return once(spark, ("field docs", sf_dir), lambda: rows.select("corpus", "doc", F.array(*counts).alias("fields")))
+    counts = [F.struct(F.lit(f).alias("field"), n.alias("dl"), text.term_counts(text.tokens(t)).alias("terms")) for f, (t, n) in field_texts().items()]
+    return built(spark, sf_dir).select(paths.output_dir(F.col("type")).alias("corpus"), key.alias("doc"), F.array(*counts).alias("fields"))
+
+
+def field_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """corpus, field and dl of each chunk: no term is stemmed or counted for them."""
+    lengths = F.array(*[F.struct(F.lit(f).alias("field"), n.alias("dl")) for f, (_, n) in field_texts().items()])
+    return built(spark, sf_dir).select(paths.output_dir(F.col("type")).alias("corpus"), F.inline(lengths))
+
+
+def field_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, ("field docs", sf_dir), lambda: counted_fields(spark, sf_dir))
 
 
 @query("A3_field_stats", f"WITH {FIELDS_SQL} SELECT corpus, term, df, round({IDF_SQL}, 9) AS idf FROM fdf JOIN fn USING (corpus)")
@@ -121,7 +134,7 @@ def field_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("A3_field_averages", f"WITH {FIELDS_SQL} SELECT corpus, field, round(avgdl, 9) AS avgdl FROM fa")
 def field_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = index.field_averages(field_docs(spark, sf_dir).select("corpus", F.inline("fields")))
+    d = index.field_averages(field_lengths(spark, sf_dir))
     return d.select("corpus", "field", F.round("avgdl", 9).alias("avgdl"))
 
 
@@ -141,7 +154,7 @@ def weighted_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def field_term_index(spark: SparkSession, sf_dir: str) -> impacts.Impacts:
-    make = lambda to: impacts.write_fields(field_docs(spark, sf_dir), to)
+    make = lambda to: impacts.write_fields(counted_fields(spark, sf_dir), to, lengths=field_lengths(spark, sf_dir))
     return impacts.read(spark, stored(spark, "field index", f"{sf_dir}/documents.parquet", make))
 
 

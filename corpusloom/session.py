@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import re
 import tempfile
 import uuid
@@ -61,6 +62,17 @@ def _version(spark: SparkSession, path: str) -> tuple:
     return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files.listStatus(where)))
 
 
+#: Of stored tables.
+CODEC = "zstd"
+
+
+def let_go(spark: SparkSession) -> None:
+    """Collects the driver's garbage: the shuffle files of queries that are over are deleted then, not when the driver happens to run short of memory."""
+    for _ in range(2):  # the first one ends what the second one finds unused
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
 #: What has been made: application, name and sources, to the sources' version, the folder and the session.
 _made: dict[tuple, tuple[tuple, str, SparkSession]] = {}
 
@@ -79,13 +91,14 @@ def stored(spark: SparkSession, name: str, sources: str, write: Callable[[str],
         _remove(spark, _made.pop(key)[1])
     folder = f"{shared_folder(spark)}/{name.replace(' ', '-')}-{uuid.uuid4().hex}"
     write(folder)
+    let_go(spark)
     _made[key] = version, folder, spark
     return folder
 
 
 def once(spark: SparkSession, key: tuple[str, str], make: Callable[[], DataFrame]) -> DataFrame:
     """What make gives, as Parquet that is written once while the documents in a folder are the same. key: a name and that folder."""
-    return spark.read.parquet(stored(spark, key[0], f"{key[1]}/documents.parquet", lambda folder: make().write.parquet(folder)))
+    return spark.read.parquet(stored(spark, key[0], f"{key[1]}/documents.parquet", lambda folder: make().write.option("compression", CODEC).parquet(folder)))
 
 
 def forget() -> None:

@@ -29,9 +29,13 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", path.alias("path"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path, position, type, level, content and tokens of each line that isn't blank; line n is at 2 n, what follows its heading at 2 n + 1."""
-    lines = sources(spark, sf_dir).select("path", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+def blocks(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """path, position, type, level, content and tokens of each line that isn't blank; line n is at 2 n, what follows its heading at 2 n + 1.
+
+    dealt: whole texts are shuffled by path before they are cut, for those who need a path's blocks with their texts in one task.
+    """
+    files = sources(spark, sf_dir).select("path", "text")
+    lines = (files.repartition("path") if dealt else files).select("path", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     n, two = F.col("n").cast("bigint"), r"^(\S+(?: \S+)?)"
     heading = n % 4 == 0
     block = lambda at, kind, level, content: F.struct(at.alias("position"), kind.alias("type"), level.cast("bigint").alias("level"), content.alias("content"))

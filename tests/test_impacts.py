@@ -1,5 +1,6 @@
 """The stored index against scores computed plainly, and what a search reads of it."""
 
+import os
 import random
 import re
 import time
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from corpusloom import session
 from corpusloom.functions import text
-from corpusloom.operators import catalog, chunking, impacts, index, parse
+from corpusloom.operators import blocks, catalog, chunking, impacts, index, parse
+from corpusloom.registered import score_queries
 from corpusloom.sources import adapters
 
 
@@ -179,3 +181,59 @@ def test_batches_of_python_workers_are_bounded(spark):
     adapters.table(spark, "/root/testdata/sf0.001", "region")
     assert spark.conf.get(key) == "1000"
     spark.conf.set(key, before)
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    paths = [files.apply(i).getPath() for i in range(files.size())]
+    return {p: os.path.getsize(p) for p in paths if "shuffle_" in p and os.path.exists(p)}
+
+
+def test_shuffle_files_of_a_stored_table_are_let_go(spark, tmp_path):
+    """They stayed on the disk beside the table until the driver happened to collect its garbage."""
+    source = str(tmp_path / "documents.parquet")
+    spark.range(3000).write.parquet(source)
+    before = shuffle_files(spark)
+    made = session.once(spark, ("dealt", str(tmp_path)), lambda: spark.read.parquet(source).repartition(3, "id"))
+    assert made.count() == 3000
+    own = spark.read.parquet(source)
+    session.stored(spark, "dealt again", source, lambda to: own.repartition(3, "id").write.parquet(to))
+    start = time.monotonic()
+    while left := sum(n for p, n in shuffle_files(spark).items() if p not in before):
+        assert time.monotonic() - start < 20, left
+        time.sleep(0.2)
+
+
+def test_an_index_is_built_without_a_shuffle_of_documents(spark, tmp_path):
+    """Documents were shuffled twice with their terms, once for their keys and once for their shards."""
+    rng = random.Random(8)
+    terms = [f"term{i}" for i in range(600)]
+    docs = spark.createDataFrame([(["objects", "specs"][i % 2], f"d{i}", rng.sample(terms, 300)) for i in range(400)], "corpus string, doc string, tokens array<string>")
+    docs.select("corpus", "doc", F.size("tokens").cast("bigint").alias("dl"), text.term_counts("tokens").alias("terms")).coalesce(2).write.parquet(str(tmp_path / "docs"))
+    before = shuffle_files(spark)
+    made = impacts.write_texts(spark.read.parquet(str(tmp_path / "docs")), str(tmp_path / "index"), buckets=4)
+    assert made.blocks.agg(F.sum(F.size("at"))).first()[0] == 120_000 and made.docs.count() == 400
+    assert sum(n for p, n in shuffle_files(spark).items() if p not in before) < 100_000
+
+
+def test_ties_go_to_the_lesser_name_wherever_documents_are(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(impacts, "SHARD_BITS", 3)
+    docs = spark.createDataFrame([("objects", f"d{i:02}", 2, [("a", 1), ("b", 1)]) for i in reversed(range(60))], "corpus string, doc string, dl long, terms array<struct<term:string,tf:long>>")
+    made = impacts.write_texts(docs.repartition(5), str(tmp_path / "index"), buckets=2)
+    q = spark.createDataFrame([(1, "a", 1.0)], "query long, term string, weight double")
+    assert [r[2:3] + r[4:] for r in rows(impacts.search(made, q, 4))] == [(f"d{i:02}", i + 1) for i in range(4)]
+    monkeypatch.setattr(impacts, "BROADCAST_ROWS", 0)
+    assert [r[2:3] + r[4:] for r in rows(impacts.search(made, q, 4))] == [(f"d{i:02}", i + 1) for i in range(4)]
+
+
+def test_mean_lengths_need_no_stems(spark):
+    """All terms of all fields were stemmed and counted for the mean number of them."""
+    plan = score_queries.field_averages(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "field-docs" not in plan
+    df = spark.createDataFrame([("The running dogs of http-server v2.0",), ("",), ("the of",)], "t string")
+    assert all(r[0] == len(r[1]) for r in df.select(text.token_count(F.col("t")), text.tokens(F.col("t"))).collect())
+
+
+def test_whole_texts_are_dealt_before_they_are_cut(spark):
+    plan = blocks.heading_paths(adapters.blocks(spark, "/root/testdata/sf0.001", dealt=True))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.index("Generate") < plan.index("Exchange ")
