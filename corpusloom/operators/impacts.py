@@ -3,8 +3,8 @@
 What a posting adds to a score doesn't depend on the query but for a factor, so it is computed once, with the document's length and the corpus's
 averages in it; a search joins neither. ``write`` lays the postings out as Parquet:
 
-* ``blocks``: in folders by a hash of the term (``bucket``); within them sorted by term, so that row groups of other terms are passed over. A row is what a
-  term has in a shard, which is up to ``2 ** SHARD_BITS`` documents of a corpus: the postings (places in the shard, ``at``, and weights, ``w``) and ``best``, the
+* ``blocks``: in folders by a hash of the term (``bucket``); within them in runs sorted by term, of some shards each: a task writes to all folders as it makes
+  the rows, so its rows are never sorted as a whole nor spilled. A row is what a term has in a shard, which is up to ``2 ** SHARD_BITS`` documents of a corpus: the postings (places in the shard, ``at``, and weights, ``w``) and ``best``, the
   largest weight. The folder ``NAMES`` has a row for each shard, with the names of its documents by place.
 * ``terms``: in the same folders, each term's document frequency, its largest weight (``top``) and the ``factor`` (the idf) by which a search multiplies all its weights.
 * ``corpora``: the names behind their numbers. A key is the shard and the place in it; keys have no order, so ties are settled by names.
@@ -35,7 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..config import DEFAULTS, FieldWeight
-from ..session import CODEC, bound_batches
+from ..session import CODEC, bound_batches, side_by_side
 from .index import DIGITS, corpus_stats, field_averages, field_document_frequency, idf
 
 SCHEMAS = {
@@ -154,8 +154,14 @@ def _store(docs: DataFrame, path: str, buckets: int, weigh: Callable[[np.ndarray
         columns = [pa.array(np.full(n, c), pa.int32()), coded.dictionary, pa.array(np.full(n, shard), pa.int64()), pa.array(np.maximum.reduceat(w, first[:-1])), *lists, pa.nulls(n, pa.list_(pa.string()))]
         yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, types, strict=True)], schema=types)
 
+    def run_of(made: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_term = pa.Table.from_batches(made, schema=types).combine_chunks().sort_by([(k, "ascending") for k in ("term", "c", "shard")])
+        made.clear()
+        yield from by_term.to_batches(max_chunksize=ROWS_AT_ONCE)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held, rows = TaskContext.get().partitionId() << 32, {}, {}
+        shard, held, rows, made = TaskContext.get().partitionId() << 32, {}, {}, []
+        first = shard
         for b in batches:
             row, term, w = postings(b)
             corpora, names = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
@@ -169,21 +175,26 @@ def _store(docs: DataFrame, path: str, buckets: int, weigh: Callable[[np.ndarray
                     held.setdefault(c, []).append(([names[i] for i in here], place[row[mine]], term.filter(pa.array(mine)), w[mine]))
                     rows[c] = rows.get(c, 0) + len(here)
                     if rows[c] == size:
-                        yield from block(int(c), shard, held.pop(c))
+                        made += block(int(c), shard, held.pop(c))
                         shard, rows[c] = shard + 1, 0
             if sum(rows.values()) >= most:
                 for c in sorted(held):
-                    yield from block(int(c), shard, held.pop(c))
+                    made += block(int(c), shard, held.pop(c))
                     shard += 1
                 rows.clear()
+            if shard - first >= SHARDS_OF_A_TASK:
+                yield from run_of(made)
+                first = shard
         for c in sorted(held):
-            yield from block(int(c), shard, held.pop(c))
+            made += block(int(c), shard, held.pop(c))
             shard += 1
+        yield from run_of(made)
 
     bound_batches(spark)
     made = docs.select("c", "doc", "parts").mapInArrow(run, schema)
     made = made.withColumn("bucket", F.when(F.col("names").isNotNull(), NAMES).otherwise(bucket(F.col("term"), buckets)))
-    made.sortWithinPartitions("bucket", "term", "c", "shard").write.mode("overwrite").option("compression", CODEC).partitionBy("bucket").parquet(f"{path}/blocks")
+    with side_by_side(spark, buckets + 1):
+        made.write.mode("overwrite").option("compression", CODEC).partitionBy("bucket").parquet(f"{path}/blocks")
     blocks = spark.read.schema(SCHEMAS["blocks"]).parquet(f"{path}/blocks").where(F.col("bucket") >= 0)
     # each folder's terms are gathered, counted and written by one task
     rows = blocks.select("bucket", "c", "term", F.size("at").alias("n"), "best").repartition(buckets, "bucket")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import paths, text
 from ..operators import fuse, impacts, index
 from ..registry import query
-from ..session import cut, once, stored
+from ..session import cut, let_go, once, stored
 from ..sources.adapters import table
 from .chunk_queries import BUILT_SQL, built
 from .text_queries import KEPT_SQL, stems_sql
@@ -52,6 +52,7 @@ def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def term_index(spark: SparkSession, sf_dir: str) -> impacts.Impacts:
     """The stored index that searches read."""
+    let_go(spark)  # of what earlier searches shuffled
     folder = stored(spark, "index", f"{sf_dir}/documents.parquet", lambda to: impacts.write_texts(counted(spark, sf_dir), to))
     return impacts.read(spark, folder)
 
@@ -154,6 +155,7 @@ def weighted_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def field_term_index(spark: SparkSession, sf_dir: str) -> impacts.Impacts:
+    let_go(spark)
     make = lambda to: impacts.write_fields(counted_fields(spark, sf_dir), to, lengths=field_lengths(spark, sf_dir))
     return impacts.read(spark, stored(spark, "field index", f"{sf_dir}/documents.parquet", make))
 
@@ -232,6 +234,7 @@ RERANK_SQL = RRF_SQL + MANIFEST_SQL + """, win AS (SELECT query, doc FROM fu WHE
 
 def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cut(fused(spark, sf_dir))
+    let_go(spark)  # the search's blocks aren't read again
     m, refs = manifest(spark, sf_dir)
     # a query's hits are 90 of each corpus at most
     own = m.join(F.broadcast(found.select("doc").distinct()), "doc", "left_semi")

@@ -8,7 +8,7 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +45,18 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+@contextlib.contextmanager
+def side_by_side(spark: SparkSession, folders: int) -> Iterator[None]:
+    """Writes that begin in here keep files of up to so many folders open in a task, instead of sorting its rows by folder, which spills them."""
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(max(folders, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the folder for checkpoints."""
     shared_folder(df.sparkSession)

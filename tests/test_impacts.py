@@ -216,6 +216,41 @@ def test_an_index_is_built_without_a_shuffle_of_documents(spark, tmp_path):
     assert sum(n for p, n in shuffle_files(spark).items() if p not in before) < 100_000
 
 
+def test_blocks_are_written_without_a_sort(spark, tmp_path):
+    """Each task sorted its blocks by folder and term, and spilled twice an index's size at 1 GB."""
+    docs = spark.createDataFrame([("objects", f"d{i}", 2, [(f"a{i % 50}", 1), ("b", 1)]) for i in range(300)], "corpus string, doc string, dl long, terms array<struct<term:string,tf:long>>")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before, key = store.executionsCount(), "spark.sql.maxConcurrentOutputFileWriters"
+    kept = spark.conf.get(key)
+    made = impacts.write_texts(docs, str(tmp_path / "index"), buckets=8)
+    assert spark.conf.get(key) == kept and made.terms.count() == 51
+    runs = store.executionsList()
+    plans = [runs.apply(i).physicalPlanDescription() for i in range(before, runs.size())]
+    own = [p for p in plans if "/index/blocks" in p and "InsertIntoHadoopFsRelationCommand" in p]
+    assert own and not any("Sort" in p for p in own)
+    parts = [os.path.join(d, f) for d, _, names in os.walk(tmp_path / "index/blocks") for f in names if f.endswith(".parquet")]
+    assert len(parts) <= 9 * docs.rdd.getNumPartitions()
+
+
+def test_what_a_search_has_shuffled_is_let_go(spark):
+    """It stayed beside the next query's until the driver happened to collect its garbage."""
+    before = shuffle_files(spark)
+    found = score_queries.reranked(spark, "/root/testdata/sf0.001")
+    start = time.monotonic()
+    while left := sum(n for p, n in shuffle_files(spark).items() if p not in before):
+        assert time.monotonic() - start < 20, left
+        time.sleep(0.2)
+    assert found.where("rank = 1").count() and sum(n for p, n in shuffle_files(spark).items() if p not in before)
+    del found
+    score_queries.term_index(spark, "/root/testdata/sf0.001")
+    before, start = shuffle_files(spark), time.monotonic()
+    score_queries.hits(spark, "/root/testdata/sf0.001", 5).count()
+    score_queries.field_term_index(spark, "/root/testdata/sf0.001")
+    while left := sum(n for p, n in shuffle_files(spark).items() if p not in before):
+        assert time.monotonic() - start < 20, left
+        time.sleep(0.2)
+
+
 def test_ties_go_to_the_lesser_name_wherever_documents_are(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(impacts, "SHARD_BITS", 3)
     docs = spark.createDataFrame([("objects", f"d{i:02}", 2, [("a", 1), ("b", 1)]) for i in reversed(range(60))], "corpus string, doc string, dl long, terms array<struct<term:string,tf:long>>")
