@@ -4,8 +4,9 @@ What a posting adds to a score doesn't depend on the query but for a factor, so
 averages in it; a search joins neither. ``write`` lays the postings out as Parquet:
 
 * ``blocks``: in folders by a hash of the term (``bucket``); within them in runs sorted by term, of some shards each: a task writes to all folders as it makes
-  the rows, so its rows are never sorted as a whole nor spilled. A row is what a term has in a shard, which is up to ``2 ** SHARD_BITS`` documents of a corpus: the postings (places in the shard, ``at``, and weights, ``w``) and ``best``, the
-  largest weight. The folder ``NAMES`` has a row for each shard, with the names of its documents by place.
+  the rows, so its rows are never sorted as a whole nor spilled. A row is what a term has in a shard, which is up to ``2 ** SHARD_BITS`` documents of a corpus: the postings (places in the shard, ``at``, each less the one before, and ``code``) and ``best``, the
+  largest weight. The folder ``NAMES`` has a row for each shard, with the names of its documents and their ``values`` by place: the different weights that a document's terms have.
+  They are few, as they follow from few counts and lengths, so a posting's ``code``, its weight's place among them, is most often 0.
 * ``terms``: in the same folders, each term's document frequency, its largest weight (``top``) and the ``factor`` (the idf) by which a search multiplies all its weights.
 * ``corpora``: the names behind their numbers. A key is the shard and the place in it; keys have no order, so ties are settled by names.
 
@@ -39,7 +40,7 @@ from ..session import CODEC, bound_batches, side_by_side
 from .index import DIGITS, corpus_stats, field_averages, field_document_frequency, idf
 
 SCHEMAS = {
-    "blocks": "c int, term string, shard bigint, best double, at array<smallint>, w array<double>, names array<string>, bucket int",
+    "blocks": "c int, term string, shard bigint, best double, at array<smallint>, code array<int>, names array<string>, values array<array<double>>, bucket int",
     "terms": "c int, term string, df bigint, top double, factor double, bucket int",
     "corpora": "corpus string, docs bigint, c int, buckets int",
 }
@@ -66,6 +67,7 @@ class Impacts:
     docs: DataFrame
     corpora: DataFrame
     buckets: int
+    values: DataFrame
 
 
 def weights(post: DataFrame, lengths: DataFrame, k1: float = DEFAULTS.k1, b: float = DEFAULTS.b) -> DataFrame:
@@ -118,7 +120,7 @@ def _store(docs: DataFrame, path: str, buckets: int, weigh: Callable[[np.ndarray
     Documents are numbered and turned into blocks by the task that reads them; a shard is a run of a task's documents of one corpus.
     """
     spark, size, most = docs.sparkSession, 1 << SHARD_BITS, SHARDS_OF_A_TASK << SHARD_BITS
-    schema = "c int, term string, shard bigint, best double, at array<smallint>, w array<double>, names array<string>"
+    schema = SCHEMAS["blocks"].removesuffix(", bucket int")
     types = to_arrow_schema(StructType.fromDDL(schema))
 
     def postings(b: pa.RecordBatch) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -140,18 +142,28 @@ def _store(docs: DataFrame, path: str, buckets: int, weigh: Callable[[np.ndarray
 
     def block(c: int, shard: int, pieces: list[tuple]) -> Iterator[pa.RecordBatch]:
         names = [x for n, *_ in pieces for x in n]
-        yield pa.RecordBatch.from_pydict({"c": [c], "term": [None], "shard": [shard], "best": [None], "at": [None], "w": [None], "names": [names]}, schema=types)
+        begins = np.cumsum([0, *(len(n) for n, *_ in pieces)])
+        at, w = np.concatenate([a + o for (_, a, *_), o in zip(pieces, begins, strict=False)]), np.concatenate([w for *_, w in pieces])
+        by_value = np.lexsort((w, at))
+        of, v = at[by_value], w[by_value]
+        new = np.append(True, (np.diff(of) != 0) | (v[1:] != v[:-1]))[: len(of)]
+        begin = np.searchsorted(of[new], np.arange(len(names) + 1))
+        value = np.empty(len(at), np.int64)
+        value[by_value] = np.cumsum(new) - 1 - begin[of]
+        values = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(v[new], pa.float64())))
+        head = [[c], [None], [shard], [None], [None], [None], [names]]
+        yield pa.RecordBatch.from_arrays([*(pa.array(x, f.type) for x, f in zip(head, types, strict=False)), values.cast(types.field("values").type)], schema=types)
         coded = pa.chunked_array([t for _, _, t, _ in pieces], pa.string()).combine_chunks().dictionary_encode()
         if not len(coded):
             return
-        begins = np.cumsum([0, *(len(n) for n, *_ in pieces)])
-        at, w = np.concatenate([a + o for (_, a, *_), o in zip(pieces, begins, strict=False)]), np.concatenate([w for *_, w in pieces])
         code = coded.indices.to_numpy()
         order = np.argsort(code, kind="stable")
         first = np.searchsorted(code[order], np.arange(len(coded.dictionary) + 1))
-        n, w, offsets = len(first) - 1, w[order], pa.array(first, pa.int32())
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(v, k)) for v, k in ((at[order], pa.int16()), (w, pa.float64()))]
-        columns = [pa.array(np.full(n, c), pa.int32()), coded.dictionary, pa.array(np.full(n, shard), pa.int64()), pa.array(np.maximum.reduceat(w, first[:-1])), *lists, pa.nulls(n, pa.list_(pa.string()))]
+        n, offsets, gaps = len(first) - 1, pa.array(first, pa.int32()), np.diff(at[order], prepend=0)
+        gaps[first[:-1]] = at[order][first[:-1]]
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x, k)) for x, k in ((gaps, pa.int16()), (value[order], pa.int32()))]
+        best = pa.array(np.maximum.reduceat(w[order], first[:-1]))
+        columns = [pa.array(np.full(n, c), pa.int32()), coded.dictionary, pa.array(np.full(n, shard), pa.int64()), best, *lists, *(pa.nulls(n, f.type) for f in list(types)[6:])]
         yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, types, strict=True)], schema=types)
 
     def run_of(made: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +206,9 @@ def _store(docs: DataFrame, path: str, buckets: int, weigh: Callable[[np.ndarray
     made = docs.select("c", "doc", "parts").mapInArrow(run, schema)
     made = made.withColumn("bucket", F.when(F.col("names").isNotNull(), NAMES).otherwise(bucket(F.col("term"), buckets)))
     with side_by_side(spark, buckets + 1):
-        made.write.mode("overwrite").option("compression", CODEC).partitionBy("bucket").parquet(f"{path}/blocks")
+        # the codec finds the frequent ones among gaps and codes; places in a dictionary hide them from it
+        plain = {f"parquet.enable.dictionary#{c}.list.element": "false" for c in ("at", "code")}
+        made.write.mode("overwrite").option("compression", CODEC).options(**plain).partitionBy("bucket").parquet(f"{path}/blocks")
     blocks = spark.read.schema(SCHEMAS["blocks"]).parquet(f"{path}/blocks").where(F.col("bucket") >= 0)
     # each folder's terms are gathered, counted and written by one task
     rows = blocks.select("bucket", "c", "term", F.size("at").alias("n"), "best").repartition(buckets, "bucket")
@@ -247,10 +261,10 @@ def write_fields(
 
 def read(spark: SparkSession, path: str) -> Impacts:
     all_rows, terms, corpora = (spark.read.schema(schema).parquet(f"{path}/{t}") for t, schema in SCHEMAS.items())
-    blocks, names = all_rows.where(F.col("bucket") >= 0).drop("names"), all_rows.where(F.col("bucket") == NAMES)
+    blocks, names = all_rows.where(F.col("bucket") >= 0).drop("names", "values"), all_rows.where(F.col("bucket") == NAMES)
     docs = names.select("shard", F.posexplode("names").alias("at", "doc")).select("doc", _key("at").alias("key"))
     first = corpora.select("buckets").first()
-    return Impacts(blocks, terms, docs, corpora, first[0] if first else 1)
+    return Impacts(blocks, terms, docs, corpora, first[0] if first else 1, names.select("c", "shard", "values"))
 
 
 def _key(at: str) -> Column:
@@ -284,6 +298,49 @@ def _wanted(index: Impacts, wanted: DataFrame) -> _Wanted:
     return _Wanted(rows.sparkSession.createDataFrame(local, rows.schema), local, sorted({r["bucket"] for r in got}), min(terms.values(), default=0) <= FEW_TERMS)
 
 
+def _dealt(index: Impacts, blocks: DataFrame) -> DataFrame:
+    """c, term, shard, at, code and values: the blocks by shard, each shard's after the row of its values."""
+    none = {c: F.lit(None).cast(t) for c, t in (("term", "string"), ("at", "array<smallint>"), ("code", "array<int>"), ("values", "array<array<double>>"))}
+    values = index.values.select("c", none["term"].alias("term"), "shard", none["at"].alias("at"), none["code"].alias("code"), "values")
+    rows = blocks.select("c", "term", "shard", "at", "code", none["values"].alias("values")).unionAll(values)
+    return rows.repartition("c", "shard").sortWithinPartitions("c", "shard", "term")  # null comes first
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of dealt blocks, some of a shard's at a time: c, shard, terms, where each term's postings begin (and the end), places and weights."""
+    here, begin, values = None, np.zeros(0), np.zeros(0)
+    for b in batches:
+        c, shard = b.column(0).to_numpy(), b.column(2).to_numpy()
+        cuts = [0, *(np.flatnonzero((np.diff(c) != 0) | (np.diff(shard) != 0)) + 1), len(b)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if lo == hi:
+                continue
+            if (c[lo], shard[lo]) != here:
+                here, own = (c[lo], shard[lo]), b.column(5)[int(lo)].values
+                begin, values = own.offsets.to_numpy(), own.values.to_numpy()
+                lo += 1
+            part = b.slice(lo, hi - lo)
+            n = pc.list_value_length(part.column(3)).to_numpy(zero_copy_only=False)
+            first = np.append(0, np.cumsum(n, dtype=np.int64))
+            sums = np.append(0, np.cumsum(part.column(3).flatten().to_numpy(), dtype=np.int64))
+            at = sums[1:] - np.repeat(sums[first[:-1]], n)
+            yield int(here[0]), int(here[1]), part.column(1), first, at, values[begin[at] + part.column(4).flatten().to_numpy()]
+
+
+def _opened(index: Impacts, blocks: DataFrame) -> DataFrame:
+    """The blocks' places and weights, as they are: c, term, shard, at and w."""
+    schema = "c int, term string, shard bigint, at array<smallint>, w array<double>"
+    types = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c, shard, terms, first, at, w in _pieces(batches):
+            lists = [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(v, k)) for v, k in ((at, pa.int16()), (w, pa.float64()))]
+            columns = [pa.array(np.full(len(terms), c)), terms, pa.array(np.full(len(terms), shard)), *lists]
+            yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, types, strict=True)], schema=types)
+
+    return _dealt(index, blocks).mapInArrow(run, schema)
+
+
 def _scored(blocks: DataFrame) -> DataFrame:
     """blocks: query, c, shard, weight, at, w. The sum for each document."""
     rows = blocks.select("query", "c", "shard", "weight", F.inline(F.arrays_zip("at", "w")))
@@ -297,8 +354,8 @@ def weighted(index: Impacts, w: _Wanted) -> DataFrame:
 
 
 def all_blocks(index: Impacts, w: _Wanted) -> DataFrame:
-    """The blocks of the terms of each query: query, c, shard, term, weight, best, at and w."""
-    return w.blocks(index).join(w.held(weighted(index, w)), ["c", "term"]).select("query", "c", "shard", "term", "weight", "best", "at", "w")
+    """The blocks of the terms of each query: query, c, shard, term, weight, best, at and code."""
+    return w.blocks(index).join(w.held(weighted(index, w)), ["c", "term"]).select("query", "c", "shard", "term", "weight", "best", "at", "code")
 
 
 def bounds(index: Impacts, w: _Wanted, n: int) -> DataFrame:
@@ -306,7 +363,9 @@ def bounds(index: Impacts, w: _Wanted, n: int) -> DataFrame:
     tops = weighted(index, w)
     per = Window.partitionBy("query", "c")
     tops = tops.withColumn("all", F.sum(F.col("weight") * F.col("top")).over(per)).withColumn("terms", F.count("*").over(per))
-    first = w.blocks(index).join(w.held(tops.where(F.col("terms") <= FEW_TERMS)), ["c", "term"]).where(F.col("best") == F.col("top"))
+    short = tops.where(F.col("terms") <= FEW_TERMS)
+    first = w.blocks(index).join(w.held(short.select("c", "term", "top").distinct()), ["c", "term"]).where(F.col("best") == F.col("top"))
+    first = _opened(index, first).join(w.held(short), ["c", "term"])
     place = F.row_number().over(per.orderBy(F.col("score").desc()))
     least = _scored(first).withColumn("place", place).where(F.col("place") == n).select("query", "c", F.col("score").alias("least"))
     # anything is enough where no n documents are known
@@ -315,15 +374,15 @@ def bounds(index: Impacts, w: _Wanted, n: int) -> DataFrame:
 
 
 def matched(index: Impacts, w: _Wanted, n: int) -> DataFrame:
-    """The blocks that some query must read for its n best: c, shard, term, at and w."""
-    own, shape = w.blocks(index), ("c", "shard", "term", "at", "w")
+    """The blocks that some query must read for its n best: c, shard, term, at and code."""
+    own, shape = w.blocks(index), ("c", "shard", "term", "at", "code")
     if not w.few:
         return own.join(w.held(w.rows.select("term").distinct()), "term").select(*shape)
     least = bounds(index, w, n).groupBy("c", "term").agg(F.min("enough").alias("enough"))
     return own.join(w.held(least), ["c", "term"]).where(F.col("best") >= F.col("enough")).select(*shape)
 
 
-def _best_of_shards(blocks: DataFrame, wanted: DataFrame, n: int | None) -> DataFrame:
+def _best_of_shards(index: Impacts, blocks: DataFrame, wanted: DataFrame, n: int | None) -> DataFrame:
     """query, c, key and score: in each shard the n best of each query, and what ties with the last; without n all.
 
     wanted: query, c, term, weight; as few rows as go with a task.
@@ -333,7 +392,6 @@ def _best_of_shards(blocks: DataFrame, wanted: DataFrame, n: int | None) -> Data
         of.setdefault(c, {}).setdefault(query, []).append((term, weight))
     query_type = wanted.schema["query"].dataType.simpleString()
     shared = blocks.sparkSession.sparkContext.broadcast(of)
-    dealt = blocks.repartition("c", "shard").sortWithinPartitions("c", "shard")
     names = ("query", "c", "key", "score")
 
     def best(c: int, shard: int, postings: dict[str, tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple]:
@@ -369,29 +427,29 @@ def _best_of_shards(blocks: DataFrame, wanted: DataFrame, n: int | None) -> Data
             if found:
                 yield batch(found)
 
-        for b in batches:
-            for c, shard, term, at, ws in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), b.column(4), strict=True):
-                if (c, shard) != here:
-                    if here is not None:
-                        yield from result(best(*here, postings))
-                    here, postings = (c, shard), {}
-                postings[term] = at.values.to_numpy(), ws.values.to_numpy()
+        for c, shard, terms, first, at, w in _pieces(batches):
+            if (c, shard) != here:
+                if here is not None:
+                    yield from result(best(*here, postings))
+                here, postings = (c, shard), {}
+            for term, lo, hi in zip(terms.to_pylist(), first.tolist(), first[1:].tolist(), strict=False):
+                postings[term] = at[lo:hi], w[lo:hi]
         if here is not None:
             yield from result(best(*here, postings))
 
     schema = f"query {query_type}, c int, key bigint, score double"
     types = to_arrow_schema(StructType.fromDDL(schema))
-    return dealt.mapInArrow(run, schema)
+    return _dealt(index, blocks).mapInArrow(run, schema)
 
 
 def scores(index: Impacts, wanted: DataFrame) -> DataFrame:
     """query, corpus, key and score of all documents that score above 0. wanted: query, term, weight (above 0; of a term that comes twice, the sum)."""
     w = _wanted(index, wanted)
     if w.local is not None:
-        own = w.blocks(index).join(w.held(w.rows.select("term").distinct()), "term").select("c", "shard", "term", "at", "w")
-        found = _best_of_shards(own, weighted(index, w), None)
+        own = w.blocks(index).join(w.held(w.rows.select("term").distinct()), "term").select("c", "shard", "term", "at", "code")
+        found = _best_of_shards(index, own, weighted(index, w), None)
     else:
-        found = _scored(all_blocks(index, w))
+        found = _scored(_opened(index, w.blocks(index)).join(weighted(index, w), ["c", "term"]))
     found = found.withColumn("score", F.round("score", DIGITS)).where("score > 0")
     return found.join(F.broadcast(index.corpora.select("c", "corpus")), "c").select("query", "corpus", "key", "score")
 
@@ -400,10 +458,9 @@ def search(index: Impacts, wanted: DataFrame, n: int) -> DataFrame:
     """query, corpus, doc, score and rank of the n best of each query and corpus, by (score desc, doc)."""
     w = _wanted(index, wanted)
     if w.local is not None:
-        found = _best_of_shards(matched(index, w, n), weighted(index, w), n)
+        found = _best_of_shards(index, matched(index, w, n), weighted(index, w), n)
     else:
-        limits = bounds(index, w, n)
-        found = _scored(w.blocks(index).join(limits, ["c", "term"]).where(F.col("best") >= F.col("enough")))
+        found = _scored(_opened(index, matched(index, w, n)).join(weighted(index, w), ["c", "term"]))
     found = found.withColumn("score", F.round("score", DIGITS)).where("score > 0")
     by_score = Window.partitionBy("query", "c").orderBy(F.col("score").desc())
     # what ties with the n-th is ranked by its name

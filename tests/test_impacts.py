@@ -251,6 +251,23 @@ def test_what_a_search_has_shuffled_is_let_go(spark):
         time.sleep(0.2)
 
 
+def test_weights_are_stored_once_for_each_document(spark, tmp_path):
+    """Each posting had its weight as a double and its place as it is: 3.6 bytes of a file."""
+    rng = random.Random(9)
+    terms = [f"term{i}" for i in range(600)]
+    docs = [("objects", f"d{i}", [t for t in rng.sample(terms, rng.randrange(200, 400)) for _ in range(rng.choice([1, 1, 1, 1, 2, 3]))]) for i in range(1500)]
+    docs = session.cut(spark.createDataFrame(docs, "corpus string, doc string, tokens array<string>").coalesce(2))
+    post, lengths = index.postings(docs), index.doc_lengths(docs)
+    made = impacts.write_texts(docs.select("corpus", "doc", F.size("tokens").cast("bigint").alias("dl"), text.term_counts("tokens").alias("terms")), str(tmp_path / "index"), buckets=4)
+    names = {r.key: r.doc for r in made.docs.collect()}
+    opened = impacts._opened(made, made.blocks).select("c", "shard", "term", F.inline(F.arrays_zip("at", "w"))).select("term", impacts._key("at").alias("key"), "w").collect()
+    factor = {r.term: r.factor for r in made.terms.collect()}
+    got = {(names[r.key], r.term): round(r.w * factor[r.term], 9) for r in opened}
+    assert got == {(r.doc, r.term): round(r.w, 9) for r in impacts.weights(post, lengths).collect()} and len(got) == len(opened)
+    size = sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(tmp_path / "index/blocks") for f in fs if f.endswith(".parquet"))
+    assert size < 2.2 * len(opened), size / len(opened)
+
+
 def test_ties_go_to_the_lesser_name_wherever_documents_are(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(impacts, "SHARD_BITS", 3)
     docs = spark.createDataFrame([("objects", f"d{i:02}", 2, [("a", 1), ("b", 1)]) for i in reversed(range(60))], "corpus string, doc string, dl long, terms array<struct<term:string,tf:long>>")
