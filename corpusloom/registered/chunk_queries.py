@@ -151,7 +151,8 @@ CHUNKED_SQL = TAIL_SQL + f""", cc AS (SELECT path, k AS sequence, count(*) OVER
 
 
 def chunked(spark: SparkSession, sf_dir: str, dealt: bool = True) -> DataFrame:
-    return C.chunk(B.heading_paths(blocks(spark, sf_dir, dealt)), OPTIONS, sizes=blocks(spark, sf_dir))
+    numbers = once(spark, ("numbers", sf_dir), lambda: C.number_blocks(blocks(spark, sf_dir), OPTIONS))
+    return C.chunk(B.heading_paths(blocks(spark, sf_dir, dealt)), OPTIONS, numbers)
 
 
 #: The chunker's chunks with the heading path of their first block, as the index and the searches see them.

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom import session
 from corpusloom.functions import text
 from corpusloom.operators import blocks, catalog, chunking, impacts, index, parse
-from corpusloom.registered import score_queries
+from corpusloom.registered import chunk_queries, score_queries
 from corpusloom.sources import adapters
 
 
@@ -268,6 +268,15 @@ def test_weights_are_stored_once_for_each_document(spark, tmp_path):
     assert size < 2.2 * len(opened), size / len(opened)
 
 
+def test_chunks_take_stored_numbers(spark):
+    """The blocks' sizes were shuffled twice beside the texts, and stayed on the disk until the chunks were written."""
+    plan = chunk_queries.chunked(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "BroadcastExchange" not in plan
+    files = adapters.blocks(spark, "/root/testdata/sf0.001")
+    plain = chunking.chunk(blocks.heading_paths(files), chunk_queries.OPTIONS).drop("blocks")
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, chunk_queries.chunked(spark, "/root/testdata/sf0.001").drop("blocks").collect()))
+
+
 def test_ties_go_to_the_lesser_name_wherever_documents_are(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(impacts, "SHARD_BITS", 3)
     docs = spark.createDataFrame([("objects", f"d{i:02}", 2, [("a", 1), ("b", 1)]) for i in reversed(range(60))], "corpus string, doc string, dl long, terms array<struct<term:string,tf:long>>")
