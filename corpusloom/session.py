@@ -7,6 +7,7 @@ import contextlib
 import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -78,10 +79,25 @@ def _version(spark: SparkSession, path: str) -> tuple:
 CODEC = "zstd"
 
 
+def _passed_on(spark: SparkSession, most: float = 10.0) -> None:
+    """Returns when Py4J has told the JVM of all that Python no longer refers to, or after so many seconds."""
+    queue, end = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", ()), time.monotonic() + most
+    while queue and time.monotonic() < end:
+        time.sleep(0.05)
+    time.sleep(0.05)  # for the one that isn't in the queue any more
+
+
 def let_go(spark: SparkSession) -> None:
-    """Collects the driver's garbage: the shuffle files of queries that are over are deleted then, not when the driver happens to run short of memory."""
+    """Collects the driver's garbage: the shuffle files of queries that are over are deleted then, not when the driver happens to run short of memory.
+
+    The plan of a query that has just ended is held by the events that tell of its end, and by Python's references to it until a thread of
+    Py4J has passed them on. Both are waited for.
+    """
+    with contextlib.suppress(Exception):  # more than ten seconds: they are let go with the next
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
     for _ in range(2):  # the first one ends what the second one finds unused
         gc.collect()
+        _passed_on(spark)
         spark.sparkContext._jvm.System.gc()
 
 

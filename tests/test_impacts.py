@@ -251,6 +251,31 @@ def test_what_a_search_has_shuffled_is_let_go(spark):
         time.sleep(0.2)
 
 
+def test_references_of_python_are_passed_on_before_garbage_is_collected(spark, tmp_path):
+    """Py4J's thread had most often not come round to them, so what they held stayed."""
+    queue = spark.sparkContext._gateway._gateway_client.finalizer_deque
+    left = []
+    for _ in range(5):
+        frames = [spark.range(3).repartition(2) for _ in range(200)]
+        del frames
+        session.let_go(spark)
+        left.append(len(queue))
+    assert left == [0] * 5
+
+
+def test_what_a_search_has_shuffled_is_let_go_if_the_manifest_is_there(spark):
+    """Only the making of a manifest, a while later, had let it go."""
+    score_queries.manifest(spark, "/root/testdata/sf0.001")
+    score_queries.field_term_index(spark, "/root/testdata/sf0.001")
+    before = shuffle_files(spark)
+    found = score_queries.reranked(spark, "/root/testdata/sf0.001")
+    start = time.monotonic()
+    while left := sum(n for p, n in shuffle_files(spark).items() if p not in before):
+        assert time.monotonic() - start < 20, left
+        time.sleep(0.2)
+    assert found.where("rank = 1").count()
+
+
 def test_weights_are_stored_once_for_each_document(spark, tmp_path):
     """Each posting had its weight as a double and its place as it is: 3.6 bytes of a file."""
     rng = random.Random(9)
